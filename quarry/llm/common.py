@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections import defaultdict
 from itertools import count
 
@@ -20,16 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = getattr(spark, "_quarry_folder", None) or tempfile.mkdtemp(prefix="quarry-")
+        spark._quarry_folder = folder
+    return folder
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (single-machine tests) a temporary one is made.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it from there, which ends its lineage."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a table when the program ends, if the session still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        with contextlib.suppress(Exception):
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def training_row(id_col: str = "doc_id") -> Column:
