@@ -1,8 +1,10 @@
 """Queries of this folder and their SQL."""
 
-from quarry.llm import langid, packing, pieces, shingle_join
+from quarry.llm import hnsw, imatch, langid, packing, pieces, shingle_join
 
 QUERIES = {
+    "op1_imatch": imatch.op1_imatch,
+    "op3_nearest": hnsw.op3_nearest,
     "op5_pieces": pieces.op5_pieces,
     "op7_shingle_join": shingle_join.op7_shingle_join,
     "op8_language": langid.op8_language,
