@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL."""
 
-from quarry.llm import hnsw, imatch, langid, licenses, packing, pieces, shingle_join, url_graph
+from quarry.llm import hnsw, imatch, langid, licenses, line_dedup, packing, pieces, shingle_join, url_graph
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_shingle_join": shingle_join.op7_shingle_join,
     "op8_language": langid.op8_language,
     "op9_packing": packing.op9_packing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
