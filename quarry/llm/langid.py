@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import Vocabulary, chunks, segment_sums, spread, table, training_row
 
@@ -220,14 +221,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageModel(languages, (SCALE * idf[:, None] * w[:-1]).astype(np.float32), w[-1], temperature)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, lang_score) for every row.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score``, which replace columns of such names.
 
     ``und`` with score 0 if the text is null, has no letter, or the model knows
-    no language. Repeated rows get equal answers, a null id stays null, other
-    columns are ignored, ties go to the language that sorts first.
+    no language. Repeated rows get equal answers, all other columns stay as
+    they are, ties go to the language that sorts first.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop("lang_pred", "lang_score")
+    fields = kept.columns
+    at = fields.index(text_col)
 
     def run(batches):
         model = handle.value
@@ -238,7 +242,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
         seen = WordTable(per_word)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             names, scores = [], []
             for s in chunks([len(t) for t in texts]):
                 flat, n_words = seen.look_up(texts[s])
@@ -251,13 +255,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     good = bool(model.languages) and any(map(str.isalpha, text))
                     names.append(model.languages[k] if good else UNKNOWN)
                     scores.append(score if good else 0.0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=["id", "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*fields, "lang_pred", "lang_score"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, f"{id_col} long, lang_pred string, lang_score double")
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(training_row()))
-    out = identify(docs, model)
+    out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~training_row()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

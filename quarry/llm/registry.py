@@ -1,11 +1,12 @@
 """Queries of this folder and their SQL."""
 
-from quarry.llm import hnsw, imatch, langid, licenses, line_dedup, packing, pieces, shingle_join, url_graph
+from quarry.llm import hnsw, imatch, langid, licenses, line_dedup, packing, pieces, shingle_join, toxicity, url_graph
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
     "op2_url_graph": url_graph.op2_url_graph,
     "op3_nearest": hnsw.op3_nearest,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_pieces": pieces.op5_pieces,
     "op6_licenses": licenses.op6_licenses,
     "op7_shingle_join": shingle_join.op7_shingle_join,
