@@ -32,7 +32,7 @@ def prefixes(path: Column) -> Column:
 
 def attributes(text: Column) -> Column:
     """``name:v1|v2,name2:v`` as array<struct<name, values>>; pairs without a name or value go."""
-    pair = lambda p: F.struct(F.trim(F.split_part(p, F.lit(":"), F.lit(1))).alias("name"), F.filter(F.transform(F.split(F.regexp_replace(p, r"^[^:]*:?", ""), r"\|"), F.trim), lambda v: v != "").alias("values"))
+    pair = lambda p: F.struct(F.trim(F.split_part(p, F.lit(":"), F.lit(1))).alias("name"), F.filter(F.transform(F.split(F.regexp_replace(p, r"^[^:]*:?", ""), r"\|"), lambda v: F.trim(v)), lambda v: v != "").alias("values"))
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), pair), lambda a: (a["name"] != "") & (F.size(a["values"]) > 0))
 
 

@@ -50,7 +50,7 @@ def highlight(text: Column, terms: list[str], before: str = "<b>", after: str =
 def sentences(text: Column) -> Column:
     """Sentences with their closing marks, trimmed, in order."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^.!?。！？\n]+[.!?。！？]*)"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda v: F.trim(v)), lambda s: s != "")
 
 
 def _tf(sentence: Column, terms: list[str]) -> Column:

@@ -41,7 +41,7 @@ def target(rules: DataFrame, profile: dict[str, list[str]], key: str = "ad_id",
 
     def met(c):
         name = F.trim(F.regexp_extract(c, r"^\s*([\w.]+)\s*!?~", 1))
-        values = F.transform(F.split(F.regexp_extract(c, r"\{([^}]*)\}", 1), ","), F.trim)
+        values = F.transform(F.split(F.regexp_extract(c, r"\{([^}]*)\}", 1), ","), lambda v: F.trim(v))
         has = F.coalesce(F.arrays_overlap(F.element_at(known, name), values), F.lit(False))
         return F.when(c.contains("!~"), ~has).otherwise(has)
 

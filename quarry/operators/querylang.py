@@ -169,6 +169,13 @@ def positions(tokens: Column, word: str) -> Column:
     return F.filter(F.transform(tokens, lambda t, i: F.when(t == word, i)), lambda i: i.isNotNull())
 
 
+def _after(here: Column, reach: Column, least: int, far: int | None) -> Column:
+    """Of positions ``here``, those ``least`` to ``far`` (any number, if none) after one of ``reach``."""
+    if far is None:
+        return F.filter(here, lambda p: F.exists(reach, lambda q: p >= q + least))
+    return F.filter(here, lambda p: F.exists(reach, lambda q: p.between(q + least, q + far)))
+
+
 def phrase(tokens: Column, words: list[str], kind: str, distance: int = 0, strict: bool = False) -> Column:
     """Whether the words stand as asked.
 
@@ -181,13 +188,9 @@ def phrase(tokens: Column, words: list[str], kind: str, distance: int = 0, stric
         return F.when(F.size(tokens) < len(words), F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.slice(tokens, i, len(words)) == wanted))
     least = 1 if strict else 0
     reach = positions(tokens, words[0])
+    far = None if kind == "ordered" else 1 if kind == "exact" else distance
     for w in words[1:]:
-        here = positions(tokens, w)
-        if kind == "ordered":
-            reach = F.filter(here, lambda p, r=reach: F.exists(r, lambda q: p >= q + least))
-        else:
-            far = 1 if kind == "exact" else distance
-            reach = F.filter(here, lambda p, r=reach: F.exists(r, lambda q: p.between(q + least, q + far)))
+        reach = _after(positions(tokens, w), reach, least, far)
     return F.size(reach) > 0
 
 

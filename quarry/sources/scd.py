@@ -64,8 +64,8 @@ def merge(records: DataFrame, key: str = "DOCID") -> DataFrame:
     order = W.partitionBy(key).orderBy("stamp", "position")
     starts = F.sum(F.when(F.col("kind").isin("insert", "delete"), 1).otherwise(0)).over(order)
     marked = records.withColumn("_era", starts).withColumn("_last", F.max("_era").over(W.partitionBy(key))).filter("_era = _last")
-    each = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stamp", "position", "kind", "fields"))).alias("r"))
-    fold = F.aggregate("r", F.create_map().cast("map<string,string>"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(x["fields"], k)), x["fields"]))
+    each = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stamp", "position", "kind", F.map_entries("fields").alias("fields")))).alias("r"))
+    fold = F.aggregate("r", F.create_map().cast("map<string,string>"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: ~F.exists(x["fields"], lambda f: f["key"] == k)), F.map_from_entries(x["fields"])))
     return each.select(key, fold.alias("fields"), F.when(F.element_at("r", 1)["kind"] == "delete", F.when(F.size("r") == 1, "delete").otherwise("insert")).otherwise(F.element_at("r", 1)["kind"]).alias("kind"))
 
 
