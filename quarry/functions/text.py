@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.bind import once
+
 MARKS = r"[^\p{L}\p{N}]+"
 
 
@@ -53,9 +55,9 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, lambda v: F.trim(v)), lambda s: s != "")
 
 
-def _tf(sentence: Column, terms: list[str]) -> Column:
+def _tf(tokens: Column, terms: list[str]) -> Column:
     wanted = F.array(*[F.lit(t) for t in terms])
-    return F.size(F.filter(words(sentence), lambda w: F.array_contains(wanted, w)))
+    return F.size(F.filter(tokens, lambda w: F.array_contains(wanted, w)))
 
 
 def snippet(text: Column, terms: list[str], most: int = 2, mark: str = "...") -> Column:
@@ -65,8 +67,11 @@ def snippet(text: Column, terms: list[str], most: int = 2, mark: str = "...") ->
     """
     if not terms:
         return F.element_at(F.concat(sentences(text), F.array(F.lit(""))), 1)
-    rated = F.transform(sentences(text), lambda s, i: F.struct((-_tf(s, terms).cast("double") / (F.size(words(s)) + 1)).alias("d"), i.alias("i"), s.alias("s")))
-    best = F.slice(F.array_sort(F.filter(rated, lambda r: r["d"] < 0)), 1, most)
+    rated = F.transform(sentences(text), lambda s, i: F.struct(once(words(s), lambda w: -_tf(w, terms).cast("double") / (F.size(w) + 1)).alias("d"), i.alias("i"), s.alias("s")))
+    return once(F.slice(F.array_sort(F.filter(rated, lambda r: r["d"] < 0)), 1, most), lambda best: _joined(best, text, mark))
+
+
+def _joined(best: Column, text: Column, mark: str) -> Column:
     chosen = F.transform(F.array_sort(F.transform(best, lambda r: F.struct(r["i"], r["s"]))), lambda r: r["s"])
     first = F.element_at(F.concat(sentences(text), F.array(F.lit(""))), 1)
     return F.when(F.size(best) > 0, F.array_join(chosen, f" {mark} ")).otherwise(first)
@@ -77,9 +82,12 @@ def summary(text: Column, most: int = 3) -> Column:
 
     Ties go to the earlier sentence; the picked ones come in their order.
     """
-    every = words(text)
+    rows = F.transform(sentences(text), lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.array_distinct(words(s)).alias("w")))
+    return once(F.struct(words(text).alias("every"), rows.alias("tables")), lambda v: _summary(v["every"], v["tables"], most))
+
+
+def _summary(every: Column, tables: Column, most: int) -> Column:
     count = lambda w: F.size(F.filter(every, lambda x: x == w))
-    tables = F.transform(sentences(text), lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.array_distinct(words(s)).alias("w")))
 
     def step(acc, _):
         worth = lambda t: F.aggregate(F.array_except(t["w"], acc["seen"]), F.lit(0), lambda a, w: a + count(w))

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.bind import once
+
 NEAR = 20
 
 
@@ -183,15 +185,15 @@ def phrase(tokens: Column, words: list[str], kind: str, distance: int = 0, stric
     word may also stand where the one before it does, so that repeated words
     of the phrase need only one place.
     """
-    if kind == "exact" and strict:
-        wanted = F.array(*[F.lit(w) for w in words])
-        return F.when(F.size(tokens) < len(words), F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.slice(tokens, i, len(words)) == wanted))
     least = 1 if strict else 0
-    reach = positions(tokens, words[0])
     far = None if kind == "ordered" else 1 if kind == "exact" else distance
-    for w in words[1:]:
-        reach = _after(positions(tokens, w), reach, least, far)
-    return F.size(reach) > 0
+
+    def follow(reach: Column, rest: list[str]) -> Column:
+        if not rest:
+            return F.size(reach) > 0
+        return once(_after(positions(tokens, rest[0]), reach, least, far), lambda r: follow(r, rest[1:]))
+
+    return once(positions(tokens, words[0]), lambda r: follow(r, words[1:]))
 
 
 def matches(node: Node, tokens: Column, bounds: dict[str, float] | None = None, threshold: float = 0.5, strict: bool = False) -> Column:
@@ -201,7 +203,11 @@ def matches(node: Node, tokens: Column, bounds: dict[str, float] | None = None,
     matches if its words' bounds exceed ``threshold`` of their sum (0.5 if not
     positive).
     """
-    inner = lambda p: matches(p, tokens, bounds, threshold, strict)
+    return F.lit(True) if node.kind == "all" else once(tokens, lambda t: _matches(node, t, bounds, threshold, strict))
+
+
+def _matches(node: Node, tokens: Column, bounds: dict[str, float] | None, threshold: float, strict: bool) -> Column:
+    inner = lambda p: _matches(p, tokens, bounds, threshold, strict)
     match node.kind:
         case "all":
             return F.lit(True)

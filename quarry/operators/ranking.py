@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.bind import once
+
 #: Fixed values.
 K1, B, K3, LEAST_IDF = 1.2, 0.75, 1000.0, 0.1
 MU, LAMBDA, PROXIMITY_BASE = 2000.0, 1000.0, 3.0
@@ -41,7 +43,7 @@ def tf(tokens: Column, word: str) -> Column:
 def collect_stats(df: DataFrame, tokens: Column, words: list[str]) -> Stats:
     """One aggregation over all rows; a single row reaches the driver."""
     words = list(dict.fromkeys(words))
-    counted = df.select(F.size(tokens).alias("len"), *[tf(tokens, w).alias(f"t{k}") for k, w in enumerate(words)])
+    counted = df.select(tokens.alias("_t")).select(F.size("_t").alias("len"), *[tf(F.col("_t"), w).alias(f"t{k}") for k, w in enumerate(words)])
     aggs = [F.count("*").alias("n"), F.sum("len").alias("total")]
     for k in range(len(words)):
         aggs += [F.count(F.when(F.col(f"t{k}") > 0, 1)).alias(f"df{k}"), F.sum(f"t{k}").alias(f"ctf{k}"), F.max(f"t{k}").alias(f"max{k}")]
@@ -104,7 +106,11 @@ def plm(tokens: Column, words: list[str], stats: Stats, mu: float = MU, lam: flo
     unique = list(Counter(words))
     if not stats.total or not unique:
         return F.lit(0.0)
-    place = {w: positions(tokens, w) for w in unique}
+    return once(F.array(*[positions(tokens, w) for w in unique]), lambda found: _plm(found, F.size(tokens), words, unique, stats, mu, lam))
+
+
+def _plm(found: Column, length: Column, words: list[str], unique: list[str], stats: Stats, mu: float, lam: float) -> Column:
+    place = {w: F.element_at(found, k + 1) for k, w in enumerate(unique)}
     near = {w: F.lit(0.0) if len(unique) == 1 else reduce(lambda x, y: x + y, [closeness(place[w], place[v]) for v in unique if v != w]) / (len(unique) - 1) for w in unique}
     parts = []
     for w, qtf in Counter(words).items():
@@ -115,10 +121,14 @@ def plm(tokens: Column, words: list[str], stats: Stats, mu: float = MU, lam: flo
     if not parts:
         return F.lit(0.0)
     score, close = reduce(lambda x, y: x + y, parts), reduce(lambda x, y: x + y, near.values())
-    return F.when(score > 0, score + F.log(F.lit(mu) / (mu + F.size(tokens) + lam * close))).otherwise(score)
+    return F.when(score > 0, score + F.log(F.lit(mu) / (mu + length + lam * close))).otherwise(score)
+
+
+def _once(score):
+    return lambda tokens, words, stats: once(tokens, lambda t: score(t, words, stats))
 
 
-MODELS = {"bm25": bm25, "kl": kl, "plm": plm, "none": lambda tokens, words, stats: F.lit(0.0)}
+MODELS = {"bm25": _once(bm25), "kl": _once(kl), "plm": _once(plm), "none": lambda tokens, words, stats: F.lit(0.0)}
 
 
 def model(name: str | None, default: str = "bm25"):
