@@ -58,7 +58,8 @@ def merge(records: DataFrame, key: str = "DOCID") -> DataFrame:
     """Each key's state after all records in order: (DOCID, fields, kind).
 
     An insert replaces what was there, an update adds its fields to it, a
-    delete removes it; fields of later records win. Keys whose last record is
+    delete removes it; fields of later records win. ``kind`` is update where only
+    updates are known, insert where a document is whole. Keys whose last record is
     a delete stay with kind ``delete``, for stores that hold them.
     """
     order = W.partitionBy(key).orderBy("stamp", "position")
