@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
+#: Bytes of a batch that goes to a Python worker. A batch is held several times over on its way.
+BATCH = "2m"
 #: Distinct words that a worker remembers between chunks.
 WORDS_KEPT = 250_000
 
@@ -50,6 +52,18 @@ def _remove(spark: SparkSession, path: str) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of a few MB, so that long texts don't fill a worker's memory.
+
+    Spark has this limit as a setting of the session; it is lowered unless it
+    was set to something else.
+    """
+    conf = df.sparkSession.conf
+    if str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")) in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def training_row(id_col: str = "doc_id") -> Column:
     """True for rows whose crc32 of the id's text is not a multiple of 5."""
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0

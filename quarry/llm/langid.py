@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Vocabulary, chunks, segment_sums, spread, table, training_row
+from quarry.llm.common import Vocabulary, chunks, in_arrow, segment_sums, spread, table, training_row
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -112,7 +112,7 @@ def document_frequencies(texts: DataFrame, features: int) -> tuple[np.ndarray, i
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], type=pa.int64()), pa.array([*df[at].tolist(), n], type=pa.int64())], names=["slot", "n"])
 
-    counts = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    counts = in_arrow(texts, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(features, dtype=np.int64)
     total = 0
     for r in counts:
@@ -136,7 +136,7 @@ def sample_features(sample: DataFrame, features: int) -> list[tuple[int, str, np
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["id", "lang", "slots", "share"])
 
-    rows = sample.mapInArrow(run, "id long, lang string, slots binary, share binary").collect()
+    rows = in_arrow(sample, run, "id long, lang string, slots binary, share binary").collect()
     return sorted((r["id"], r["lang"], np.frombuffer(r["slots"], dtype=np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in rows) if len({r["id"] for r in rows}) == len(rows) else sorted(((r["id"], r["lang"], np.frombuffer(r["slots"], dtype=np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in rows), key=lambda x: (x[0], x[1], x[2].tobytes()))
 
 
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                     scores.append(score if good else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*fields, "lang_pred", "lang_score"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return in_arrow(kept, run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Vocabulary, chunks, spread, table
+from quarry.llm.common import Vocabulary, chunks, in_arrow, spread, table
 
 BLANK = "▁"
 BORDER = 0x110000  # no code point
@@ -343,7 +343,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], batch.column(1)[s], lists, pa.array(sizes, type=pa.int64()), pa.array(crcs, type=pa.int64())], names=["id", "text", "ids", "n_ids", "ids_crc32"])
 
     load(model)
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, f"{id_col} long, {text_col} string, ids array<int>, n_ids long, ids_crc32 long")
+    return in_arrow(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), run, f"{id_col} long, {text_col} string, ids array<int>, n_ids long, ids_crc32 long")
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -375,7 +375,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if null else t for t, null in zip(texts, nulls, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, type=pa.string())], names=[*keep, "decoded"])
 
-    return encoded.select(*keep, ids_col).mapInArrow(run, f"{fields}, decoded string")
+    return in_arrow(encoded.select(*keep, ids_col), run, f"{fields}, decoded string")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import spread, table, training_row
+from quarry.llm.common import in_arrow, spread, table, training_row
 
 #: Bounds of the sample (documents of each class) and of the lexicon.
 PER_CLASS, TERMS = 3000, 1024
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(label, type=pa.int32()), pa.array([t for f in found for t in f], type=pa.string())], names=["y", "term"])
 
     n1, n0 = min(sizes[1], per_class), min(sizes[0], per_class)
-    both = sample.select("y", "text").mapInArrow(spell, "y int, term string").groupBy("term").agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b"))
+    both = in_arrow(sample.select("y", "text"), spell, "y int, term string").groupBy("term").agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b"))
     p = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
     rows = both.select("term", F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     df[list(c)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(df)), -1], type=pa.int64()), pa.array([*df.tolist(), n], type=pa.int64())], names=["t", "n"])
 
-    counts = {r["t"]: r["n"] for r in texts.select("text").mapInArrow(occur, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["t"]: r["n"] for r in in_arrow(texts.select("text"), occur, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + counts[-1]) / (1 + np.array([counts[t] for t in range(len(number))]))) + 1
 
     def count(batches):
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [sorted(reader.counts(x).items()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in f] for f in found], type=pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], type=pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
 
-    rows = sample.select("id", "y", "text").mapInArrow(count, "id long, y int, t array<int>, c array<int>").collect()
+    rows = in_arrow(sample.select("id", "y", "text"), count, "id long, y int, t array<int>, c array<int>").collect()
     data = sorted(((r["y"], dict(zip(r["t"], r["c"], strict=True)), r["id"]) for r in rows), key=lambda r: (r[0], min(r[1], default=-1), r[2]))
     weight = np.array([share[r[0]] for r in data])
     y = np.array([r[0] for r in data], dtype=np.float64)
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], type=pa.float64()), pa.array(cols[1], type=pa.list_(pa.int64())), pa.array(cols[2], type=pa.list_(pa.float64()))], names=[*names, *added])
 
     types = [T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())]
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *map(T.StructField, added, types)]))
+    return in_arrow(kept, run, T.StructType([*kept.schema.fields, *map(T.StructField, added, types)]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
