@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import cut, table
 
 SLOTS = 1 << 20
 SUBSETS = 32
@@ -48,10 +48,10 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = IDF_LOW, high:
     total = docs.agg(F.count("*").alias("total"))
     idf = F.log((F.col("total") + 1) / F.col("df"))
     words = counts.join(F.broadcast(total))
-    words = words.filter(idf.between(low, high)).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    return words.agg(F.collect_list(F.struct("word", "bits")).alias("w")).select(
-        F.expr(f"transform(sequence(0, {SLOTS // 64 - 1}), i -> 0L)").alias("zeros"), F.map_from_entries("w").alias("m")
-    ).select(F.expr("transform(zeros, (z, i) -> coalesce(element_at(m, cast(i as bigint)), 0L))").alias("bits"))
+    kept = words.filter(idf.between(low, high)).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    every = docs.sparkSession.range(SLOTS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = kept.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("bits")))
 
 
 def subset_entries() -> str:
@@ -95,24 +95,24 @@ def likeness(x: str, y: str) -> Column:
 def with_next(rows: DataFrame, key: str, values: list[str], width: int = 256) -> DataFrame:
     """``rows`` with ``next_<value>`` of the row with the next larger key; after the last comes the first.
 
-    Rows are dealt by ranges of ``width`` consecutive keys, and each range also
-    gets the first row of the range after it. Only the least key of each range
-    is ordered as a whole, in two steps. Rows with equal keys follow each other
-    in the order of their values.
+    Rows are dealt by ranges of ``width`` consecutive keys, once. The last row
+    of each range then meets the first of the range after it; only the ranges
+    themselves are ordered as a whole, in two steps. Rows with equal keys
+    follow each other in the order of their values; a null key comes first.
     """
-    part = F.floor(F.col(key) / F.lit(width))
-    lows = rows.groupBy(part.alias("_part")).agg(F.min(key).alias("_low"))
-    wide = lows.groupBy(F.floor(F.col("_part") / F.lit(1 << 16)).alias("_wide")).agg(F.min("_low").alias("_w")).withColumn("_after", F.lead("_w").over(W.orderBy("_wide")))
-    first = lows.agg(F.min("_low").alias("_first"))
-    lows = lows.withColumn("_wide", F.floor(F.col("_part") / F.lit(1 << 16)))
-    lows = lows.withColumn("_next", F.lead("_low").over(W.partitionBy("_wide").orderBy("_part"))).join(wide.select("_wide", "_after"), "_wide").join(F.broadcast(first))
-    # A range's guard is the first key of the next range, or of all.
-    guards = lows.select(F.coalesce("_next", "_after", "_first").alias(key), F.col("_part").alias("_to"))
-    fields = [key, *values]
-    own = rows.select(*fields, part.alias("_part"), F.lit(0).alias("_guard"))
-    sent = rows.join(guards, key).select(*fields, F.col("_to").alias("_part"), F.lit(1).alias("_guard"))
-    order = W.partitionBy("_part").orderBy("_guard", key, *values)
-    return own.unionByName(sent).select("*", *[F.lead(v).over(order).alias(f"next_{v}") for v in values]).filter("_guard = 0").drop("_part", "_guard")
+    number = F.floor(F.coalesce(F.col(key), F.lit(-(1 << 62))) / F.lit(width))
+    order = W.partitionBy("_part").orderBy(key, *values)
+    dealt = rows.select(key, *values, number.alias("_part"))
+    placed = dealt.select("*", *[F.lead(v).over(order).alias(f"next_{v}") for v in values], F.row_number().over(order).alias("_n"), F.lead(F.lit(1)).over(order).alias("_more"))
+    inner = placed.filter("_more is not null").drop("_part", "_n", "_more")
+    parts = dealt.select("_part").distinct().withColumn("_wide", F.floor(F.col("_part") / F.lit(1 << 16)))
+    wide = parts.groupBy("_wide").agg(F.min("_part").alias("_low")).withColumn("_after", F.lead("_low").over(W.orderBy("_wide")))
+    first = parts.agg(F.min("_part").alias("_least"))
+    follow = parts.withColumn("_next", F.lead("_part").over(W.partitionBy("_wide").orderBy("_part"))).join(wide.select("_wide", "_after"), "_wide").join(F.broadcast(first))
+    follow = follow.select("_part", F.coalesce("_next", "_after", "_least").alias("_to"))
+    heads = placed.filter("_n = 1").select(F.col("_part").alias("_to"), *[F.col(v).alias(f"next_{v}") for v in values])
+    last = placed.filter("_more is null").select(key, *values, "_part").join(follow, "_part").join(heads, "_to")
+    return inner.unionByName(last.select(*inner.columns))
 
 
 def edited_text(text: str, following: str) -> Column:
