@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, table
-from quarry.llm.linking import bucket_links, components
+from quarry.llm.linking import bucket_groups
 
 BITS_APART, SIMILARITY = 3, 0.8
 LANE = 21
@@ -30,9 +30,9 @@ LANES = (1 << 0) | (1 << LANE) | (1 << 2 * LANE)
 BITMAP = 1 << 20
 
 
-def normalised(line: str) -> str:
-    """SQL: lower case, runs of anything but letters and digits as one blank."""
-    return rf"trim(regexp_replace(lower({line}), '[^\\p{{L}}\\p{{N}}]+', ' '))"
+def words_of(line: str) -> str:
+    """SQL for a normalised line: its words, lower-cased runs of letters and digits."""
+    return rf"array_remove(split(lower({line}), '[^\\p{{L}}\\p{{N}}]+'), '')"
 
 
 def scheme(n_lines: int, bits_apart: int = BITS_APART, bits: int = 3 * LANE) -> tuple[list[tuple[int, int]], int]:
@@ -45,59 +45,81 @@ def scheme(n_lines: int, bits_apart: int = BITS_APART, bits: int = 3 * LANE) ->
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], extra
 
 
+def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line, raw) of every line, numbered from 0."""
+    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, norm, h) of every line that isn't blank."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
-    return lines.withColumn("norm", F.expr(normalised("raw"))).filter("norm <> ''").select("doc", "line", "norm", F.xxhash64("norm").alias("h"))
+    """(doc, line, words, h) of every line that isn't blank."""
+    lines = raw_lines(docs, id_col, text_col).select("doc", "line", F.expr(words_of("raw")).alias("words"))
+    return lines.filter(F.size("words") > 0).withColumn("h", F.xxhash64("words"))
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """(doc, line, h, n_words, simhash) of each line."""
-    words = lines.select("doc", "line", "h", F.explode(F.split("norm", " ")).alias("w")).select("doc", "line", "h", F.xxhash64("w").alias("x"))
+    words = lines.select("doc", "line", "h", F.explode("words").alias("w")).select("doc", "line", "h", F.xxhash64("w").alias("x"))
     sums = words.groupBy("doc", "line", "h").agg(F.count("*").alias("n_words"), *[F.sum(F.expr(f"shiftrightunsigned(x, {j}) & {LANES}L")).alias(f"s{j}") for j in range(LANE)])
     bits = [f"if(2 * (shiftrightunsigned(s{j}, {k * LANE}) & {(1 << LANE) - 1}L) > n_words, {1 << (j + k * LANE)}L, 0L)" for j in range(LANE) for k in range(3)]
     return sums.select("doc", "line", "h", "n_words", F.expr(" | ".join(bits)).alias("simhash"))
 
 
-def keys(simhash: str, n_lines: int) -> Column:
-    """An array of bucket keys: one for each choice of agreeing blocks."""
+def masks(n_lines: int) -> list[int]:
+    """The bits of each choice of agreeing blocks."""
     blocks, agree = scheme(n_lines)
-    every = []
-    for k, chosen in enumerate(combinations(blocks, agree)):
-        mask = sum(((1 << w) - 1) << a for a, w in chosen)
-        every.append(F.xxhash64(F.lit(k), F.col(simhash).bitwiseAND(F.lit(mask))))
-    return F.array(*every)
+    return [sum(((1 << w) - 1) << a for a, w in chosen) for chosen in combinations(blocks, agree)]
 
 
-def as_characters(norm: str) -> str:
-    """SQL: a string with one character for each word of a normalised line."""
-    return f"decode(unhex(array_join(transform(split({norm}, ' '), w -> lpad(hex(1 + pmod(xxhash64(w), 55000)), 4, '0')), '')), 'UTF-16BE')"
+def keys(simhash: str, n_lines: int) -> Column:
+    """An array of bucket keys, one for each choice of agreeing blocks; the choice is in the upper 8 bits."""
+    return F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(simhash).bitwiseAND(F.lit(m))), 8).bitwiseOR(F.lit(k << 56)) for k, m in enumerate(masks(n_lines))])
+
+
+def as_characters(words: str) -> str:
+    """SQL: a string with one character for each word."""
+    return f"decode(unhex(array_join(transform({words}, w -> lpad(hex(1 + pmod(xxhash64(w), 55000)), 4, '0')), '')), 'UTF-16BE')"
+
+
+def bitmap(slots: DataFrame, size: int = BITMAP) -> Column:
+    """An array of ``size`` / 64 longs with the bits of a column ``slot`` set, as a value for each row."""
+    words = slots.groupBy(F.expr("shiftright(slot, 6)").cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    every = slots.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("w"))).scalar()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc, line): every line (from 0) that repeats an earlier line or is connected to one."""
     lines = lines_of(docs, id_col, text_col)
     every = cut(simhashes(lines))
-    info = cut(every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n_words").alias("n"), F.max("simhash").alias("s"), F.count("*").alias("copies")).withColumnRenamed("h", "id"))
+    info = cut(every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n_words").alias("words"), F.max("simhash").alias("s"), F.count("*").alias("copies")).withColumnRenamed("h", "id"))
     n_lines = info.count()
-    rows = info.select(F.explode(keys("s", n_lines)).alias("key"), "id")
+    rows = info.select("id", "words", "s", F.explode(keys("s", n_lines)).alias("key"))
 
     def near(x, y):
-        n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+        n, m = F.col(f"{x}_words"), F.col(f"{y}_words")
         return (F.bit_count(F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s"))) <= BITS_APART) & (F.abs(n - m) <= F.lit(1 - similarity + 1e-9) * F.greatest(n, m))
 
+    def first(x, y):
+        apart, which = F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s")), F.lit(None).cast("int")
+        for k, m in reversed(list(enumerate(masks(n_lines)))):
+            which = F.when(apart.bitwiseAND(F.lit(m)) == 0, k).otherwise(which)
+        return which == F.shiftrightunsigned("key", 56)
+
     def verify(pairs):
-        wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-        slot = F.pmod(F.col("h"), F.lit(BITMAP)).cast("int")
-        words = wanted.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-        bitmap = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m")).select(F.expr(f"transform(sequence(0, {BITMAP // 64 - 1}), i -> coalesce(m[i], 0L))")).scalar()
-        some = lines.withColumn("_bits", bitmap).withColumn("_slot", slot).filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").select("h", "norm")
-        coded = cut(some.join(wanted, "h").groupBy("h").agg(F.min(F.expr(as_characters("norm"))).alias("c")))
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = cut(wanted.join(info.select("id", F.col("first.doc").alias("d"), F.col("first.line").alias("l")), "id"))
+        slot = lambda d, l: F.pmod(F.xxhash64(d, l), F.lit(BITMAP)).cast("int")  # noqa: E731, E741
+        # Lines that may be wanted: the bitmap saves the rest from being parsed and dealt.
+        some = raw_lines(docs, id_col, text_col).withColumn("_bits", bitmap(wanted.select(slot("d", "l").alias("slot")))).withColumn("_slot", slot("doc", "line"))
+        some = some.filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").select("doc", "line", F.expr(words_of("raw")).alias("words"))
+        found = some.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).filter(F.xxhash64("words") == F.col("id"))
+        coded = cut(found.groupBy("id").agg(F.min(F.expr(as_characters("words"))).alias("c"))).withColumnRenamed("id", "h")
         both = pairs.join(coded.select(F.col("h").alias("a"), F.col("c").alias("x")), "a").join(coded.select(F.col("h").alias("b"), F.col("c").alias("y")), "b")
         most = f"cast(floor({1 - similarity + 1e-9} * greatest(length(x), length(y))) as int)"
         return both.filter(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
 
-    group = components(bucket_links(rows, verify, info.select("id", "n", "s"), near))
+    group = cut(bucket_groups(rows, verify, info.select("id", "words", "s"), near, first))
     named = info.join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
     heads = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")
     kept = named.join(heads, "group").select(F.col("id").alias("h"), "head")

@@ -21,6 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     before = None
     while True:
+        if edges.isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -33,12 +35,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable[[str, str], F.Column]) -> DataFrame:
-    """Links (a, b) that join whatever the buckets (key, id) of ``rows`` join.
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, component) for each node b of (a, b), in which each b has one smaller parent a.
+
+    Every round a node's parent becomes its parent's parent, so a path of n
+    nodes takes log2(n) rounds.
+    """
+    found = parents.select(F.col("b").alias("id"), F.col("a").alias("component"), F.lit(True).alias("moved"))
+    while True:
+        above = found.select(F.col("id").alias("up"), F.col("component").alias("top"))
+        found = cut(found.join(above, F.col("component") == F.col("up"), "left").select("id", F.coalesce("top", "component").alias("component"), F.col("top").isNotNull().alias("moved")))
+        if found.filter("moved").isEmpty():
+            return found.select("id", "component")
+
+
+def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable[[str, str], F.Column], first: Callable[[str, str], F.Column] | None = None) -> DataFrame:
+    """(id, component) of the connected groups that links within the buckets (key, id) of ``rows`` make.
 
     ``verify`` keeps those of distinct pairs (a, b) that are links; ``near(x,
     y)`` is a necessary condition over the columns of ``info`` (with ``id``)
-    under two prefixes, cheap and free of false negatives.
+    under two prefixes, cheap and free of false negatives. ``first`` may say
+    which one of its common buckets a pair is to meet in; it sees ``key`` too. Rows that carry all columns of ``info`` are tested
+    in their buckets. Ids without a link may be missing from the result.
 
     Not every pair of a bucket is tried. First each id meets the smallest id
     of its buckets; then only pairs that still lie in different groups meet.
@@ -46,20 +64,33 @@ def bucket_links(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], info
     of some bucket joins stay apart.
     """
     w = W.partitionBy("key")
-    multi = cut(rows.withColumn("hub", F.min("id").over(w)).withColumn("top", F.max("id").over(w)).filter("hub < top").select("key", "id", "hub"))
+    carried = [c for c in info.columns if c != "id" and c in rows.columns]
+    whole = len(carried) == len(info.columns) - 1
+    met = rows.withColumn("hub", F.min(F.struct("id", *carried)).over(w)).withColumn("top", F.max("id").over(w)).withColumn("n", F.count("*").over(w)).filter("hub.id < top").drop("top")
+    if whole:  # the condition sorts out chance meetings at once
+        pair = met.select("*", *[F.col(f"hub.{c}").alias(f"a_{c}") for c in carried], *[F.col(c).alias(f"b_{c}") for c in carried])
+        met = pair.withColumn("good", (F.col("id") > F.col("hub.id")) & near("a", "b")).filter("good or n > 2").select("key", "id", F.col("hub.id").alias("hub"), "n", "good")
+    else:
+        met = met.withColumn("good", F.col("id") > F.col("hub.id")).withColumn("hub", F.col("hub.id"))
+    multi = cut(met)
     named = lambda x: info.select(*[F.col(c).alias(f"{x}_{c}") for c in info.columns]).withColumnRenamed(f"{x}_id", x)
-    star = multi.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut(star.join(named("a"), "a").join(named("b"), "b").filter(near("a", "b")).select("a", "b"))
-    first = cut(verify(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    group = components(first)
+    star = multi.filter("good").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    star = cut(star if whole else star.join(named("a"), "a").join(named("b"), "b").filter(near("a", "b")).select("a", "b"))
+    tried = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    group = roots(verify(tried))
     other = group.select(F.col("id").alias("a"), F.col("component").alias("ga"))
     own = group.select(F.col("id").alias("b"), F.col("component").alias("gb"))
     apart = star.join(other, "a", "left").join(own, "b", "left").filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    marked = multi.select("key", "id").join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("key")
-    rest = cut(marked.join(open_, "key", "left_semi").join(info, "id"))
+    marked = multi.filter("n > 2").drop("hub", "n", "good").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    rest = marked.join(open_, "key", "left_semi").join(info, "id")
     x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in ("a", "b"))
-    pairs = x.join(y, "key").filter((F.col("a_component") < F.col("b_component")) & near("a", "b"))
+    pairs = x.join(y, "key").filter((F.col("a_component") < F.col("b_component")) & near("a", "b") & (first("a", "b") if first else F.lit(True)))
     pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).unionByName(apart).distinct()
-    pairs = pairs.join(star.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
-    return first.unionByName(cut(verify(cut(pairs))))
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    if pairs.isEmpty():
+        return group
+    more = verify(pairs).join(other, "a", "left").join(own, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+    joined = components(more).select(F.col("id").alias("root"), F.col("component").alias("final"))
+    every = group.unionByName(joined.select(F.col("root").alias("id"), F.col("root").alias("component")).join(group, "id", "left_anti").select("id", "component"))
+    return every.join(joined, F.col("component") == F.col("root"), "left").select("id", F.coalesce("final", "component").alias("component"))

@@ -356,7 +356,7 @@ def test_lines_against_plain_code(spark):
     lines += [" ".join([*rng.choice(lines).split()[:-1], "x"]) for _ in range(30)] + lines[:10]
     rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3)]
     gone = {(r.doc, r.line) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    hashes = {r.norm: r.s for r in line_dedup.simhashes(line_dedup.lines_of(spark.createDataFrame([(0, "\n".join(lines))], DOCS), "doc_id", "text")).join(line_dedup.lines_of(spark.createDataFrame([(0, "\n".join(lines))], DOCS), "doc_id", "text").select("line", "norm"), "line").select("norm", F.col("simhash").alias("s")).collect()}
+    hashes = {lines[r.line]: r.simhash for r in line_dedup.simhashes(line_dedup.lines_of(spark.createDataFrame([(0, "\n".join(lines))], DOCS), "doc_id", "text")).collect()}
 
     def edits(a, b):
         row = list(range(len(b) + 1))
