@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, cut, spread, table
-from quarry.llm.linking import bucket_links, components
+from quarry.llm.common import chunks, cut, in_arrow, spread, table
+from quarry.llm.linking import bucket_groups
 
 SIZE, PERCENT = 5, 80
 #: Bits of the sketch that filters pairs, in 64-bit words.
@@ -180,7 +180,7 @@ def per_chunk(texts: DataFrame, size: int, schema: str, rows) -> DataFrame:
             for s in chunks([len(t) for t in texts]):
                 yield rows(batch.column(0)[s], *shingle_sets(texts[s], size), seen)
 
-    return texts.mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return made.filter(pa.array(ids.to_numpy(zero_copy_only=False) == set_names(tokens, n)))  # rows that share an id may differ
 
     every = cut(per_chunk(texts, size, f"doc long, n long, id long, {', '.join(w + ' long' for w in words)}", describe))
-    info = every.filter("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", *words)])
+    info = cut(every.filter("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), *[F.max(c).alias(c) for c in ("n", *words)]))
 
     def near(x, y):
         n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
@@ -240,10 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept = batch.filter(pa.array(keep, type=pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-        return both.mapInArrow(compare, "a long, b long").distinct()
+        return in_arrow(both, compare, "a long, b long").distinct()
 
     rows = per_chunk(texts, size, "key long, id long", give)
-    group = components(bucket_links(rows, verify, info.select("id", "n", *words), near))
+    group = cut(bucket_groups(rows, verify, info.select("id", "n", *words), near))
     placed = every.select("doc", "n", "id").join(group, "id", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("c"))
     smallest = placed.filter("c is not null").groupBy("c").agg(F.min("doc").alias("component_id"))
     return placed.join(smallest, "c", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
