@@ -29,6 +29,21 @@ def bigrams(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}{2,}$"), pairs(r)).otherwise(F.array(r))))
 
 
+def segment(text: Column, dictionary: list[str]) -> Column:
+    """Forward maximum matching: at each place the longest word of the dictionary, else a run of Latin letters or digits, else one sign.
+
+    The dictionary is a request's or a small lexicon; it becomes one pattern.
+    """
+    known = "|".join(re.escape(w.lower()) for w in sorted(set(dictionary), key=lambda w: (-len(w), w)))
+    pattern = "(" + (known + "|" if known else "") + r"[a-z0-9]+|[\p{L}\p{N}])"
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(1))
+
+
+def virtual(properties: list[str]) -> Column:
+    """Several properties searched as one text."""
+    return F.concat_ws(" ", *properties)
+
+
 ANALYZERS = {"words": words, "unigrams": unigrams, "bigrams": bigrams}
 
 

@@ -67,6 +67,13 @@ def attributes(hits: DataFrame, column: str, exclude: list[str] = (), least: int
     return names, each.join(names.select("name"), "name", "left_semi") if top_names else each
 
 
+def attribute_scores(hits: DataFrame, column: str, weights: DataFrame, least: float = 0.0) -> DataFrame:
+    """(name, value, score): occurrences times the weight of (name, value) in a category's dictionary; unknown pairs weigh nothing."""
+    _, each = attributes(hits, column)
+    scored = each.join(weights, ["name", "value"]).select("name", "value", (F.col("count") * F.col("weight")).alias("score"))
+    return scored.filter(F.col("score") > least)
+
+
 def group_top(facet: DataFrame, k: int, by: list[str] = ()) -> DataFrame:
     """Labels whose count is at least the k-th largest; ties stay."""
     w = W.partitionBy(*by).orderBy(F.desc("count")) if by else W.partitionBy(F.lit(0)).orderBy(F.desc("count"))

@@ -137,3 +137,10 @@ def model(name: str | None, default: str = "bm25"):
 
 def multi_property(scores: dict[str, Column], weights: dict[str, float]) -> Column:
     return reduce(lambda x, y: x + y, [F.lit(float(weights.get(p, 1.0))) * s for p, s in scores.items()])
+
+
+def personal_boost(tokens: Column, profile: dict[str, float], share: float = 0.1) -> Column:
+    """What a user's terms add to a score, matching or not: frequency times weight times ``share``."""
+    if not profile:
+        return F.lit(0.0)
+    return once(tokens, lambda t: reduce(lambda x, y: x + y, [tf(t, w) * F.lit(v * share) for w, v in profile.items()]))

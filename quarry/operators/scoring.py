@@ -99,3 +99,21 @@ def product_rerank(hits: DataFrame, score: str, category_weight: float, offers:
         few = few.withColumn("_m", F.lit(0.0))
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("cat"), F.desc("offer"), F.desc("turn"), F.desc(F.coalesce("_m", F.lit(0.0))), "rank")
     return few.withColumn("place", F.row_number().over(order)).drop("_one", "_m")
+
+
+def merchant_score(hits: DataFrame, path: str, merchant: str, scores: DataFrame) -> DataFrame:
+    """``hits`` with ``merchant_score``: of (merchant, category, score) the row of the nearest ancestor of the path, else the general one (null category), else 0."""
+    levels = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.array_join(F.slice(path, 1, n), ">")))
+    table = scores.groupBy(F.col("merchant").alias("_m")).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("category", F.lit("")), "score"))).alias("_s"))
+    joined = hits.join(table, hits[merchant] == F.col("_m"), "left")
+    found = F.filter(F.transform(levels, lambda c: F.element_at(F.col("_s"), F.coalesce(c, F.lit("")))), lambda v: v.isNotNull())
+    return joined.withColumn("merchant_score", F.coalesce(F.get(found, F.size(found) - 1), F.lit(0.0))).drop("_m", "_s")
+
+
+def boost_labels(explicit: list[list[str]], clicked: list[list[str]], known: list[list[str]], limit: int) -> list[list[str]]:
+    """The labels to boost: those asked for, then a query's most clicked, then those its source is known for."""
+    out = []
+    for label in [*explicit, *clicked, *known]:
+        if label not in out:
+            out.append(label)
+    return out[:limit]

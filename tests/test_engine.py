@@ -231,3 +231,14 @@ def test_search(spark):
         SearchRequest.from_json({"serch": {}})
     with pytest.raises(ValueError):
         CollectionSchema("x", "id", (Property("id"), Property("id")))
+
+
+def test_dictionaries(spark):
+    assert one(spark, text.segment(F.col("t"), ["中国", "中国人", "人民"]), t="中国人民 ABC1好") == ["中国人", "民", "abc1", "好"]
+    df = spark.createDataFrame([(1, [("c", ["red", "red"])]), (2, [("c", ["blue"])])], "id int, a array<struct<name:string,values:array<string>>>")
+    w = spark.createDataFrame([("c", "red", 2.0)], "name string, value string, weight double")
+    assert [tuple(r) for r in facets.attribute_scores(df, "a", w).collect()] == [("c", "red", 4.0)]
+    hits = spark.createDataFrame([(1, "m", ["A", "B"]), (2, "m", ["C"]), (3, "n", ["A"])], "id int, m string, p array<string>")
+    scores = spark.createDataFrame([("m", None, 1.0), ("m", "A", 5.0)], "merchant string, category string, score double")
+    assert {r.id: r.merchant_score for r in scoring.merchant_score(hits, "p", "m", scores).collect()} == {1: 5.0, 2: 1.0, 3: 0.0}
+    assert scoring.boost_labels([["a"]], [["a"], ["b"]], [["c"]], 2) == [["a"], ["b"]]
