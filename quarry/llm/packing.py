@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import Vocabulary, chunks, spread, table
+from quarry.llm.common import Vocabulary, chunks, in_arrow, spread, table
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 64 * 2048
+#: Distinct words that a worker remembers, and words in a line for the tokenizer.
+WORDS_KEPT, LINE = 400_000, 256
+MARKS = (".", ",")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -47,9 +50,38 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.words = load_tokenizer(path), Vocabulary()
+        self.tokenizer, self.words = load_tokenizer(path), Vocabulary(WORDS_KEPT)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.forget()
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and each word's number of ids.
+
+        Words of letters, with a mark behind or not, go to the tokenizer in long
+        lines: the ids that end a word or mark part them again. A line where
+        those don't add up, and other words, are encoded one by one.
+        """
+        parts = [1 if w.isalpha() else 2 if w[-1:] in MARKS and w[:-1].isalpha() else 0 for w in words]
+        plain = [k for k, n in enumerate(parts) if n]
+        lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
+        found: list = [None] * len(words)
+        for line, e in zip(lines, self.batch([" ".join([words[k] for k in line]) for line in lines]), strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum([parts[k] for k in line]) - 1
+            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+                ends = ends[last]
+                for k, a, b in zip(line, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    found[k] = ids[a:b]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, e in zip(rest, self.batch([words[k] for k in rest]), strict=True):
+            found[k] = np.array(e.ids, dtype=np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
+
+    def batch(self, lines: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+
     def forget(self):
         self.words.clear()
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -61,11 +93,10 @@ class WordTokenizer:
             self.forget()
         flat, n_words = self.words.number([t.replace("\n", " ").split(" ") for t in texts])
         if fresh := self.words.fresh():
-            new = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in new], dtype=np.int64)
+            new, lengths = self.encode_words(fresh)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], dtype=np.uint32)])
+            self.ids = np.concatenate([self.ids, new])
         lengths = self.lengths[flat]
         body = self.ids[spread(self.starts[flat], lengths)]
         before = np.concatenate([[0], np.cumsum(lengths)])
@@ -169,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 held = {k: (held[k][0], held[k][1][start - held[k][2] : start - held[k][2] + length].copy(), start) for length, k, start in carried}
         yield rows(powers(carried))
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")), run, SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
