@@ -1,16 +1,18 @@
 """Removing repeated lines, also fuzzy ones, with DataFrame operations only.
 
 Lines are normalised (lower case, runs of letters and digits) and named by a
-hash of that. Each gets a SimHash of its words; names whose SimHashes differ in
-at most ``BITS_APART`` of 63 bits share enough whole blocks of bits to meet in
-a bucket (pigeonhole). Pairs are verified by the edit distance of their words:
-each word becomes one character, so that the built-in Levenshtein distance
-counts words. Of each connected group of lines the first occurrence, by
-document and line number, stays.
-
-SimHash sums are built by plain aggregation: a word's hash is spread over 21
-longs, each with three lanes of 21 bits, so that sums of these longs count all
-63 bits of up to two million words a line.
+hash of that. A line's pairs of neighbouring words are sorted, rare words
+first, and lines meet in buckets by so many of the first of them that no two
+lines of the similarity can miss each other (``rare_keys``). Pairs are verified
+by the edit distance of their words: each word becomes one character, so that
+the built-in Levenshtein distance counts words. Of each connected group of
+lines the first occurrence, by document and line number, stays.
+
+``repeated_lines`` is the narrower search by SimHash: names whose SimHashes
+differ in at most ``BITS_APART`` of 63 bits share enough whole blocks of bits
+to meet in a bucket (pigeonhole). SimHash sums are built by plain aggregation:
+a word's hash is spread over 21 longs, each with three lanes of 21 bits, so
+that sums of these longs count all 63 bits of up to two million words a line.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ LANE = 21
 LANES = (1 << 0) | (1 << LANE) | (1 << 2 * LANE)
 #: Bits of the bitmap of wanted lines, a fixed size.
 BITMAP = 1 << 20
+#: Slots of the table of word counts, a fixed size.
+LEVELS = 1 << 17
 
 
 def words_of(line: str) -> str:
@@ -88,23 +92,8 @@ def bitmap(slots: DataFrame, size: int = BITMAP) -> Column:
     return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("w"))).scalar()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, line): every line (from 0) that repeats an earlier line or is connected to one."""
-    lines = lines_of(docs, id_col, text_col)
-    every = cut(simhashes(lines))
-    info = cut(every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n_words").alias("words"), F.max("simhash").alias("s"), F.count("*").alias("copies")).withColumnRenamed("h", "id"))
-    n_lines = info.count()
-    rows = info.select("id", "words", "s", F.explode(keys("s", n_lines)).alias("key"))
-
-    def near(x, y):
-        n, m = F.col(f"{x}_words"), F.col(f"{y}_words")
-        return (F.bit_count(F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s"))) <= BITS_APART) & (F.abs(n - m) <= F.lit(1 - similarity + 1e-9) * F.greatest(n, m))
-
-    def first(x, y):
-        apart, which = F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s")), F.lit(None).cast("int")
-        for k, m in reversed(list(enumerate(masks(n_lines)))):
-            which = F.when(apart.bitwiseAND(F.lit(m)) == 0, k).otherwise(which)
-        return which == F.shiftrightunsigned("key", 56)
+def same_group(docs: DataFrame, every: DataFrame, info: DataFrame, rows: DataFrame, near, first, name: Column, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(doc, line) of every line but the first of each group that verified pairs of ``rows`` make; ``name`` names a line by its ``words``."""
 
     def verify(pairs):
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -113,7 +102,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Lines that may be wanted: the bitmap saves the rest from being parsed and dealt.
         some = raw_lines(docs, id_col, text_col).withColumn("_bits", bitmap(wanted.select(slot("d", "l").alias("slot")))).withColumn("_slot", slot("doc", "line"))
         some = some.filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").select("doc", "line", F.expr(words_of("raw")).alias("words"))
-        found = some.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).filter(F.xxhash64("words") == F.col("id"))
+        found = some.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).filter(name == F.col("id"))
         coded = cut(found.groupBy("id").agg(F.min(F.expr(as_characters("words"))).alias("c"))).withColumnRenamed("id", "h")
         both = pairs.join(coded.select(F.col("h").alias("a"), F.col("c").alias("x")), "a").join(coded.select(F.col("h").alias("b"), F.col("c").alias("y")), "b")
         most = f"cast(floor({1 - similarity + 1e-9} * greatest(length(x), length(y))) as int)"
@@ -126,6 +115,90 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return every.select("doc", "line", "h").join(kept, "h").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line")
 
 
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, line): every line (from 0) that repeats an earlier line or is connected to one by SimHashes at most ``BITS_APART`` apart.
+
+    Misses most lines that differ in a word; ``similar_lines`` finds them all.
+    """
+    lines = lines_of(docs, id_col, text_col)
+    every = cut(simhashes(lines))
+    info = cut(every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n_words").alias("words"), F.max("simhash").alias("s"), F.count("*").alias("copies")).withColumnRenamed("h", "id"))
+    n_lines = info.count()
+    rows = info.select("id", "words", "s", F.explode(keys("s", n_lines)).alias("key"))
+
+    def near(x, y):
+        n, m = F.col(f"{x}_words"), F.col(f"{y}_words")
+        return (F.bit_count(F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s"))) <= BITS_APART) & (F.abs(n - m) <= F.lit(1 - similarity + 1e-9) * F.greatest(n, m))
+
+    def first(x, y):
+        apart, which = F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s")), F.lit(None).cast("int")
+        for k, m in reversed(list(enumerate(masks(n_lines)))):
+            which = F.when(apart.bitwiseAND(F.lit(m)) == 0, k).otherwise(which)
+        return which == F.shiftrightunsigned("key", 56)
+
+    return same_group(docs, every, info, rows, near, first, F.xxhash64("words"), id_col, text_col, similarity)
+
+
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line, hs) of every line that isn't blank: the hashes of its words."""
+    of_line = f"transform(split({text_col}, '\\n'), l -> transform({words_of('l')}, w -> xxhash64(w)))"
+    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.expr(of_line)).alias("line", "hs")).filter(F.size("hs") > 0)
+
+
+def word_levels(lines: DataFrame) -> Column:
+    """An array with 16 times the binary logarithm of the count of each slot of words, as a value for each row."""
+    counts = lines.select(F.explode("hs").alias("x")).groupBy(F.expr(f"cast(x & {LEVELS - 1} as int)").alias("slot")).agg(F.count("*").alias("n"))
+    every = counts.unionByName(lines.sparkSession.range(LEVELS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("n")))
+    full = every.groupBy("slot").agg(F.expr("cast(least(16 * log2(1 + sum(n)), 511) as int)").alias("level"))
+    return cut(full.agg(F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("w")).select(F.expr("transform(w, x -> x.level)").alias("w"))).scalar()
+
+
+def rare_keys(n: str, apart: float) -> str:
+    """SQL for the bucket keys of a line of ``n`` words with the keys ``grams`` of its word pairs: the rarest of them.
+
+    An edit spoils at most two of a line's pairs, so that a similar line of m
+    >= n words has m - 1 - 2 * apart * m of them in common at least; two sorted
+    lists with so much in common have a pair in common within their first
+    entries. Where that bound is nothing, single words are the grams.
+    """
+    q = grams(apart)
+    common = f"greatest(1, cast(ceil({n} * {1 - q * apart!r} - {q - 1}) as int))"
+    # No line can differ from one so short and yet be similar.
+    return f"if({n} / {1 - apart!r} * {apart!r} < 1, cast(array() as array<bigint>), array_distinct(slice(sort_array(grams), 1, greatest(0, {n} - {q - 1} - {common} + 1))))"
+
+
+def grams(apart: float) -> int:
+    return 2 if apart < 1 / 3 else 1
+
+
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, line): every line (from 0) that repeats an earlier line or is connected to one by edit similarities alone; no pair is missed."""
+    apart = 1 - similarity + 1e-9
+    lines = hashed_lines(docs, id_col, text_col)
+    # The levels are used once, in the projection after their own: so the optimizer puts them in place and no row carries them.
+    known = lines.withColumn("_levels", word_levels(lines)).select("doc", "line", "hs", F.expr(f"transform(hs, x -> _levels[cast(x & {LEVELS - 1} as int)])").alias("ls"))
+    known = known.withColumn("n", F.size("hs"))
+    if grams(apart) == 2:
+        rest = lambda c: f"slice({c}, 1, n - 1), slice({c}, 2, n - 1)"
+        made = f"zip_with(zip_with({rest('ls')}, (a, b) -> a + b), zip_with({rest('hs')}, (a, b) -> xxhash64(a, b)), (l, x) -> shiftleft(cast(l as bigint), 53) | shiftrightunsigned(x, 11))"
+    else:
+        made = "zip_with(ls, hs, (l, x) -> shiftleft(cast(l as bigint), 53) | shiftrightunsigned(xxhash64(x), 11))"
+    parity = "aggregate(hs, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))"
+    each = known.select("doc", "line", F.xxhash64("hs").alias("id"), "n", F.expr(parity).alias("s"), F.expr(made).alias("grams")).withColumn("keys", F.expr(rare_keys("n", apart)))
+    best = each.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n").cast("long").alias("words"), F.max("s").alias("s"), F.count("*").alias("copies"), F.max("keys").alias("keys"))
+    info = cut(best)
+    rows = info.select("id", "words", "s", F.explode("keys").alias("key"))
+
+    def near(x, y):
+        n, m = F.col(f"{x}_words"), F.col(f"{y}_words")
+        most = F.floor(F.lit(apart) * F.greatest(n, m))
+        return (F.abs(n - m) <= most) & (F.bit_count(F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s"))) <= 2 * most)
+
+    name = F.expr("xxhash64(transform(words, w -> xxhash64(w)))")
+    every = lines.select("doc", "line", F.xxhash64("hs").alias("h"))
+    return same_group(docs, every, info.drop("keys"), rows, near, None, name, id_col, text_col, similarity)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``n_lines`` and ``n_removed`` beside it.
 
@@ -135,7 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first. A document may lose all its lines; it then has an empty text.
     Columns named n_lines or n_removed are replaced, all others are kept.
     """
-    gone = repeated_lines(docs, id_col, text_col, similarity).groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc")
     rest = docs.drop("n_lines", "n_removed")
     both = rest.join(gone, rest[id_col].eqNullSafe(F.col("_doc")), "left").drop("_doc")
     lines = f"split({text_col}, '\\n')"

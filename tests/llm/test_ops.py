@@ -382,6 +382,51 @@ def test_lines_against_plain_code(spark):
     assert gone == {(d, k) for i, (d, k, _) in enumerate(every) if top(i) != i}
 
 
+def test_lines_against_edit_similarity_alone(spark):
+    draw = random.Random(11)
+    words = lambda n: [draw.choice(VOCAB) for _ in range(n)]
+    lines = []
+    for n in (3, 4, 5, 9, 10, 11, 20, 27, 40, 80):
+        for _ in range(4):
+            base = words(n)
+            lines.append(base)
+            for change in range(3):
+                w = list(base)
+                for _ in range(draw.choice([n // 5, n // 5 + 1])):
+                    at = draw.randrange(len(w))
+                    w[at : at + (change != 1)] = [] if change == 2 and len(w) > 1 else [draw.choice(VOCAB)]
+                lines.append(w)
+    lines += [["same"] * n for n in (5, 6, 8, 30, 36, 50)] + [["a", "b"] * 10, ["b", "a"] * 10]
+    draw.shuffle(lines)
+    rows = [(k, "\n".join(" ".join(w) for w in lines[4 * k : 4 * k + 4])) for k in range(len(lines) // 4)]
+    every = [(d, k, t.split()) for d, text in rows for k, t in enumerate(text.split("\n"))]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    parent = list(range(len(every)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(enumerate(every), 2):
+        if edits(a[2], b[2]) <= 0.2 * max(len(a[2]), len(b[2])) + 1e-9:
+            x, y = top(i), top(j)
+            parent[max(x, y)] = min(x, y)
+    gone = {(r.doc, r.line) for r in line_dedup.similar_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {(d, k) for i, (d, k, _) in enumerate(every) if top(i) != i}
+    assert gone == want and len(want) > 40
+    removed = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(removed.values()) == len(want)
+
+
 def test_digests(spark, tmp_path):
     df = spark.createDataFrame([(3, "abcd"), (9, "wxyz")], DOCS)
     df.write.parquet(str(tmp_path / "documents.parquet"))
