@@ -246,6 +246,16 @@ def test_near_duplicates(spark, docs, size, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(ROWS, size, percent)
 
 
+def test_pipeline_drops_near_copies_only(spark):
+    import corpus_pipeline
+
+    texts = [prose(40) for _ in range(9)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2] + " end"), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[2]), (5, texts[5]), (4, texts[5] + " end"), (None, None), (None, None), (9, ""), (None, texts[6]), (None, texts[6])]
+    out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS).repartition(3), "")
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[3]), (7, texts[4]), (8, texts[2]), (4, texts[5] + " end"), (None, None), (None, None), (9, ""), (None, texts[6])]
+    assert out.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert shingle_join.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (None, None)], DOCS)
