@@ -216,6 +216,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made = pa.RecordBatch.from_arrays([ids, pa.array(sets, type=pa.binary())], names=["id", "tokens"])
         return made.filter(pa.array(ids.to_numpy(zero_copy_only=False) == set_names(tokens, n)))  # rows that share an id may differ
 
+    def again(_, tokens, n, __):
+        ends = np.cumsum(n)
+        sets = [tokens[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(set_names(tokens, n)), pa.array(sets, type=pa.binary())], names=["id", "tokens"])
+
     every = cut(per_chunk(texts, size, f"doc long, n long, id long, {', '.join(w + ' long' for w in words)}", describe))
     info = cut(every.filter("n > 0").groupBy("id").agg(F.min("doc").alias("doc"), *[F.max(c).alias(c) for c in ("n", *words)]))
 
@@ -227,7 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verify(pairs):
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(info.select("id", "doc"), "id")
         one = texts.join(wanted, "doc").select("id", "text")
-        sets = cut(per_chunk(one, size, "id long, tokens binary", whole))
+        # A set none of whose rows has an id is fetched by its name, computed again.
+        nameless = per_chunk(texts.filter("doc is null").select("doc", "text"), size, "id long, tokens binary", again)
+        nameless = nameless.join(wanted.filter("doc is null").select("id"), "id", "left_semi").dropDuplicates(["id"])
+        sets = cut(per_chunk(one, size, "id long, tokens binary", whole).unionByName(nameless))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
         def compare(batches):

@@ -246,6 +246,15 @@ def test_near_duplicates(spark, docs, size, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(ROWS, size, percent)
 
 
+def test_near_duplicates_by_a_null_id(spark):
+    words = prose(100).split()
+    changed = lambda k: " ".join(["new"] * k + words[k:])
+    # 0 and 18 new words are too far apart, each is near 9 new words; the ids of that text are all null
+    rows = [(1, changed(0)), (None, changed(9)), (None, changed(9)), (2, changed(18)), (None, prose(30)), (None, prose(30)), (3, prose(30))]
+    out = shingle_join.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in out.collect()) == [("1", "1"), ("2", "1"), ("3", "3"), ("None", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
+
+
 def test_pipeline_drops_near_copies_only(spark):
     import corpus_pipeline
 
