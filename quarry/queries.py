@@ -321,6 +321,11 @@ def highlighted(spark, d):
     return read(spark, d, "documents").filter("lang = 'en' and text rlike '^[\\\\x00-\\\\x7F]*$' and not contains(text, '_')").select("doc_id", text.highlight(F.col("text"), ["the", "of"]).alias("text"))
 
 
+@query()
+def highlighted_all(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.highlight(F.col("text"), ["the", "of"]).alias("text"))
+
+
 @query()
 def snippets(spark, d):
     return read(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), ["hain", "thion"]).alias("snippet"))
@@ -331,6 +336,12 @@ def normalized(spark, d):
     return read(spark, d, "benchmark").filter(~F.col("text").contains("\n")).select("item_id", F.array_join(F.array_sort(F.split(F.lower("text"), " ")), " ").alias("norm"))
 
 
+@query()
+def normalized_all(spark, d):
+    norm = F.udf(lambda t: None if t is None else text.normalized_query(t), "string")
+    return read(spark, d, "benchmark").select("item_id", norm("text").alias("norm"))
+
+
 # Scores and reranking
 
 

@@ -1,9 +1,12 @@
 """Operators on small fixtures."""
 
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.functions import geo, paths, text
 from quarry.operators import ads, conditions, expression, facets, querylang, scoring, sorting, suffix, suggest
 from quarry.plans.request import SearchRequest
@@ -242,3 +245,39 @@ def test_dictionaries(spark):
     scores = spark.createDataFrame([("m", None, 1.0), ("m", "A", 5.0)], "merchant string, category string, score double")
     assert {r.id: r.merchant_score for r in scoring.merchant_score(hits, "p", "m", scores).collect()} == {1: 5.0, 2: 1.0, 3: 0.0}
     assert scoring.boost_labels([["a"]], [["a"], ["b"]], [["c"]], 2) == [["a"], ["b"]]
+
+
+def test_whole_table_queries_against_plain_code(spark, tmp_path):
+    texts = ["The end of it", "thé the_of OF, of", "éthe theé ofß of9 the", "the the\nof\tthe", "of. The-of", "", None, "在the中 the。of", "HTC one\nM7", "b  a\u00a0c\u3000Äa a"]
+    spark.createDataFrame([(k, t, [None, "en", "de"][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def tagged(t):
+        if t is None:
+            return None
+        out, i = "", 0
+        while i < len(t):
+            inside = i > 0 and unicodedata.category(t[i - 1])[0] in "LN"
+            for w in ("the", "of"):
+                end = i + len(w)
+                if not inside and t[i:end].lower() == w and not (end < len(t) and unicodedata.category(t[end])[0] in "LN"):
+                    out, i = f"{out}<b>{t[i:end]}</b>", end
+                    break
+            else:
+                out, i = out + t[i], i + 1
+        return out
+
+    def bag(t):
+        if t is None:
+            return None
+        words, word = [], ""
+        for c in t.lower() + " ":
+            if not c.isspace():
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        return " ".join(sorted(words))
+
+    assert {r.doc_id: r.text for r in queries.QUERIES["highlighted_all"](spark, str(tmp_path)).collect()} == {k: tagged(t) for k, t in enumerate(texts)}
+    assert {r.item_id: r.norm for r in queries.QUERIES["normalized_all"](spark, str(tmp_path)).collect()} == {k: bag(t) for k, t in enumerate(texts)}
