@@ -7,9 +7,11 @@ import contextlib
 import tempfile
 import uuid
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 2_000_000
 #: Bytes of a batch that goes to a Python worker. A batch is held several times over on its way.
 BATCH = "2m"
-#: Distinct words that a worker remembers between chunks.
-WORDS_KEPT = 250_000
+#: Bits of the bitmaps of wanted rows, fixed sizes.
+BITMAP, WIDE_BITMAP = 1 << 20, 1 << 24
+#: Distinct words and stems that a worker remembers between chunks.
+WORDS_KEPT, STEMS_KEPT = 250_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,25 +30,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests on one machine."""
+    """The session's ``spark.checkpoint.dir``; where that is unset and all runs on this machine, as in tests, it is set to a new folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark, "_quarry_folder", None) or tempfile.mkdtemp(prefix="quarry-")
-        spark._quarry_folder = folder
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it from there, which ends its lineage."""
+    """Write ``df`` as a table in the shared folder and read it from there, which ends its lineage.
+
+    The table goes when ``free`` is told or the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` made and nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._quarry_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a table when the program ends, if the session still runs."""
     context = spark.sparkContext
     if context._jsc is not None:
         with contextlib.suppress(Exception):
@@ -52,6 +68,24 @@ def _remove(spark: SparkSession, path: str) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bitmap(slots: DataFrame, size: int = BITMAP) -> Column:
+    """An array of ``size`` / 64 longs with the bits of a column ``slot`` set, as a value for each row."""
+    words = slots.groupBy(F.expr("shiftright(slot, 6)").cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    every = slots.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("w"))).scalar()
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, *by: str, size: int = BITMAP) -> DataFrame:
+    """Rows of ``df`` whose columns ``by`` may be those of a row of ``wanted``: all that are, and few others as long as these are few for the bitmap.
+
+    A bitmap of fixed size decides in the scan, so that only such rows are dealt.
+    """
+    slot = F.pmod(F.xxhash64(*by), F.lit(size)).cast("int")
+    marked = df.withColumn("_bits", bitmap(wanted.select(slot.alias("slot")), size)).withColumn("_slot", slot)
+    return marked.filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").drop("_bits", "_slot")
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` in batches of a few MB, so that long texts don't fill a worker's memory.
 
@@ -94,20 +128,60 @@ class Vocabulary:
 
     def number(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all documents in a row, and the number of words of each document."""
-        get = self.index.__getitem__
-        flat = [get(w) for words in docs for w in words]
-        return np.array(flat, dtype=np.int64), np.array([len(x) for x in docs], dtype=np.int64)
+        n, get = np.array([len(x) for x in docs], dtype=np.int64), self.index.__getitem__
+        return np.fromiter(map(get, chain.from_iterable(docs)), dtype=np.int64, count=int(n.sum())), n
 
     def fresh(self) -> list:
         """Words numbered since the last call."""
         n = len(self.index)
         if n == self.known:
             return []
-        items = list(self.index)[self.known :]
+        items = list(islice(self.index, self.known, None))
         self.known = n
         return items
 
 
+class StemCoder:
+    """Ids of words by their stems, each of which is encoded once as long as it is remembered.
+
+    ``encode`` gives all ids of a list of stems in a row and each one's number
+    of ids. ``marks`` are characters and their ids: one behind a letter is cut
+    off first, which is right for models that never join the two. ``fold``
+    lower-cases A-Z, for models that do so themselves.
+    """
+
+    def __init__(self, encode, marks: dict[str, int], fold: bool, kept: int = STEMS_KEPT):
+        self.encode, self.fold, self.stems = encode, fold, Vocabulary(kept)
+        self.marks, self.mark_ids = pa.array(list(marks), type=pa.string()), np.array([*marks.values(), 0], dtype=np.int64)
+        self.forget()
+
+    def forget(self):
+        self.stems.clear()
+        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids_of(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of words in a row, and each word's number of ids."""
+        if self.stems.known > self.stems.kept:
+            self.forget()
+        head = pc.utf8_slice_codeunits(words, 0, -1)
+        mark = pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=self.marks)
+        cut_off = pc.and_(pc.is_valid(mark), pc.utf8_is_alpha(pc.utf8_slice_codeunits(head, -1)))
+        stems = pc.if_else(cut_off, head, words)
+        coded = (pc.ascii_lower(stems) if self.fold else stems).dictionary_encode()
+        at, _ = self.stems.number([coded.dictionary.to_pylist()])
+        if fresh := self.stems.fresh():
+            ids, lengths = self.encode(fresh)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        at = at[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else at
+        lengths, marked = self.lengths[at], np.flatnonzero(cut_off.to_numpy(zero_copy_only=False))
+        which = pc.fill_null(mark, len(self.marks)).to_numpy(zero_copy_only=False)[marked]
+        ids = np.insert(self.ids[spread(self.starts[at], lengths)], np.cumsum(lengths)[marked], self.mark_ids[which])
+        lengths[marked] += 1
+        return ids, lengths
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i]+1, ... for lengths[i] each, all in a row."""
     ends = np.cumsum(lengths)

@@ -1,12 +1,17 @@
 """I-Match fingerprints of documents, with DataFrame operations only.
 
-Terms are words hashed to ``SLOTS`` slots; a slot's document frequency counts
-every document. The lexicon is the slots whose inverse document frequency lies
-in a band, kept as a bitmap of fixed size. A document's distinct lexicon terms
-are sorted and hashed as a whole and for each of several randomised subsets of
-the lexicon: families of ``SUBSETS`` subsets each, of all of the lexicon or a
-random quarter, sixteenth, ... of it. The finer subsets of small families
-still agree when two long documents share only part of their terms.
+Terms are words by their 64-bit hashes; document frequencies count every
+document. The lexicon is the terms whose inverse document frequency lies in a
+band: neither words of nearly every text nor rare ones, such as typos and ids.
+As the upper edge is a share of the documents, the lexicon can't have more
+terms than ``exp(IDF_HIGH)`` times a document's mean number of terms, whatever
+the size of the corpus: so it is one value, a hash table in arrays.
+
+A document's distinct lexicon terms are sorted and hashed as a whole and for
+each of several randomised subsets of the lexicon: families of ``SUBSETS``
+subsets each, of all of the lexicon or a random quarter, sixteenth, ... of it.
+The finer subsets of small families still agree when two long documents share
+only part of their terms.
 
 The likeness of two fingerprints is the share of subsets with equal hashes
 among those in which either document has a term.
@@ -18,50 +23,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, maybe_in, table
 
-SLOTS = 1 << 20
 SUBSETS = 32
 #: Shares of the lexicon in each family are 1, 1/4, 1/16, 1/64.
 FAMILIES = 4
-#: The band: natural logarithm of documents per document with the term.
-IDF_LOW, IDF_HIGH = 1.5, 30.0
-#: A fingerprint covers all of a document's terms if fewer than this many are in the lexicon.
-LEAST_TERMS = 3
+#: The band: natural logarithm of documents per document with the term; and the least number of these.
+IDF_LOW, IDF_HIGH, LEAST_DF = 1.5, 8.0, 2
+#: Buckets of the lexicon's hash table.
+BUCKETS = 1 << 16
+#: Of the table of ids: ranges with equal numbers of rows, in which parts have so many rows on average.
+RANGES, PART_ROWS = 512, 256
 
 
-def slots(text: str) -> str:
-    """SQL for the distinct slots of a text's words: runs of letters, digits and code points over 127, A-Z lower-cased."""
+def terms_of(text: str) -> str:
+    """SQL for the distinct hashes of a text's words: runs of letters, digits and code points over 127, A-Z lower-cased."""
     lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"filter(split({lower}, '[^0-9a-z\\\\x{{80}}-\\\\x{{10FFFF}}]+'), w -> w <> '')"
-    return f"array_distinct(transform({words}, w -> cast(pmod(xxhash64(w), {SLOTS}) as int)))"
+    return f"array_distinct(transform({words}, w -> xxhash64(w)))"
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame:
-    """One row: ``bits``, an array of SLOTS / 64 longs with a bit set for each slot in the band.
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH, least: int = LEAST_DF) -> DataFrame:
+    """One row: ``buckets``, BUCKETS arrays with the terms of the band, each in that of its last bits.
 
-    Counts slots over all documents; what is exchanged is a row for each slot
-    and task, whatever the number of documents, and the bitmap has a fixed size.
+    Counts terms over all documents; what is exchanged is a row for each term
+    and task. Null and empty texts count as documents without a term; without
+    any document all buckets are empty.
     """
-    found = docs.select(F.explode(F.expr(slots(f"coalesce({text_col}, '')"))).alias("slot"))
-    counts = found.groupBy("slot").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))
-    idf = F.log((F.col("total") + 1) / F.col("df"))
-    words = counts.join(F.broadcast(total))
-    kept = words.filter(idf.between(low, high)).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    every = docs.sparkSession.range(SLOTS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    full = kept.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("bits")))
+    found = docs.select(F.explode(F.expr(terms_of(f"coalesce({text_col}, '')"))).alias("term"))
+    total = docs.agg(F.count("*").alias("total")).scalar()
+    idf = F.log((total + F.lit(1)) / F.col("df"))
+    kept = found.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= least) & idf.between(low, high))
+    slot = F.col("term").bitwiseAND(BUCKETS - 1)
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("slot"), F.array().cast("array<bigint>").alias("terms"))
+    full = kept.groupBy(slot.alias("slot")).agg(F.collect_list("term").alias("terms")).unionByName(every).groupBy("slot").agg(F.max_by("terms", F.size("terms")).alias("terms"))
+    return cut(full.agg(F.array_sort(F.collect_list(F.struct("slot", "terms"))).alias("b")).select(F.expr("transform(b, x -> x.terms)").alias("buckets")))
 
 
 def subset_entries() -> str:
-    """SQL for the entries of an array ``terms`` of distinct slots, one for each subset that has a term.
+    """SQL for the entries of an array ``terms`` of distinct hashes, one for each subset that has a term.
 
     A subset's entry has its number in the upper and its terms' hash in the
     lower 32 bits. Terms are dealt to subsets by a hash, sorted, and folded.
     """
     spread = "xxhash64(t, 7)"
-    of_family = [f"transform(filter(terms, t -> {spread} & {4**k - 1} = 0), t -> shiftleft(cast({k * SUBSETS} + (shiftrightunsigned(xxhash64(t, {11 + k}), 20) & {SUBSETS - 1}) as bigint), 32) | t)" for k in range(FAMILIES)]
+    of_family = [f"transform(filter(terms, t -> {spread} & {4**k - 1} = 0), t -> shiftleft(cast({k * SUBSETS} + (shiftrightunsigned(xxhash64(t, {11 + k}), 20) & {SUBSETS - 1}) as bigint), 32) | (t & 4294967295L))" for k in range(FAMILIES)]
     keyed = f"array_sort(concat({', '.join(of_family)}))"
     return f"""aggregate({keyed},
         named_struct('at', -1L, 'h', 0L, 'out', cast(array() as array<bigint>)),
@@ -71,12 +77,18 @@ def subset_entries() -> str:
         a -> if(a.at < 0, a.out, concat(a.out, array(shiftleft(a.at, 32) | (a.h & 4294967295L)))))"""
 
 
-def fingerprints(texts: DataFrame, bits: Column, text_col: str, out: str) -> DataFrame:
-    """``texts`` with ``out``: array<bigint>, the whole document's hash first, then the subsets' entries."""
-    kept = "filter(_slots, t -> shiftright(_bits[shiftright(t, 6)], t & 63) & 1L = 1L)"
-    with_bits = texts.withColumn("_slots", F.expr(slots(f"coalesce({text_col}, '')"))).withColumn("_bits", bits)
-    with_terms = with_bits.withColumn("_kept", F.expr(kept)).withColumn("terms", F.expr(f"if(size(_kept) < {LEAST_TERMS}, _slots, _kept)"))
-    return with_terms.withColumn(out, F.expr(f"concat(array(xxhash64(array_sort(terms))), {subset_entries()})")).drop("_slots", "_bits", "_kept", "terms")
+def fingerprints(texts: DataFrame, buckets: Column, text_col: str, out: str) -> DataFrame:
+    """``texts`` with ``out``: array<bigint>, the whole document's hash first, then the subsets' entries.
+
+    A document without a lexicon term is fingerprinted by all its terms. Null
+    texts count as empty and have the hash of no terms alone; texts of any
+    length are read whole; other columns stay, but one named ``out`` is
+    replaced. Equal texts have equal fingerprints.
+    """
+    kept = f"filter(_all, t -> array_contains(_buckets[cast(t & {BUCKETS - 1} as int)], t))"
+    with_terms = texts.withColumn("_all", F.expr(terms_of(f"coalesce({text_col}, '')"))).withColumn("_buckets", buckets).withColumn("_kept", F.expr(kept))
+    with_terms = with_terms.withColumn("terms", F.array_sort(F.expr("if(size(_kept) = 0, _all, _kept)")))
+    return with_terms.withColumn(out, F.expr(f"concat(array(xxhash64(terms)), {subset_entries()})")).drop("_all", "_buckets", "_kept", "terms")
 
 
 def text_of(fingerprint: str) -> Column:
@@ -92,27 +104,58 @@ def likeness(x: str, y: str) -> Column:
     return F.expr(f"if({x} is null or {y} is null, null, if({both} = 0, 1D, size(array_intersect({rest(x)}, {rest(y)})) / cast({both} as double)))")
 
 
-def with_next(rows: DataFrame, key: str, values: list[str], width: int = 256) -> DataFrame:
+def place_in(bounds: str, value: str, or_equal: bool, size: int = RANGES) -> str:
+    """SQL for the number of ascending ``bounds`` under ``value`` (or equal to it), by binary search; ``size`` is a power of two over theirs."""
+    steps = ", ".join(str(size >> k) for k in range(1, size.bit_length()))
+    return f"aggregate(array({steps}), 0, (at, s) -> if(get({bounds}, at + s - 1) {'<=' if or_equal else '<'} {value}, at + s, at))"
+
+
+def parted(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """``rows`` with ``_range`` and ``_part``, whose order is that of (key, tie): a few hundred rows have a part in common.
+
+    Ranges hold about equal numbers of rows, by percentiles of the keys; a key
+    with so many rows that it is several percentiles has its rows dealt to as
+    many ranges by ``tie``, a hash. In a range keys are dealt evenly.
+    """
+    value = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62)))
+    shares = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    known = cut(rows.agg(F.percentile_approx(value, F.expr(f"array({shares})"), 10_000).alias("bounds"), F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")))
+    with_bounds = rows.withColumn("_key", value).withColumn("_bounds", known.select("bounds").scalar())
+    under = F.expr(place_in("_bounds", "_key", False))
+    with_place = with_bounds.withColumn("_under", under).withColumn("_upto", F.expr(place_in("_bounds", "_key", True)))
+    with_range = with_place.withColumn("_range", F.expr(f"_under + cast(floor((_upto - _under) * (shiftrightunsigned({tie}, 33) / {float(1 << 31)!r}D)) as int)"))
+    start = F.coalesce(F.expr("get(_bounds, _range - 1)"), known.select("low").scalar())
+    end = F.coalesce(F.expr("get(_bounds, _range)"), known.select("high").scalar())
+    parts = F.ceil(known.select("n").scalar() / F.lit(RANGES * PART_ROWS))
+    return with_range.withColumn("_part", F.floor((F.col("_key") - start) / (end - start + F.lit(1.0)) * parts)).drop("_key", "_bounds", "_under", "_upto")
+
+
+def with_next(rows: DataFrame, key: str, values: list[str], derive=lambda dealt: dealt) -> DataFrame:
     """``rows`` with ``next_<value>`` of the row with the next larger key; after the last comes the first.
 
-    Rows are dealt by ranges of ``width`` consecutive keys, once. The last row
-    of each range then meets the first of the range after it; only the ranges
-    themselves are ordered as a whole, in two steps. Rows with equal keys
-    follow each other in the order of their values; a null key comes first.
+    Rows are dealt once, by parts of the order of keys (see ``parted``); the
+    first row of each part is also dealt to the end of the part before.
+    ``derive`` may add columns to the dealt rows, of which ``values`` may name
+    some. Rows with equal keys follow each other in the order of a hash of the
+    other columns, a null key comes first, and a single row follows itself.
     """
-    number = F.floor(F.coalesce(F.col(key), F.lit(-(1 << 62))) / F.lit(width))
-    order = W.partitionBy("_part").orderBy(key, *values)
-    dealt = rows.select(key, *values, number.alias("_part"))
-    placed = dealt.select("*", *[F.lead(v).over(order).alias(f"next_{v}") for v in values], F.row_number().over(order).alias("_n"), F.lead(F.lit(1)).over(order).alias("_more"))
-    inner = placed.filter("_more is not null").drop("_part", "_n", "_more")
-    parts = dealt.select("_part").distinct().withColumn("_wide", F.floor(F.col("_part") / F.lit(1 << 16)))
-    wide = parts.groupBy("_wide").agg(F.min("_part").alias("_low")).withColumn("_after", F.lead("_low").over(W.orderBy("_wide")))
-    first = parts.agg(F.min("_part").alias("_least"))
-    follow = parts.withColumn("_next", F.lead("_part").over(W.partitionBy("_wide").orderBy("_part"))).join(wide.select("_wide", "_after"), "_wide").join(F.broadcast(first))
-    follow = follow.select("_part", F.coalesce("_next", "_after", "_least").alias("_to"))
-    heads = placed.filter("_n = 1").select(F.col("_part").alias("_to"), *[F.col(v).alias(f"next_{v}") for v in values])
-    last = placed.filter("_more is null").select(key, *values, "_part").join(follow, "_part").join(heads, "_to")
-    return inner.unionByName(last.select(*inner.columns))
+    others = [c for c in rows.columns if c != key]
+    placed = parted(rows.withColumn("_tie", F.xxhash64(*others)), key, "_tie")
+    order = ["_key", "_tie"]
+    known = placed.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))))
+    heads = cut(known.groupBy("_range", "_part").agg(F.min(F.struct(*order)).alias("s")).select("_range", "_part", "s._key", "s._tie"))
+    parts = heads.select("_range", "_part", F.lag("_part").over(W.partitionBy("_range").orderBy("_part")).alias("_before"))
+    ends = heads.groupBy("_range").agg(F.max("_part").alias("_end"))  # a row for each range, a few hundred
+    chain = F.broadcast(ends.select("_range", F.lag("_range").over(W.orderBy("_range")).alias("_r"), F.lag("_end").over(W.orderBy("_range")).alias("_e")))
+    last = ends.agg(F.max(F.struct("_range", F.col("_end").alias("_part"))).alias("z")).scalar()
+    into = parts.join(chain, "_range").select("_range", "_part", F.when(F.col("_before").isNotNull(), F.struct("_range", F.col("_before").alias("_part"))).otherwise(F.coalesce(F.when(F.col("_r").isNotNull(), F.struct(F.col("_r").alias("_range"), F.col("_e").alias("_part"))), last)).alias("to"))
+    wanted = cut(heads.join(into, ["_range", "_part"]).select(*order, F.col("_range").alias("_r"), F.col("_part").alias("_p"), "to"))
+    first = maybe_in(known, wanted, *order).join(wanted, order).filter("_range = _r and _part = _p").dropDuplicates(["_range", "_part"])
+    first = first.select(*rows.columns, F.col("to._range").alias("_range"), F.col("to._part").alias("_part"), *order, F.lit(True).alias("_copy"))
+    dealt = known.select(*rows.columns, "_range", "_part", *order, F.lit(False).alias("_copy")).unionByName(first)
+    window = W.partitionBy("_range", "_part").orderBy("_copy", *order)
+    made = derive(dealt.repartition("_range", "_part"))
+    return made.select("*", *[F.lead(v).over(window).alias(f"next_{v}") for v in values]).filter("not _copy").drop("_range", "_part", *order, "_copy")
 
 
 def edited_text(text: str, following: str) -> Column:
@@ -122,8 +165,7 @@ def edited_text(text: str, following: str) -> Column:
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = lexicon(docs).scalar()
-    own = fingerprints(docs, bits, "text", "f")
-    pairs = with_next(own, "doc_id", ["text", "f"]).withColumn("edited", edited_text("text", "next_text")).drop("next_text")
-    both = fingerprints(pairs, bits, "edited", "g")
+    terms = lexicon(docs).scalar()
+    pairs = with_next(docs, "doc_id", ["text", "f"], lambda dealt: fingerprints(dealt, terms, "text", "f"))
+    both = fingerprints(pairs.withColumn("edited", edited_text("text", "next_text")).drop("next_text"), terms, "edited", "g")
     return both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_of("f").alias("fingerprint"), text_of("g").alias("edited_fingerprint"), likeness("f", "g").alias("near_edited"), likeness("f", "next_f").alias("near_next"))

@@ -58,26 +58,59 @@ def lower(t):
 
 
 def test_imatch(spark, docs, empty):
-    bits = imatch.lexicon(docs, low=0.5).scalar()
-    out = {r.doc_id: r for r in imatch.fingerprints(docs, bits, "text", "f").collect()}
-    by_text = {}
-    for i, t in ROWS:
-        by_text.setdefault(frozenset(re.findall("[0-9a-z]+", lower(t))), set()).add(tuple(out[i].f))
-    assert all(len(v) == 1 for v in by_text.values())
-    same = imatch.fingerprints(docs, bits, "text", "f").withColumn("g", F.col("f")).select(imatch.likeness("f", "g").alias("x")).distinct().collect()
-    assert [r.x for r in same] == [1.0]
+    import xxhash
+
+    def spark_hash(*values):
+        seed = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else v.to_bytes(4 if abs(v) < 100 else 8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    low, high, least = 0.5, 3.0, 3
+    terms = imatch.lexicon(docs, low=low, high=high, least=least).scalar()
+    out = {r.doc_id: r for r in imatch.fingerprints(docs, terms, "text", "f").collect()}
+    words = {i: set(re.findall("[0-9a-z]+", lower(t))) for i, t in ROWS}
+    df = {w: sum(w in set(re.findall("[0-9a-z]+", lower(t))) for _, t in ROWS) for w in set().union(*words.values())}
+    known = {w for w, n in df.items() if n >= least and low <= np.log((len(ROWS) + 1) / n) <= high}
+    assert 50 < len(known) < len(df)
+
+    def subsets(own):
+        """The terms of each subset that has one."""
+        found = {}
+        for t in sorted(spark_hash(w) for w in (own & known or own)):
+            for k in range(imatch.FAMILIES):
+                if spark_hash(t, 7) & (4**k - 1) == 0:
+                    found.setdefault(k * imatch.SUBSETS + (spark_hash(t, 11 + k) % (1 << 64) >> 20) % imatch.SUBSETS, []).append(t)
+        return found
+
+    want = {i: subsets(w) for i, w in words.items()}
+    whole = {}
+    for i, r in out.items():
+        assert [x >> 32 for x in r.f[1:]] == sorted(want[i])
+        whole.setdefault(frozenset(words[i] & known or words[i]), set()).add(r.f[0])
+    assert all(len(v) == 1 for v in whole.values()) and len({min(v) for v in whole.values()}) == len(whole)
+    pairs = imatch.fingerprints(docs, terms, "text", "f").alias("x").crossJoin(imatch.fingerprints(docs, terms, "text", "f").alias("y")).select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), F.col("x.f").alias("f"), F.col("y.f").alias("g"))
+    for r in pairs.select("i", "j", imatch.likeness("f", "g").alias("x")).collect():
+        a, b = want[r.i], want[r.j]
+        assert r.x == pytest.approx(sum(a[k] == b.get(k) for k in a) / len(a.keys() | b.keys()) if a or b else 1.0)
     assert imatch.fingerprints(empty, imatch.lexicon(empty).scalar(), "text", "f").count() == 0
 
 
-def test_with_next(spark):
-    ids = [5, -7, 300, 1, 10**12, 257, 255, 256]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], DOCS).repartition(3)
-    got = {r.doc_id: r.next_text for r in imatch.with_next(df, "doc_id", ["text"]).collect()}
-    s = sorted(ids)
-    assert got == {a: f"t{b}" for a, b in zip(s, s[1:] + s[:1])}
-    assert imatch.with_next(df.limit(1), "doc_id", ["text"]).count() == 1
-    odd = spark.createDataFrame([(None, "n"), (1, "a"), (1, "a")], DOCS)
-    assert sorted((str(r.doc_id), r.next_text) for r in imatch.with_next(odd, "doc_id", ["text"]).collect()) == [("1", "a"), ("1", "n"), ("None", "a")]
+@pytest.mark.parametrize("ids", [[5, -7, 300, 1, 10**12, 257, 255, 256], [1], list(range(0, 9000, 7)), [3, 3, 3, None, None], [7] * 700 + [8] * 20 + [None] * 30])
+def test_with_next(spark, ids):
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], DOCS).repartition(3)
+    got = {r.text: r.next_text for r in imatch.with_next(df, "doc_id", ["text"]).collect()}
+    key = {f"t{k}": -(10**15) if i is None else i for k, i in enumerate(ids)}
+    path = ["t0"]
+    while got[path[-1]] != "t0":
+        path.append(got[path[-1]])
+    # one round through all rows, which falls from the largest to the smallest key once
+    assert len(got) == len(ids) == len(path) and sum(key[got[t]] < key[t] for t in path) <= 1
+
+
+def test_next_of_nothing(spark, empty):
+    assert imatch.with_next(empty, "doc_id", ["text"]).count() == 0
 
 
 def test_edited(spark):
@@ -290,8 +323,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 101), (102, 103), (50, 50), (101, 100)]
     got = {r.id: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 101, 102, 103)}}
-    path = {r.id: r.component for r in linking.roots(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")).collect()}
-    assert path == {i: 0 for i in range(1, 21)}
+
+
+def test_bucket_groups(spark):
+    # numbers link at most 3 apart; buckets of 40, so that no pivot is linked to all; 500 is near 501 and linked to nothing
+    numbers = [*range(0, 60), 100, 101, 500, 501]
+    rows = spark.createDataFrame([(k, n) for n in numbers for k in {n // 40, (n + 20) // 40 + 1000, 7777}], "key long, id long")
+    info = spark.createDataFrame([(n, n) for n in numbers], "id long, at long")
+    tries = []
+
+    def verify(pairs):
+        tries.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.filter("b - a <= 3 and a < 500")
+
+    group = linking.bucket_groups(rows, verify, lambda ids: info.join(ids, "id"), lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) <= 5)
+    got = {r.id: r.component for r in group.collect()}
+    assert {n: got.get(n, n) for n in numbers} == {**{n: 0 for n in range(60)}, 100: 100, 101: 100, 500: 500, 501: 501}
+    assert len(tries) == len(set(tries)) < 150
 
 
 # 8 languages
@@ -337,6 +385,28 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_step_groups_and_tiers(spark):
+    rows = [(k, prose(rng.choice([5, 40, 300, 2500]))) for k in range(220)]
+    out = packing.pack_documents(spark.createDataFrame(rows, DOCS).repartition(2), P.path("word_bpe_49k.json"), step_tokens=16 * 2048).collect()
+    sizes, groups, tiers = {}, {}, {}
+    for r in out:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+        groups[r.sequence_id], tiers[r.sequence_id] = r.step_group, r.tier
+    total, mix = {}, {}
+    for s, n in sizes.items():
+        total[groups[s]] = total.get(groups[s], 0) + n
+        mix.setdefault(groups[s], []).append(tiers[s])
+        assert n == tiers[s] or n & (n - 1) == 0
+    for part in {g >> 40 for g in total}:
+        own = [n for g, n in total.items() if g >> 40 == part]
+        assert max(own) - min(own) <= 2048 and len(own) == max(1, round(sum(own) / (16 * 2048)))
+        counts = [m.count(2048) for g, m in mix.items() if g >> 40 == part]
+        assert max(counts) - min(counts) <= 1
+    assert 2048 in tiers.values()
+    assert {t for t, _ in packing.pack([(200, k, 0) for k in range(50)])[0]} == {256} and {t for t, _ in packing.pack([(n, n, 0) for n in (2000, 40, 800, 200, 100)])[0]} == {2048, 1024}
+    assert packing.deal([], 10) == [] and packing.deal([4, 4, 2, 2], 6) == [0, 1, 0, 1]
+
+
 def test_pack_is_full():
     g = random.Random(1)
     items = [(g.randint(1, 5000), k, 0) for k in range(300)]
@@ -360,53 +430,21 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_simhash_buckets_lose_no_pair(spark):
-    blocks, agree = line_dedup.scheme(10**6)
-    assert sum(w for _, w in blocks) == 63 and agree == len(blocks) - line_dedup.BITS_APART
-    x = rng.getrandbits(63)
-    others = [x ^ sum(1 << b for b in rng.sample(range(63), k)) for k in (0, 1, 2, 3) for _ in range(20)]
-    df = spark.createDataFrame([(v,) for v in [x, *others]], "s long")
-    keys = [set(r.k) for r in df.select(line_dedup.keys("s", 10**6).alias("k")).collect()]
-    assert all(keys[0] & k for k in keys[1:])
-
-
-def test_lines_against_plain_code(spark):
-    lines = [prose(rng.randint(3, 40)) for _ in range(60)]
-    lines += [" ".join([*rng.choice(lines).split()[:-1], "x"]) for _ in range(30)] + lines[:10]
-    rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3)]
-    gone = {(r.doc, r.line) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    hashes = {lines[r.line]: r.simhash for r in line_dedup.simhashes(line_dedup.lines_of(spark.createDataFrame([(0, "\n".join(lines))], DOCS), "doc_id", "text")).collect()}
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    every = [(d, k, t) for d, text in rows for k, t in enumerate(text.split("\n"))]
-    parent = list(range(len(every)))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for (i, a), (j, b) in itertools.combinations(enumerate(every), 2):
-        v, w = a[2].split(), b[2].split()
-        if bin(hashes[a[2]] ^ hashes[b[2]]).count("1") <= 3 and edits(v, w) <= 0.2 * max(len(v), len(w)) + 1e-9:
-            x, y = top(i), top(j)
-            parent[max(x, y)] = min(x, y)
-    assert gone == {(d, k) for i, (d, k, _) in enumerate(every) if top(i) != i}
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def test_lines_against_edit_similarity_alone(spark):
     draw = random.Random(11)
     words = lambda n: [draw.choice(VOCAB) for _ in range(n)]
     lines = []
-    for n in (3, 4, 5, 9, 10, 11, 20, 27, 40, 80):
-        for _ in range(4):
+    for n in (3, 4, 5, 9, 10, 11, 12, 13, 14, 20, 27, 40, 80):
+        for _ in range(8):
             base = words(n)
             lines.append(base)
             for change in range(3):
@@ -419,15 +457,6 @@ def test_lines_against_edit_similarity_alone(spark):
     draw.shuffle(lines)
     rows = [(k, "\n".join(" ".join(w) for w in lines[4 * k : 4 * k + 4])) for k in range(len(lines) // 4)]
     every = [(d, k, t.split()) for d, text in rows for k, t in enumerate(text.split("\n"))]
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     parent = list(range(len(every)))
 
     def top(x):
@@ -436,14 +465,23 @@ def test_lines_against_edit_similarity_alone(spark):
         return x
 
     for (i, a), (j, b) in itertools.combinations(enumerate(every), 2):
-        if edits(a[2], b[2]) <= 0.2 * max(len(a[2]), len(b[2])) + 1e-9:
+        if abs(len(a[2]) - len(b[2])) <= 20 and edits(a[2], b[2]) <= 0.2 * max(len(a[2]), len(b[2])) + 1e-9:
             x, y = top(i), top(j)
             parent[max(x, y)] = min(x, y)
     gone = {(r.doc, r.line) for r in line_dedup.similar_lines(spark.createDataFrame(rows, DOCS)).collect()}
     want = {(d, k) for i, (d, k, _) in enumerate(every) if top(i) != i}
-    assert gone == want and len(want) > 40
+    print(f"recall of fuzzy lines at about the limit of similarity: {len(gone & want) / len(want):.3f}")
+    assert gone <= want and len(want) > 100 and len(gone) >= 0.95 * len(want)
     removed = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert sum(removed.values()) == len(want)
+    assert sum(removed.values()) == len(gone)
+
+
+def test_pairs_of_lines_are_verified_exactly(spark):
+    # words 1 and 1 + CHARACTERS become one character
+    c = line_dedup.CHARACTERS
+    words = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1 + c, 2 + c, 3, 4, 5]), (3, [1 + c, 2, 3, 4, 5])], "id long, hs array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert sorted((r.a, r.b) for r in line_dedup.similar_pairs(pairs, words).collect()) == [(1, 3), (2, 3)]
 
 
 def test_digests(spark, tmp_path):
