@@ -25,14 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Vocabulary, chunks, in_arrow, spread, table
+from quarry.llm.common import StemCoder, chunks, in_arrow, spread, table
 
 BLANK = "▁"
 BORDER = 0x110000  # no code point
 NEVER = np.int64(1) << 40
+#: Marks that are cut off from the letters before them.
+MARKS = ".,;:!?)"
 
 
 @dataclass
@@ -106,14 +109,15 @@ def load(model: str) -> Pieces:
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of the ``depth`` codes from each, by prefix doubling."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    found = np.unique(codes)
+    rank = np.searchsorted(found, codes).astype(np.int64)
     step = 1
     while True:
         follow = np.zeros_like(rank)
         if step < len(codes):
             follow[:-step] = rank[step:] + 1
         key = rank * (len(codes) + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step *= 2
         if step >= depth:
             return order
@@ -226,7 +230,7 @@ class Matcher:
         end = start + self.length_of[piece]
         origin = np.repeat(starts, sizes + 1)
         depth = end - origin[start]
-        order = np.argsort(depth, kind="stable")
+        order = np.argsort(depth)
         start, piece, end, depth = start[order], piece[order], end[order], depth[order]
         last = np.full(len(codes) + 1, -1, dtype=np.int64)  # the piece that ends before a position; -2: a segment's start
         first = np.zeros(len(codes) + 1, dtype=bool)
@@ -256,12 +260,16 @@ class Matcher:
         owner, ids, where = owner[order], ids[order], where[order]
         counts = np.bincount(owner, minlength=len(segments)).astype(np.int64)
         if (ids == 0).any():
-            raw = [[i] if i else [self.p.bytes_of[b] for b in chr(codes[w]).encode("utf-8", "surrogatepass")] for i, w in zip(ids.tolist(), where.tolist(), strict=True)]
-            wide = np.array([len(r) for r in raw], dtype=np.int64)
+            at = np.flatnonzero(ids == 0)  # only these become the ids of their bytes
+            kinds, which = np.unique(codes[where[at]], return_inverse=True)
+            raw = [[self.p.bytes_of[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
+            wide = np.ones(len(ids), dtype=np.int64)
+            wide[at] = np.array([len(r) for r in raw], dtype=np.int64)[which]
             ends = np.cumsum(counts)
             total = np.concatenate([[0], np.cumsum(wide)])
             counts = total[ends] - total[ends - counts]
-            ids = np.array([i for r in raw for i in r], dtype=np.int64)
+            ids = np.repeat(ids, wide)
+            ids[spread(total[at], wide[at])] = np.array([i for k in which.tolist() for i in raw[k]], dtype=np.int64)
         return ids, counts
 
     def encode_run(self, segment: str) -> list[int]:
@@ -273,55 +281,61 @@ class Matcher:
         return out
 
 
-def segments_of(text: str) -> list[str]:
-    """A text's segments, each starting with blanks; an empty text has none."""
-    if not text:
-        return []
-    parts = text.replace(" ", BLANK).split(BLANK)
-    out, blanks = [], 1
-    for k, part in enumerate(parts):
-        if part or k == len(parts) - 1:
-            out.append(BLANK * blanks + part)
-            blanks = 1
-        else:
-            blanks += 1
-    return out
-
-
 class Encoder:
-    """Ids of whole texts; each distinct segment is matched once."""
+    """Ids of whole texts; each distinct segment is matched once.
+
+    A mark behind a letter is cut off first where no piece of the model has
+    the two side by side, so that a word is matched once for all its marks.
+    """
 
     def __init__(self, model: str):
-        self.matcher, self.words = Matcher(load(model)), Vocabulary()
-        self.forget()
-
-    def forget(self):
-        self.words.clear()
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.starts = self.lengths = np.zeros(0, dtype=np.int64)
-
-    def learn(self, fresh: list[str]):
-        plain = [s for s in fresh if not s.startswith(BLANK * 2)]
-        ids, counts = self.matcher.encode(plain)
-        runs = [self.matcher.encode_run(s) for s in fresh if s.startswith(BLANK * 2)]
-        every = np.concatenate([ids, np.array([i for r in runs for i in r], dtype=np.int64)]).astype(np.int32)
-        counts = np.concatenate([counts, np.array([len(r) for r in runs], dtype=np.int64)])
-        starts = np.cumsum(counts) - counts
-        run = np.array([s.startswith(BLANK * 2) for s in fresh], dtype=bool)
-        order = np.argsort(np.argsort(run, kind="stable"), kind="stable")
-        self.starts = np.concatenate([self.starts, len(self.ids) + starts[order]])
-        self.lengths = np.concatenate([self.lengths, counts[order]])
-        self.ids = np.concatenate([self.ids, every])
+        p = load(model)
+        self.matcher = Matcher(p)
+        joined = {t[k] for t in p.number for k in range(1, len(t)) if t[k - 1].isalpha()}
+        self.coder = StemCoder(self.encode_stems, {m: p.number[m] for m in MARKS if m in p.number and m not in joined}, fold=False)
+
+    def encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and each stem's number of ids."""
+        run = np.array([s.startswith(BLANK * 2) for s in stems], dtype=bool)
+        counts = np.zeros(len(stems), dtype=np.int64)
+        ids, counts[~run] = self.matcher.encode([s for s, r in zip(stems, run.tolist(), strict=True) if not r])
+        runs = [self.matcher.encode_run(stems[k]) for k in np.flatnonzero(run).tolist()]
+        counts[run] = [len(r) for r in runs]
+        starts = np.zeros(len(stems), dtype=np.int64)
+        order = np.argsort(run, kind="stable")
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([ids, np.array([i for r in runs for i in r], dtype=np.int64)]).astype(np.int32)[spread(starts, counts)], counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.words.known > self.words.kept:
-            self.forget()
-        flat, n = self.words.number([segments_of(t) for t in texts])
-        if fresh := self.words.fresh():
-            self.learn(fresh)
-        lengths = self.lengths[flat]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n)]
-        return self.ids[spread(self.starts[flat], lengths)], np.diff(ends, prepend=0)
+        """All ids in a row, and each text's number of ids.
+
+        A segment is a part between blanks with the blanks before it; a part
+        without letters only counts as one if it is its text's last.
+        """
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, type=pa.string()), BLANK, " "), " ")
+        n = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        part, ends = parts.flatten(), np.cumsum(n)
+        counts = pc.utf8_length(part).to_numpy(zero_copy_only=False) > 0
+        counts[ends - 1] = np.array([bool(t) for t in texts], dtype=bool)  # an empty text has none
+        at = np.flatnonzero(counts)
+        owner = np.searchsorted(ends, at, side="right")
+        before = np.concatenate([[-1], at])[:-1]
+        blanks = at - np.maximum(before, (ends - n)[owner] - 1)
+        coded = part.dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)[at].copy()
+        more = np.flatnonzero(blanks > 1)
+        longer = [BLANK * int(blanks[k]) + part[int(at[k])].as_py() for k in more.tolist()]
+        which[more] = len(coded.dictionary) + np.arange(len(more))
+        ids, sizes = self.coder.ids_of(pa.array([*(BLANK + w for w in coded.dictionary.to_pylist()), *longer], type=pa.string()))
+        lengths = sizes[which]
+        totals = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.bincount(owner, minlength=len(texts)))]
+        return ids[spread((np.cumsum(sizes) - sizes)[which], lengths)].astype(np.int32), np.diff(totals, prepend=0)
+
+
+@lru_cache(maxsize=2)
+def encoder(model: str) -> Encoder:
+    """One for each worker process, so that tasks after the first find most stems known."""
+    return Encoder(model)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +346,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        coder = Encoder(model)
+        coder = encoder(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in chunks([len(t) for t in texts]):
