@@ -56,6 +56,12 @@ def normalized_query(text: str) -> str:
     return " ".join(sorted(text.lower().split()))
 
 
+def normalized(text: Column) -> Column:
+    """``normalized_query`` of a column; null for null."""
+    words = F.filter(F.split(F.lower(text), r"[\p{Z}\x09-\x0D\x1C-\x1F\x85]+"), lambda w: w != "")
+    return F.array_join(F.array_sort(words), " ")
+
+
 def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>") -> Column:
     """``text`` with each whole-word occurrence of a term between tags, whatever its case."""
     if not terms:

@@ -75,9 +75,12 @@ def attribute_scores(hits: DataFrame, column: str, weights: DataFrame, least: fl
 
 
 def group_top(facet: DataFrame, k: int, by: list[str] = ()) -> DataFrame:
-    """Labels whose count is at least the k-th largest; ties stay."""
-    w = W.partitionBy(*by).orderBy(F.desc("count")) if by else W.partitionBy(F.lit(0)).orderBy(F.desc("count"))
-    return facet.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= k).drop("_r")
+    """Labels whose count is at least the k-th largest; ties stay. Without ``by`` a bounded top k finds that count."""
+    if by:
+        w = W.partitionBy(*by).orderBy(F.desc("count"))
+        return facet.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= k).drop("_r")
+    kth = facet.orderBy(F.desc("count")).limit(k).agg(F.min("count").alias("kth")).scalar()
+    return facet.filter(F.col("count") >= kth)
 
 
 def drill_sideways(hits: DataFrame, labels: dict[str, Column]) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -109,30 +112,48 @@ def number_cells(hits: DataFrame, column: str) -> DataFrame:
 
 
 def number_ranges(cells: list[tuple[int, int, int]], most: int = RANGES) -> list[tuple[int, int, int]]:
-    """At most ``most`` ranges (low, high, count) from a histogram, split where that lowers the spread most.
+    """At most ``most`` ranges (low, high, count) from a histogram, about equal counts in each.
 
-    Repeatedly splits the range with the largest gain in squared deviation of
-    its cells' middle values, weighted by count.
+    Every segment with numbers gets one range; each further one goes to the
+    segment where it lowers the variance of counts most, n * n / (k * (k + 1))
+    for n numbers in k ranges. A range takes cells as long as that brings the
+    count so far nearer to its share. Ranges start and end at cells in use.
     """
-    points = sorted((cell * 10 ** (segment + 1), (cell + 1) * 10 ** (segment + 1) - 1, count) for segment, cell, count in cells if count)
-    if not points:
-        return []
-
-    def cost(a, b):
-        part = points[a:b]
-        n = sum(p[2] for p in part)
-        mean = sum((p[0] + p[1]) / 2 * p[2] for p in part) / n
-        return sum(p[2] * ((p[0] + p[1]) / 2 - mean) ** 2 for p in part)
-
-    groups = [(0, len(points))]
-    while len(groups) < most:
-        best = max(((cost(a, b) - cost(a, m) - cost(m, b), a, m, b) for a, b in groups for m in range(a + 1, b)), default=None)
-        if best is None or best[0] <= 0:
+    used: dict[int, list[tuple[int, int]]] = {}
+    for segment, cell, count in sorted(cells):
+        if count:
+            used.setdefault(segment, []).append((cell, count))
+    total = {s: sum(n for _, n in c) for s, c in used.items()}
+    share = dict.fromkeys(used, 1)
+    for _ in range(most - len(used)):
+        open_ = [s for s in used if total[s] > share[s]]
+        if not open_:
             break
-        _, a, m, b = best
-        groups.remove((a, b))
-        groups += [(a, m), (m, b)]
-    return [(points[a][0], points[b - 1][1], sum(p[2] for p in points[a:b])) for a, b in sorted(groups)]
+        share[max(open_, key=lambda s: (total[s] ** 2 / share[s] / (share[s] + 1), -s))] += 1
+    out = []
+    for s, own in used.items():
+        width, at, done = 10 ** (s + 1), 0, 0
+        for k in range(1, share[s] + 1):
+            goal, start, before = -(-k * total[s] // share[s]), at, done
+            while at < len(own) and (k == share[s] or 2 * (done - goal) + own[at][1] < 0):
+                done += own[at][1]
+                at += 1
+            if at > start:
+                out.append((own[start][0] * width, (own[at - 1][0] + 1) * width - 1, done - before))
+    return out
+
+
+def ranges(hits: DataFrame, column: str, most: int = RANGES) -> DataFrame:
+    """(value, low, high, count) of ``number_ranges``; its histogram, 700 rows at most, comes to the driver."""
+    found = [tuple(r) for r in number_cells(hits, column).collect()]
+    rows = [(f"{low}-{high}", low, high, n) for low, high, n in number_ranges(found, most)]
+    return hits.sparkSession.createDataFrame(rows, "value string, low long, high long, count long")
+
+
+def tree(hits: DataFrame, column: str) -> DataFrame:
+    """(value, level, count) of the nodes of a string's category paths (``A>B,C``); a plain string is a path of one node."""
+    nodes = hierarchy(hits.select(paths.group_paths(F.col(column)).alias("p")), "p")
+    return nodes.filter("level > 0").select(F.col("path").alias("value"), "level", "count")
 
 
 def key_count(df: DataFrame, column: str) -> DataFrame:

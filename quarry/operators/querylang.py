@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.bind import once
+from quarry.functions.terms import Posted, Words, as_words
 
 NEAR = 20
 
@@ -32,6 +33,30 @@ class Node:
             return [self.text]
         return [] if self.kind == "not" else [t for p in self.parts for t in p.terms()]
 
+    def leaves(self) -> list[Node]:
+        return [x for p in self.parts for x in p.leaves()] if self.parts else [self]
+
+    def kinds(self) -> set[str]:
+        return {self.kind}.union(*(p.kinds() for p in self.parts))
+
+    def words(self) -> list[str]:
+        """All words, also those under NOT."""
+        return [x.text for x in self.leaves() if x.kind == "term"]
+
+    def patterns(self) -> list[str]:
+        return [x.text for x in self.leaves() if x.kind == "wildcard"]
+
+    def anchored(self) -> bool:
+        """Whether a document without any of the words can't match."""
+        match self.kind:
+            case "not" | "all":
+                return False
+            case "and":
+                return any(p.anchored() for p in self.parts)
+            case "or":
+                return all(p.anchored() for p in self.parts)
+        return True
+
     def __str__(self) -> str:
         inner = [str(p) for p in self.parts]
         match self.kind:
@@ -167,10 +192,6 @@ def like(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\Q" + c + "\\E" for c in pattern) + "$"
 
 
-def positions(tokens: Column, word: str) -> Column:
-    return F.filter(F.transform(tokens, lambda t, i: F.when(t == word, i)), lambda i: i.isNotNull())
-
-
 def _after(here: Column, reach: Column, least: int, far: int | None) -> Column:
     """Of positions ``here``, those ``least`` to ``far`` (any number, if none) after one of ``reach``."""
     if far is None:
@@ -178,7 +199,7 @@ def _after(here: Column, reach: Column, least: int, far: int | None) -> Column:
     return F.filter(here, lambda p: F.exists(reach, lambda q: p.between(q + least, q + far)))
 
 
-def phrase(tokens: Column, words: list[str], kind: str, distance: int = 0, strict: bool = False) -> Column:
+def phrase(tokens, words: list[str], kind: str, distance: int = 0, strict: bool = False) -> Column:
     """Whether the words stand as asked.
 
     Strict: exact words follow each other, others come strictly later. Else a
@@ -191,30 +212,31 @@ def phrase(tokens: Column, words: list[str], kind: str, distance: int = 0, stric
     def follow(reach: Column, rest: list[str]) -> Column:
         if not rest:
             return F.size(reach) > 0
-        return once(_after(positions(tokens, rest[0]), reach, least, far), lambda r: follow(r, rest[1:]))
+        return once(_after(own.places(rest[0]), reach, least, far), lambda r: follow(r, rest[1:]))
 
-    return once(positions(tokens, words[0]), lambda r: follow(r, words[1:]))
+    own = as_words(tokens)
+    return once(own.places(words[0]), lambda r: follow(r, words[1:]))
 
 
-def matches(node: Node, tokens: Column, bounds: dict[str, float] | None = None, threshold: float = 0.5, strict: bool = False) -> Column:
-    """Whether an array of words matches a tree.
+def matches(node: Node, tokens, bounds: dict[str, float] | None = None, threshold: float = 0.5, strict: bool = False) -> Column:
+    """Whether words (an array column, or what ``terms`` has for them) match a tree.
 
     WAND needs ``bounds``, the most that each word can add to a score: a row
     matches if its words' bounds exceed ``threshold`` of their sum (0.5 if not
     positive).
     """
-    return F.lit(True) if node.kind == "all" else once(tokens, lambda t: _matches(node, t, bounds, threshold, strict))
+    return F.lit(True) if node.kind == "all" else as_words(tokens).bound(lambda t: _matches(node, t, bounds, threshold, strict))
 
 
-def _matches(node: Node, tokens: Column, bounds: dict[str, float] | None, threshold: float, strict: bool) -> Column:
+def _matches(node: Node, tokens: Words | Posted, bounds: dict[str, float] | None, threshold: float, strict: bool) -> Column:
     inner = lambda p: _matches(p, tokens, bounds, threshold, strict)
     match node.kind:
         case "all":
             return F.lit(True)
         case "term":
-            return F.array_contains(tokens, node.text)
+            return tokens.has(node.text)
         case "wildcard":
-            return F.exists(tokens, lambda t: t.rlike(like(node.text)))
+            return tokens.like(like(node.text))
         case "and":
             return reduce(lambda a, b: a & b, map(inner, node.parts))
         case "or":

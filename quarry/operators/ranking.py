@@ -1,7 +1,8 @@
 """Relevance: collection statistics and BM25, language-model and proximity scores.
 
-A query has a few words, so a document's term frequencies are columns computed
-in the scan; only collection statistics need an aggregation, one row in all.
+Scores ask for a document's words through ``functions.terms``: from an array of
+the text's words in a scan, or from stored postings (``sources.postings``),
+which also keep the collection statistics.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.bind import once
+from quarry.functions.terms import Posted, Words, as_words
 
 #: Fixed values.
 K1, B, K3, LEAST_IDF = 1.2, 0.75, 1000.0, 0.1
@@ -36,14 +38,10 @@ class Stats:
         return self.total / self.n if self.n else 0.0
 
 
-def tf(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == word))
-
-
 def collect_stats(df: DataFrame, tokens: Column, words: list[str]) -> Stats:
     """One aggregation over all rows; a single row reaches the driver."""
     words = list(dict.fromkeys(words))
-    counted = df.select(tokens.alias("_t")).select(F.size("_t").alias("len"), *[tf(F.col("_t"), w).alias(f"t{k}") for k, w in enumerate(words)])
+    counted = df.select(tokens.alias("_t")).select(F.size("_t").alias("len"), *[Words(F.col("_t")).count(w).alias(f"t{k}") for k, w in enumerate(words)])
     aggs = [F.count("*").alias("n"), F.sum("len").alias("total")]
     for k in range(len(words)):
         aggs += [F.count(F.when(F.col(f"t{k}") > 0, 1)).alias(f"df{k}"), F.sum(f"t{k}").alias(f"ctf{k}"), F.max(f"t{k}").alias(f"max{k}")]
@@ -57,14 +55,14 @@ def idf(stats: Stats, word: str) -> float:
     return max(math.log((stats.n - df + 0.5) / (df + 0.5)), LEAST_IDF)
 
 
-def bm25(tokens: Column, words: list[str], stats: Stats, k1: float = K1, b: float = B, k3: float = K3) -> Column:
+def bm25(tokens: Words | Posted, words: list[str], stats: Stats, k1: float = K1, b: float = B, k3: float = K3) -> Column:
     """0 where the collection has no words at all."""
     if not stats.total or not words:
         return F.lit(0.0)
-    length = k1 * (b * F.size(tokens) / stats.average + (1 - b))
+    length = k1 * (b * tokens.length / stats.average + (1 - b))
     parts = []
     for w, qtf in Counter(words).items():
-        t = tf(tokens, w)
+        t = tokens.count(w)
         parts.append(F.lit(idf(stats, w) * (k3 + 1) * qtf / (k3 + qtf)) * (F.lit(k1 + 1) * t) / (length + t))
     return reduce(lambda x, y: x + y, parts)
 
@@ -77,7 +75,7 @@ def bm25_bound(stats: Stats, word: str, k1: float = K1, b: float = B) -> float:
     return idf(stats, word) * (k1 + 1) * t / (k1 * (b * t / stats.average + 1 - b) + t) if t else 0.0
 
 
-def kl(tokens: Column, words: list[str], stats: Stats, mu: float = MU) -> Column:
+def kl(tokens: Words | Posted, words: list[str], stats: Stats, mu: float = MU) -> Column:
     """Query likelihood with Dirichlet smoothing, relative to a document without the words."""
     if not stats.total or not words:
         return F.lit(0.0)
@@ -85,12 +83,12 @@ def kl(tokens: Column, words: list[str], stats: Stats, mu: float = MU) -> Column
     for w, qtf in Counter(words).items():
         p = stats.ctf.get(w, 0) / stats.total
         if p > 0:
-            t = tf(tokens, w)
+            t = tokens.count(w)
             parts.append(F.when(t > 0, F.lit(qtf / len(words)) * F.log((t + mu * p) / (mu * p))).otherwise(0.0))
     if not parts:
         return F.lit(0.0)
     score = reduce(lambda x, y: x + y, parts)
-    return F.when(score > 0, score + F.log(F.lit(mu) / (mu + F.size(tokens)))).otherwise(score)
+    return F.when(score > 0, score + F.log(F.lit(mu) / (mu + tokens.length))).otherwise(score)
 
 
 def closeness(a: Column, b: Column, base: float = PROXIMITY_BASE) -> Column:
@@ -99,14 +97,12 @@ def closeness(a: Column, b: Column, base: float = PROXIMITY_BASE) -> Column:
     return F.when(d.isNull(), 0.0).when(d == 1, F.lit(2.0 / base)).otherwise(F.pow(F.lit(base), -d.cast("double")))
 
 
-def plm(tokens: Column, words: list[str], stats: Stats, mu: float = MU, lam: float = LAMBDA) -> Column:
+def plm(tokens: Words | Posted, words: list[str], stats: Stats, mu: float = MU, lam: float = LAMBDA) -> Column:
     """The language model with each word's frequency raised by its mean closeness to the others."""
-    from quarry.operators.querylang import positions
-
     unique = list(Counter(words))
     if not stats.total or not unique:
         return F.lit(0.0)
-    return once(F.array(*[positions(tokens, w) for w in unique]), lambda found: _plm(found, F.size(tokens), words, unique, stats, mu, lam))
+    return once(F.array(*[tokens.places(w) for w in unique]), lambda found: _plm(found, tokens.length, words, unique, stats, mu, lam))
 
 
 def _plm(found: Column, length: Column, words: list[str], unique: list[str], stats: Stats, mu: float, lam: float) -> Column:
@@ -125,7 +121,7 @@ def _plm(found: Column, length: Column, words: list[str], unique: list[str], sta
 
 
 def _once(score):
-    return lambda tokens, words, stats: once(tokens, lambda t: score(t, words, stats))
+    return lambda tokens, words, stats: as_words(tokens).bound(lambda t: score(t, words, stats))
 
 
 MODELS = {"bm25": _once(bm25), "kl": _once(kl), "plm": _once(plm), "none": lambda tokens, words, stats: F.lit(0.0)}
@@ -139,8 +135,8 @@ def multi_property(scores: dict[str, Column], weights: dict[str, float]) -> Colu
     return reduce(lambda x, y: x + y, [F.lit(float(weights.get(p, 1.0))) * s for p, s in scores.items()])
 
 
-def personal_boost(tokens: Column, profile: dict[str, float], share: float = 0.1) -> Column:
+def personal_boost(tokens, profile: dict[str, float], share: float = 0.1) -> Column:
     """What a user's terms add to a score, matching or not: frequency times weight times ``share``."""
     if not profile:
         return F.lit(0.0)
-    return once(tokens, lambda t: reduce(lambda x, y: x + y, [tf(t, w) * F.lit(v * share) for w, v in profile.items()]))
+    return as_words(tokens).bound(lambda t: reduce(lambda x, y: x + y, [t.count(w) * F.lit(v * share) for w, v in profile.items()]))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYNONYM_WEIGHT = 0.95
+#: Names of retrieval algorithms, by whether documents need all words; fixed values.
+CONJUNCTIVE, DISJUNCTIVE = ("svs", "bwand_and"), ("wand", "bwand_or", "mbwand")
 
 
 def longest_suffix(text: Column, query: str) -> Column:
@@ -58,13 +60,19 @@ def retrieve(postings: DataFrame, terms: list[str], mode: str = "svs", weights:
     terms = list(dict.fromkeys(terms))
     weight = F.element_at(F.create_map(*[F.lit(x) for t in terms for x in (t, float((weights or {}).get(t, 1.0)))]), F.col("term"))
     got = postings.filter(F.col("term").isin(terms)).groupBy("doc").agg(F.sum(F.col("score") * weight).alias("score"), F.count("*").alias("n"))
-    if mode in ("svs", "bwand_and"):
+    if mode in CONJUNCTIVE:
         got = got.filter(F.col("n") == len(terms))
-    elif mode not in ("wand", "bwand_or", "mbwand"):
+    elif mode not in DISJUNCTIVE:
         raise ValueError(f"unknown mode {mode}")
     return got.select("doc", "score")
 
 
+def merge_properties(retrieved: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """(doc, score): the weighted sum of what each property's retrieval (doc, score) gives a document."""
+    each = [t.select("doc", (F.col("score") * float(weights.get(p, 1.0))).alias("score")) for p, t in retrieved.items()]
+    return reduce(lambda a, b: a.unionByName(b), each).groupBy("doc").agg(F.sum("score").alias("score"))
+
+
 def relaxations(tokens: list[tuple[str, float]], most: int = 4) -> list[list[str]]:
     """The query and ever shorter ones: of the ``most`` heaviest tokens, the lightest goes first."""
     heavy = sorted(tokens, key=lambda t: -t[1])[:most]

@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from quarry.operators import conditions, querylang
+from quarry.operators import conditions, querylang, suffix
 from quarry.plans.schema import NUMERIC, CollectionSchema
 
-MODES = ("and", "or", "wand", "verbose", "suffix", "zambezi")
+MODES = ("and", "or", "wand", "verbose", "suffix", "zambezi", "ad_index")
 
 
 @dataclass
@@ -24,6 +24,7 @@ class Facet:
 class SearchRequest:
     keywords: str = "*"
     mode: str = "and"
+    algorithm: str = "svs"
     model: str | None = None
     threshold: float = 0.5
     search_in: list[str] = field(default_factory=list)
@@ -42,6 +43,7 @@ class SearchRequest:
     highlight: list[str] = field(default_factory=list)
     snippet: list[str] = field(default_factory=list)
     summary: list[str] = field(default_factory=list)
+    split: list[str] = field(default_factory=list)
     pinned: list = field(default_factory=list)
     excluded: list = field(default_factory=list)
     offset: int = 0
@@ -60,11 +62,11 @@ class SearchRequest:
         names = None if select is None else [s if isinstance(s, str) else s["property"] for s in select]
         marked = lambda k: [s["property"] for s in select or [] if isinstance(s, dict) and s.get(k)]
         return cls(
-            keywords=search.get("keywords", "*"), mode=search.get("mode", "and"), model=search.get("ranking_model"), threshold=search.get("threshold", 0.5), search_in=list(search.get("in", [])),
+            keywords=search.get("keywords", "*"), mode=str(search.get("mode", "and")).lower(), algorithm=str(search.get("algorithm", "svs")).lower(), model=search.get("ranking_model"), threshold=search.get("threshold", 0.5), search_in=list(search.get("in", [])),
             conditions=d.get("conditions", []), acl=d.get("acl_tokens"), labels=search.get("group_label", []) + [x | {"attr": True} for x in search.get("attr_label", [])],
             facets=[Facet(g["property"], g.get("sub_property"), bool(g.get("range")), g.get("unit"), g.get("grouptop")) for g in d.get("group", [])],
             attributes=d.get("attr", {}).get("property"), attr_top=d.get("attr", {}).get("attr_top"), range=[r["property"] for r in as_list(d.get("range"))], sums=[c["property"] for c in as_list(d.get("count"))],
-            custom_rank=d.get("custom_rank"), geo=d.get("geo"), sort=d.get("sort", []), select=names, highlight=marked("highlight"), snippet=marked("snippet"), summary=marked("summary"),
+            custom_rank=d.get("custom_rank"), geo=d.get("geo"), sort=d.get("sort", []), select=names, highlight=marked("highlight"), snippet=marked("snippet"), summary=marked("summary"), split=marked("split_property_value"),
             pinned=list(d.get("pinned", [])), excluded=list(d.get("excluded", [])), offset=int(d.get("offset", 0)), limit=int(d.get("limit", 20)),
         )
 
@@ -73,6 +75,10 @@ class SearchRequest:
         out = []
         if self.mode not in MODES:
             out.append(f"unknown mode {self.mode}")
+        if self.mode == "ad_index":
+            out.append("ad_index searches advertisements: use operators.ads")
+        if self.algorithm not in suffix.CONJUNCTIVE + suffix.DISJUNCTIVE:
+            out.append(f"unknown algorithm {self.algorithm}")
         try:
             querylang.parse(self.keywords)
         except ValueError as e:

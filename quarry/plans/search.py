@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import geo, paths, text
+from quarry.functions.terms import as_words
 from quarry.operators import conditions, expression, facets, querylang, ranking, sorting, suffix
 from quarry.plans.request import SearchRequest
 from quarry.plans.schema import CollectionSchema
@@ -24,19 +26,24 @@ class SearchResult:
     attributes: tuple[DataFrame, DataFrame] | None = None
 
 
-def _match(df: DataFrame, schema: CollectionSchema, r: SearchRequest, analyzer) -> tuple[DataFrame, Column]:
-    """Rows that match the keywords, and their score."""
+def _match(df: DataFrame, schema: CollectionSchema, r: SearchRequest, analyzer) -> tuple[Column, Column]:
+    """Whether a row matches the keywords, and its score."""
     props = r.search_in or schema.searchable()
     node = querylang.parse(r.keywords)
     if node.kind == "all":
-        return df, F.lit(1.0)
+        return F.lit(True), F.lit(1.0)
     if r.mode == "suffix":
         tokens = {t: 1.0 for t in text.query_words(r.keywords)}
         scores = [suffix.fuzzy_score(F.col(p), tokens) for p in props]
         every = scores[0][1]
         for _, e in scores[1:]:
             every = every | e
-        return df.filter(every), sum((s for s, _ in scores[1:]), scores[0][0])
+        return every, sum((s for s, _ in scores[1:]), scores[0][0])
+    if r.mode == "zambezi":
+        words = node.words()
+        retrieved = {p: _retrieved(analyzer(F.col(p)), words, r.algorithm) for p in props}
+        keep = reduce(lambda a, b: a | b, [hit for hit, _ in retrieved.values()])
+        return keep, ranking.multi_property({p: F.when(hit, s).otherwise(0.0) for p, (hit, s) in retrieved.items()}, {p: schema.get(p).rank_weight for p in props})
     if r.mode == "or" and node.kind in ("and", "term"):
         node = querylang.disjunction(node.terms())
     tokens = {p: analyzer(F.col(p)) for p in props}
@@ -51,7 +58,24 @@ def _match(df: DataFrame, schema: CollectionSchema, r: SearchRequest, analyzer)
         keep = m if keep is None else keep | m
     score = ranking.model(r.model)
     weights = {p: schema.get(p).rank_weight for p in props}
-    return df.filter(keep), ranking.multi_property({p: score(c, words, stats[p]) for p, c in tokens.items()}, weights)
+    return keep, ranking.multi_property({p: score(c, words, stats[p]) for p, c in tokens.items()}, weights)
+
+
+def _retrieved(tokens: Column, words: list[str], algorithm: str) -> tuple[Column, Column]:
+    """Whether one property has all words (or any, by the algorithm), and its occurrences of them as 16-bit scores."""
+    counts = [as_words(tokens).count(w) for w in dict.fromkeys(words)]
+    join = (lambda a, b: a & b) if algorithm in suffix.CONJUNCTIVE else (lambda a, b: a | b)
+    return reduce(join, [c > 0 for c in counts]), reduce(lambda a, b: a + b, [F.least(c, F.lit(65535)) for c in counts]).cast("double")
+
+
+def _labels(schema: CollectionSchema, labels: list[dict]) -> dict[str, Column]:
+    """One condition for each property (for attributes, each name): any of its labels."""
+    out: dict[str, Column] = {}
+    for x in labels:
+        name = f"attr {x['property']}" if x.get("attr") else x["property"]
+        c = F.coalesce(_label(schema, x), F.lit(False))
+        out[name] = out[name] | c if name in out else c
+    return out
 
 
 def _label(schema: CollectionSchema, label: dict) -> Column:
@@ -67,7 +91,13 @@ def _label(schema: CollectionSchema, label: dict) -> Column:
 
 
 def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dict | str, analyzer=text.words) -> SearchResult:
-    """Raises ValueError with all that is wrong with the request."""
+    """Raises ValueError with all that is wrong with the request.
+
+    Labels of one property are alternatives, those of several properties all
+    hold. Facets of strings are trees of their category paths, those with
+    ``range`` a few ranges of about equal counts; of several facets of one
+    property the first counts. Mode ``verbose`` is ``and`` by another name.
+    """
     r = request if isinstance(request, SearchRequest) else SearchRequest.from_json(request)
     if wrong := r.problems(schema):
         raise ValueError("; ".join(wrong))
@@ -76,10 +106,8 @@ def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dic
         rows = rows.filter(conditions.access(r.acl, "ACL_ALLOW" if schema.has("ACL_ALLOW") else None, "ACL_DENY" if schema.has("ACL_DENY") else None))
     if r.excluded:
         rows = rows.filter(~F.col(schema.key).isin(r.excluded))
-    matched, score = _match(rows, schema, r, analyzer)
-    if r.pinned:
-        matched = matched.unionByName(rows.filter(F.col(schema.key).isin(r.pinned))).dropDuplicates([schema.key])
-    hits = matched.withColumn("_rank", score)
+    hit, score = _match(rows, schema, r, analyzer)
+    hits = rows.filter(hit | F.col(schema.key).isin(r.pinned) if r.pinned else hit).withColumn("_rank", score)
     if r.custom_rank:
         hits = hits.withColumn("custom_rank", expression.expression(r.custom_rank["expression"], df.columns, r.custom_rank.get("params")))
     if r.geo:
@@ -90,7 +118,7 @@ def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dic
     sideways: dict[str, DataFrame] = {}
     everything = hits
     if r.labels:
-        everything, sideways = facets.drill_sideways(hits, {x["property"]: _label(schema, x) for x in r.labels})
+        everything, sideways = facets.drill_sideways(hits, _labels(schema, r.labels))
     known = [*df.columns, "_rank", *(["custom_rank"] if r.custom_rank else []), *(["geo_rank"] if r.geo else [])]
     order = sorting.sort_columns([k for k in r.sort if (k if isinstance(k, str) else k["property"]) in known], known, schema.key, "custom_rank" if r.custom_rank else "_rank")
     page = sorting.page(everything, order, r.offset, r.limit)
@@ -101,17 +129,24 @@ def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dic
         page = page.withColumn(f"{p}_snippet", text.snippet(F.col(p), terms))
     for p in r.highlight:
         page = page.withColumn(p, text.highlight(F.col(p), terms))
+    page = page.withColumn("_id", F.col(schema.key))
+    for p in r.split:
+        page = page.withColumn(p, paths.attributes(F.col(p)) if schema.get(p).attr else paths.group_paths(F.col(p)))
     if r.select is not None:
-        page = page.select(schema.key, "_rank", *[c for c in known if c in ("custom_rank", "geo_rank")], *[p for p in r.select if p != schema.key], *[f"{p}_{k}" for k in ("summary", "snippet") for p in getattr(r, k)])
+        page = page.select("_id", schema.key, "_rank", *[c for c in known if c in ("custom_rank", "geo_rank")], *[p for p in r.select if p != schema.key], *[p for p in ("ACL_ALLOW", "ACL_DENY") if r.acl is not None and schema.has(p) and p not in r.select], *[f"{p}_{k}" for k in ("summary", "snippet") for p in getattr(r, k)])
     out = SearchResult(everything, page, facets.totals(everything, r.range, r.sums))
     for f in r.facets:
+        if f.property in out.facets:  # the first one counts
+            continue
         stream, kind = sideways.get(f.property, everything), schema.get(f.property).type
         if f.range:
-            table = facets.number_cells(stream, f.property)
+            table = facets.ranges(stream, f.property)
         elif f.sub_property:
             table = facets.sub_facet(stream, f.property, f.sub_property)
         elif kind == "datetime":
             table = facets.dates(stream, f.property, f.unit or "M")
+        elif kind == "string":
+            table = facets.tree(stream, f.property)
         else:
             table = facets.values(stream, f.property)
         out.facets[f.property] = facets.group_top(table, f.top) if f.top and not f.range else table

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from quarry.functions import geo, paths, text
 from quarry.operators import ads, conditions, expression, facets, logs, querylang, ranking, scoring, sorting, suffix, suggest
 from quarry.plans.schema import CollectionSchema
 from quarry.plans.search import search
-from quarry.sources import scd, store
+from quarry.sources import postings, scd, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,10 +227,24 @@ def geo_distance(spark, d):
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
+_INDEXES: dict[str, postings.PostingsIndex] = {}
+
+
+def _index(spark, d) -> postings.PostingsIndex:
+    """The stored index of the documents' texts, built when a program first asks for it."""
+    if d not in _INDEXES or _INDEXES[d].spark is not spark:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quarry-")
+        _INDEXES[d] = postings.build(read(spark, d, "documents"), "doc_id", text.words(F.col("text")), f"{folder}/postings-{uuid.uuid4().hex}")
+    return _INDEXES[d]
+
+
 def _match(name, keywords, where, strict=False):
     def run(spark, d):
-        df = read(spark, d, "documents")
-        return df.filter(querylang.matches(querylang.parse(keywords), text.words(F.col("text")), strict=strict)).select("doc_id")
+        return _index(spark, d).match(querylang.parse(keywords), strict).select(F.col("key").alias("doc_id"))
 
     run.__name__ = f"match_{name}"
     query(f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS w FROM documents) WHERE {where}")(run)
@@ -243,6 +259,10 @@ _match("exact", '"of the"', "contains(' ' || array_to_string(w, ' ') || ' ', ' o
 _match("ordered", "[the to is]", "list_position(w, 'the') > 0 AND len(list_filter(w, lambda x, i: x = 'to' AND i > list_position(w, 'the'))) > 0 AND len(list_filter(w, lambda x, i: x = 'is' AND i > list_min(list_filter(range(1, len(w) + 1), lambda j: w[j] = 'to' AND j > list_position(w, 'the'))))) > 0", strict=True)
 _match("nearby", "{the of}^3", "len(list_filter(w, lambda x, i: x = 'the' AND list_contains(w[i + 1 : i + 3], 'of'))) > 0", strict=True)
 
+_match("exact_default", '"the the of"', "len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the' AND (w[i + 1] = 'of' OR (w[i + 1] = 'the' AND w[i + 2] = 'of')))) > 0")
+_match("ordered_default", "[the the of]", "list_position(w, 'the') > 0 AND len(list_filter(w, lambda x, i: x = 'of' AND i > list_position(w, 'the'))) > 0")
+_match("nearby_default", "{of of the}^2", "len(list_filter(w, lambda x, i: x = 'of' AND (list_contains(w[i + 1 : i + 2], 'the') OR (list_contains(w[i + 1 : i + 2], 'of') AND list_contains(w[i + 1 : i + 4], 'the') AND len(list_filter(range(i + 1, i + 3), lambda j: w[j] = 'of' AND list_contains(w[j + 1 : j + 2], 'the'))) > 0)))) > 0")
+
 _STATS = "t AS (SELECT doc_id, {tokens} AS w FROM documents), s AS (SELECT count(*) AS n, sum(len(w)) AS total, sum(len(w)) / count(*) AS avg FROM t), tf AS (SELECT doc_id, len(w) AS len, {tfs} FROM t)".replace("{tokens}", _TOKENS)
 _TERMS = ["hain", "the", "thion"]
 _TFS = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS f{k}" for k, t in enumerate(_TERMS))
@@ -251,10 +271,8 @@ _WITH = f"WITH {_STATS.replace('{tfs}', _TFS)}, df AS (SELECT {_DF} FROM tf)"
 
 
 def _scored(spark, d, name):
-    df, tokens = read(spark, d, "documents"), text.words(F.col("text"))
-    stats = ranking.collect_stats(df, tokens, _TERMS)
-    hit = querylang.matches(querylang.disjunction(_TERMS), tokens)
-    return df.filter(hit).select("doc_id", F.round(ranking.model(name)(tokens, _TERMS, stats), 6).alias("score"))
+    hits = _index(spark, d).match(querylang.disjunction(_TERMS), score=name)
+    return hits.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _IDF = [f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 0.1)" for k in range(3)]
@@ -283,26 +301,22 @@ _UB = [f"(CASE WHEN m{k} > 0 THEN {_IDF[k]} * 2.2 * m{k} / (1.2 * (0.75 * m{k} /
 
 @query(f"{_WITH} SELECT doc_id FROM tf, s, df WHERE {' + '.join(f'(CASE WHEN f{k} > 0 THEN {_UB[k]} ELSE 0 END)' for k in range(3))} > 0.5 * ({' + '.join(_UB)})")
 def match_wand(spark, d):
-    df, tokens = read(spark, d, "documents"), text.words(F.col("text"))
-    stats = ranking.collect_stats(df, tokens, _TERMS)
-    node = querylang.parse("#".join(_TERMS))
-    return df.filter(querylang.matches(node, tokens, {t: ranking.bm25_bound(stats, t) for t in _TERMS})).select("doc_id")
+    return _index(spark, d).match(querylang.parse("#".join(_TERMS))).select(F.col("key").alias("doc_id"))
 
 
 @query("SELECT term, doc, least(count(*), 65535) AS score FROM (SELECT doc_id AS doc, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM documents) WHERE term IN ('the', 'hain') GROUP BY 1, 2")
 def postings_scored(spark, d):
-    p = suffix.scored_postings(read(spark, d, "documents"), "doc_id", text.words(F.col("text")))
-    return p.filter(F.col("term").isin("the", "hain")).select("term", "doc", F.col("score").cast("long").alias("score"))
+    return _index(spark, d).scored(["the", "hain"])
 
 
 @query(f"SELECT doc, CAST(f0 + f1 AS DOUBLE) AS score FROM (SELECT doc_id AS doc, len(list_filter(w, lambda x: x = 'the')) AS f0, len(list_filter(w, lambda x: x = 'hain')) AS f1 FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)) WHERE f0 > 0 AND f1 > 0")
 def retrieve_svs(spark, d):
-    return suffix.retrieve(suffix.scored_postings(read(spark, d, "documents"), "doc_id", text.words(F.col("text"))), ["the", "hain"])
+    return suffix.retrieve(_index(spark, d).scored(["the", "hain"]), ["the", "hain"])
 
 
 @query(f"SELECT doc, CAST(f0 + f1 AS DOUBLE) AS score FROM (SELECT doc_id AS doc, len(list_filter(w, lambda x: x = 'thion')) AS f0, len(list_filter(w, lambda x: x = 'hain')) AS f1 FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)) WHERE f0 > 0 OR f1 > 0")
 def retrieve_or(spark, d):
-    return suffix.retrieve(suffix.scored_postings(read(spark, d, "documents"), "doc_id", text.words(F.col("text"))), ["thion", "hain"], "bwand_or")
+    return suffix.retrieve(_index(spark, d).scored(["thion", "hain"]), ["thion", "hain"], "bwand_or")
 
 
 @query("SELECT p_partkey, round(CASE WHEN contains(lower(p_name), 'part 12') THEN 7 WHEN contains(lower(p_name), 'art 12') THEN 6 WHEN contains(lower(p_name), 'rt 12') THEN 5 WHEN contains(lower(p_name), 't 12') THEN 4 WHEN contains(lower(p_name), ' 12') THEN 3 WHEN contains(lower(p_name), '12') THEN 2 WHEN contains(lower(p_name), '2') THEN 1 ELSE 0 END / length(p_name), 6) AS score FROM part")
@@ -316,13 +330,8 @@ def suffix_fuzzy(spark, d):
     return read(spark, d, "part").select("p_partkey", s.alias("score"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '\\b(the|of)\\b', '<b>\\1</b>', 'gi') AS text FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$') AND NOT contains(text, '_')")
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), lambda x: CASE WHEN lower(x) IN ('the', 'of') THEN '<b>' || x || '</b>' ELSE x END), '') END AS text FROM documents")
 def highlighted(spark, d):
-    return read(spark, d, "documents").filter("lang = 'en' and text rlike '^[\\\\x00-\\\\x7F]*$' and not contains(text, '_')").select("doc_id", text.highlight(F.col("text"), ["the", "of"]).alias("text"))
-
-
-@query()
-def highlighted_all(spark, d):
     return read(spark, d, "documents").select("doc_id", text.highlight(F.col("text"), ["the", "of"]).alias("text"))
 
 
@@ -331,15 +340,9 @@ def snippets(spark, d):
     return read(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), ["hain", "thion"]).alias("snippet"))
 
 
-@query("SELECT item_id, array_to_string(list_sort(string_split(lower(text), ' ')), ' ') AS norm FROM benchmark WHERE NOT contains(text, chr(10))")
+@query(r"SELECT item_id, array_to_string(list_sort(list_filter(string_split_regex(lower(text), '[\p{Z}\x09-\x0D\x1C-\x1F\x{85}]+'), lambda w: w <> '')), ' ') AS norm FROM benchmark")
 def normalized(spark, d):
-    return read(spark, d, "benchmark").filter(~F.col("text").contains("\n")).select("item_id", F.array_join(F.array_sort(F.split(F.lower("text"), " ")), " ").alias("norm"))
-
-
-@query()
-def normalized_all(spark, d):
-    norm = F.udf(lambda t: None if t is None else text.normalized_query(t), "string")
-    return read(spark, d, "benchmark").select("item_id", norm("text").alias("norm"))
+    return read(spark, d, "benchmark").select("item_id", text.normalized(F.col("text")).alias("norm"))
 
 
 # Scores and reranking

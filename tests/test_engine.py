@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from quarry import queries
 from quarry.functions import geo, paths, text
-from quarry.operators import ads, conditions, expression, facets, querylang, scoring, sorting, suffix, suggest
+from quarry.operators import ads, conditions, expression, facets, querylang, ranking, scoring, sorting, suffix, suggest
 from quarry.plans.request import SearchRequest
 from quarry.plans.schema import CollectionSchema, Property
 from quarry.plans.search import search
-from quarry.sources import scd, store
+from quarry.sources import postings, scd, store
 from quarry.sources.collections import Collections
 from quarry.streaming import pipelines
 
@@ -43,6 +43,26 @@ def test_phrases(spark, raw, want):
         assert got == want
 
 
+def test_postings(spark, tmp_path):
+    rows = [*enumerate(PHRASES), (4, None), (5, "1 1 2 8")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("w", F.when(F.col("t").isNull(), F.array().cast("array<string>")).otherwise(F.split("t", " ")))
+    index = postings.build(df, "id", F.col("w"), str(tmp_path / "i"), slots=4)
+    for raw in ('"1 2"', '"1 2 4"', "[1 3 5]", "[5 1]", "{1 4}^3", "1*", "1?", "1 !8", "!8", "6|13", "6 | !9", "*", "nothere", "1#8#13"):
+        node = querylang.parse(raw)
+        stats = ranking.collect_stats(df, F.col("w"), node.terms())
+        bounds = {w: ranking.bm25_bound(stats, w) for w in node.terms()}
+        assert index.stats(node.terms()) == stats
+        for strict in (False, True):
+            want = {r.id for r in df.filter(querylang.matches(node, F.col("w"), bounds, strict=strict)).collect()}
+            assert {r.key for r in index.match(node, strict).collect()} == want, raw
+    for name in ("bm25", "kl", "plm", "none"):
+        node = querylang.parse("1 | 2 | 10")
+        stats = ranking.collect_stats(df, F.col("w"), node.terms())
+        want = {r.id: r.s for r in df.filter(querylang.matches(node, F.col("w"))).select("id", ranking.model(name)(F.col("w"), node.terms(), stats).alias("s")).collect()}
+        assert {r.key: r.score for r in index.match(node, score=name).collect()} == pytest.approx(want)
+    assert {tuple(r) for r in index.scored(["1", "8"]).collect()} == {("1", 0, 1), ("1", 1, 1), ("8", 1, 1), ("8", 2, 1), ("1", 5, 2), ("8", 5, 1)}
+
+
 def test_group_paths(spark):
     f = paths.group_paths(F.col("t"))
     assert one(spark, f, t="") == []
@@ -119,6 +139,9 @@ def test_number_ranges():
     assert len(got) <= 7 and sum(g[2] for g in got) == sum(c[2] for c in cells)
     assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
     assert facets.number_ranges([]) == []
+    # one range a segment, three more for the fullest; the last takes what is left
+    assert facets.number_ranges([(0, 1, 4), (0, 5, 4), (0, 6, 4), (2, 10, 2)], 4) == [(10, 19, 4), (50, 59, 4), (60, 69, 4), (10000, 10999, 2)]
+    assert facets.number_ranges([(0, 3, 100)], 7) == [(30, 39, 100)]
 
 
 def test_rerank(spark):
@@ -225,8 +248,18 @@ def test_search(spark):
     assert [(x.id, x.title) for x in r.page.collect()] == [(3, "<b>red</b> hat"), (2, "blue <b>shoe</b>")]
     assert tuple(r.totals.first()) == (3, 5.0, 9.0)
     r = search(df, schema, {"search": {"keywords": "*", "group_label": [{"property": "cat", "value": ["A"]}]}, "group": [{"property": "cat"}]})
-    assert r.hits.count() == 2 and r.facets["cat"].count() == 3
-    for mode in ("or", "wand", "suffix"):
+    assert r.hits.count() == 2 and {(x.value, x.level, x["count"]) for x in r.facets["cat"].collect()} == {("A", 1, 2), ("A>B", 2, 1), ("A>C", 2, 1), ("D", 1, 1)}
+    r = search(df, schema, {"search": {"group_label": [{"property": "cat", "value": ["A", "B"]}, {"property": "cat", "value": ["D"]}, {"property": "price", "value": [5, 9]}]}, "group": [{"property": "price", "range": True}, {"property": "price"}], "pinned": [2]})
+    assert {x.id for x in r.hits.collect()} == {1, 3} and {"low", "high"} <= set(r.facets["price"].columns)
+    r = search(df, schema, {"search": {"keywords": "hat", "in": ["title"]}, "pinned": [2], "select": ["title"]})
+    assert {(x._id, x.title) for x in r.page.collect()} == {(2, "blue shoe"), (3, "red hat")}
+    assert {x.id for x in search(df, schema, {"search": {"keywords": "red shoe", "mode": "zambezi", "in": ["title"]}}).hits.collect()} == {1}
+    assert {(x.id, x._rank) for x in search(df, schema, {"search": {"keywords": "red shoe", "mode": "zambezi", "algorithm": "mbwand", "in": ["title"]}}).hits.collect()} == {(1, 2.0), (2, 1.0), (3, 1.0)}
+    assert [x.cat for x in search(df, schema, {"select": [{"property": "cat", "split_property_value": True}], "limit": 1}).page.collect()] == [[["D"]]]
+    for bad in ({"mode": "ad_index"}, {"mode": "zambezi", "algorithm": "none"}):
+        with pytest.raises(ValueError):
+            search(df, schema, {"search": bad})
+    for mode in ("or", "wand", "suffix", "verbose"):
         assert search(df, schema, {"search": {"keywords": "red shoe", "mode": mode, "in": ["title"]}}).hits.count() >= 1
     with pytest.raises(ValueError, match="nope"):
         search(df, schema, {"search": {"keywords": "("}, "select": ["nope"]})
@@ -279,5 +312,5 @@ def test_whole_table_queries_against_plain_code(spark, tmp_path):
                 word = ""
         return " ".join(sorted(words))
 
-    assert {r.doc_id: r.text for r in queries.QUERIES["highlighted_all"](spark, str(tmp_path)).collect()} == {k: tagged(t) for k, t in enumerate(texts)}
-    assert {r.item_id: r.norm for r in queries.QUERIES["normalized_all"](spark, str(tmp_path)).collect()} == {k: bag(t) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in queries.QUERIES["highlighted"](spark, str(tmp_path)).collect()} == {k: tagged(t) for k, t in enumerate(texts)}
+    assert {r.item_id: r.norm for r in queries.QUERIES["normalized"](spark, str(tmp_path)).collect()} == {k: bag(t) for k, t in enumerate(texts)}
