@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
-from quarry.llm.line_dedup import BITMAP, bitmap
+from quarry.llm.common import cut, maybe_in, table
 
 #: Phrases and labels whose places are counted; fixed values.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -82,8 +81,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_i
     merged = loose.withColumn("span", F.sum("new").over(near)).groupBy("id", "text_hash", "template", "t_size", "span").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
     spans = cut(merged.filter(F.col("votes") >= F.when(F.col("t_size") < SHORT, 1.0).otherwise(VOTES) * (F.col("t_size") - 1)).filter(F.col("end") - F.col("start") + 2 <= 2 * F.col("t_size")))
     # Only texts that may have a span are dealt: a bitmap of fixed size sorts out most others in the scan.
-    slot = F.pmod(F.xxhash64("id", "text_hash"), F.lit(BITMAP)).cast("int")
-    some = rows.withColumn("_bits", bitmap(spans.select(slot.alias("slot")))).withColumn("_slot", slot).filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").select("id", "text_hash", "words")
+    some = maybe_in(rows, spans, "id", "text_hash").select("id", "text_hash", "words")
     own = some.join(spans.select("id", "text_hash").distinct().select(F.col("id").alias("i"), F.col("text_hash").alias("h")), F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["id", "text_hash"]).select(F.col("id").alias("i"), F.col("text_hash").alias("h"), "words")
     seen = spans.join(own, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).join(labels, "template").withColumn("part", F.expr("slice(words, cast(start + 1 as int), cast(end - start + 2 as int))"))
     agreed = F.size(F.array_intersect("part", "t_words")) / F.size(F.array_union("part", "t_words"))

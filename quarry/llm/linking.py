@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import WIDE_BITMAP, cut, free, maybe_in
+
+#: Rounds of pivots go on while this share of the pairs tried are links.
+YIELD = 0.1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,76 +23,100 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     before = None
     while True:
-        if edges.isEmpty():
+        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if now["n"] == 0:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        if now == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        before, old = now, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = cut(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        before = now
+        free(old)
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """(id, component) for each node b of (a, b), in which each b has one smaller parent a.
+def between(group: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the groups ``ga`` and ``gb`` of the two; ids that ``group`` lacks are groups of their own."""
+    a, b = (group.select(F.col("id").alias(x), F.col("component").alias(f"g{x}")) for x in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb"))
 
-    Every round a node's parent becomes its parent's parent, so a path of n
-    nodes takes log2(n) rounds.
-    """
-    found = parents.select(F.col("b").alias("id"), F.col("a").alias("component"), F.lit(True).alias("moved"))
-    while True:
-        above = found.select(F.col("id").alias("up"), F.col("component").alias("top"))
-        found = cut(found.join(above, F.col("component") == F.col("up"), "left").select("id", F.coalesce("top", "component").alias("component"), F.col("top").isNotNull().alias("moved")))
-        if found.filter("moved").isEmpty():
-            return found.select("id", "component")
+
+def merged(group: DataFrame, links: DataFrame) -> DataFrame:
+    """``group`` (id, component) after the links (a, b) have joined groups; ids that it lacks are groups of their own."""
+    joined = components(between(group, links).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).withColumnsRenamed({"id": "root", "component": "final"})
+    every = group.unionByName(joined.select(F.col("root").alias("id"), F.col("root").alias("component")).join(group, "id", "left_anti").select("id", "component"))
+    return cut(every.join(joined, F.col("component") == F.col("root"), "left").select("id", F.coalesce("final", "component").alias("component")))
 
 
-def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable[[str, str], F.Column], first: Callable[[str, str], F.Column] | None = None) -> DataFrame:
+def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[DataFrame], DataFrame], near: Callable[[str, str], F.Column]) -> DataFrame:
     """(id, component) of the connected groups that links within the buckets (key, id) of ``rows`` make.
 
-    ``verify`` keeps those of distinct pairs (a, b) that are links; ``near(x,
-    y)`` is a necessary condition over the columns of ``info`` (with ``id``)
-    under two prefixes, cheap and free of false negatives. ``first`` may say
-    which one of its common buckets a pair is to meet in; it sees ``key`` too. Rows that carry all columns of ``info`` are tested
-    in their buckets. Ids without a link may be missing from the result.
+    ``describe`` gets the ids (id) that share a bucket and gives columns beside
+    them; ``near(x, y)`` is a necessary condition over these under two
+    prefixes, cheap and free of false negatives. ``verify`` keeps those of
+    distinct pairs (a, b) that are links. Ids without a link may be missing
+    from the result; repeated rows do no harm.
 
-    Not every pair of a bucket is tried. First each id meets the smallest id
-    of its buckets; then only pairs that still lie in different groups meet.
-    So a bucket of n copies costs n pairs, and yet no two groups that a link
-    of some bucket joins stay apart.
+    Not every pair of a bucket is tried. In each round every bucket names a
+    pivot, the smallest id first and then one by the round's hash, and the ids
+    that still lie in other groups than their pivot meet it, each the smallest
+    pivot that it may be linked to. So a bucket of n copies costs n pairs, and
+    a few rounds join a large group whose members are linked to some of the
+    others only. When a round finds few links, what pairs are left between
+    different groups of a bucket meet, so that no two groups that a link of
+    some bucket joins stay apart.
+
+    Pivots are plain aggregates and rows meet them in joins, which a hot
+    bucket's rows can be split for.
     """
-    w = W.partitionBy("key")
-    carried = [c for c in info.columns if c != "id" and c in rows.columns]
-    whole = len(carried) == len(info.columns) - 1
-    met = rows.withColumn("hub", F.min(F.struct("id", *carried)).over(w)).withColumn("top", F.max("id").over(w)).withColumn("n", F.count("*").over(w)).filter("hub.id < top").drop("top")
-    if whole:  # the condition sorts out chance meetings at once
-        pair = met.select("*", *[F.col(f"hub.{c}").alias(f"a_{c}") for c in carried], *[F.col(c).alias(f"b_{c}") for c in carried])
-        met = pair.withColumn("good", (F.col("id") > F.col("hub.id")) & near("a", "b")).filter("good or n > 2").select("key", "id", F.col("hub.id").alias("hub"), "n", "good")
-    else:
-        met = met.withColumn("good", F.col("id") > F.col("hub.id")).withColumn("hub", F.col("hub.id"))
-    multi = cut(met)
-    named = lambda x: info.select(*[F.col(c).alias(f"{x}_{c}") for c in info.columns]).withColumnRenamed(f"{x}_id", x)
-    star = multi.filter("good").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut(star if whole else star.join(named("a"), "a").join(named("b"), "b").filter(near("a", "b")).select("a", "b"))
-    tried = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    group = roots(verify(tried))
-    other = group.select(F.col("id").alias("a"), F.col("component").alias("ga"))
-    own = group.select(F.col("id").alias("b"), F.col("component").alias("gb"))
-    apart = star.join(other, "a", "left").join(own, "b", "left").filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    marked = multi.filter("n > 2").drop("hub", "n", "good").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rest = marked.join(open_, "key", "left_semi").join(info, "id")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in ("a", "b"))
-    pairs = x.join(y, "key").filter((F.col("a_component") < F.col("b_component")) & near("a", "b") & (first("a", "b") if first else F.lit(True)))
-    pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).unionByName(apart).distinct()
+    empty = rows.sparkSession.createDataFrame([], "a long, b long")
+    several = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"))
+    shared = cut(maybe_in(rows, several, "key", size=WIDE_BITMAP).join(several, "key").distinct())
+    free(several)
+    info = describe(shared.select("id").distinct())
+    described = [c for c in info.columns if c != "id"]
+    side = lambda x: F.struct("id", *described).alias(x)
+    spread = lambda x: [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in described]
+    open_ = cut(shared.join(info, "id"))
+    free(shared)
+    group, tried = cut(empty.select(F.col("a").alias("id"), F.col("b").alias("component"))), empty
+    turn, waiting = 0, empty
+    while True:
+        marked = open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+        pivots = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min_by(F.struct("id", "component", *described), order).alias("p")).filter("low < high")
+        met = marked.join(pivots, "key").filter("component != p.component").select("size", side("x"), "p")
+        near_ones = met.select(F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b"), F.col("x.id").alias("who"), "size", *spread("x"), *spread("p")).filter(near("x", "p"))
+        pairs = near_ones.groupBy("a", "b", "who").agg(F.min("size").alias("size"))
+        if turn == 0:
+            pairs = cut(pairs)
+            waiting = pairs.filter("size = 2").select("a", "b")  # these won't meet again
+        else:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        chosen = cut(pairs.groupBy("who").agg(F.min(F.struct("a", "b")).alias("s")).select("s.a", "s.b").distinct())
+        links = cut(verify(chosen))
+        n_tried, n_links = chosen.count(), links.count()
+        tried = tried.unionByName(chosen)
+        if n_links:
+            old, group = group, merged(group, links)
+            free(old)
+        if turn == 0:  # buckets of two and those that are one group by now are done
+            marked = open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            left = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high and size > 2").select("key")
+            old, open_ = open_, cut(open_.join(left, "key"))
+            free(old)
+        if n_links <= YIELD * n_tried:
+            break
+        turn += 1
+    marked = open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    rest = marked.join(apart, "key", "left_semi")
+    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in ("x", "y"))
+    pairs = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & near("x", "y"))
+    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).unionByName(between(group, waiting).filter("ga != gb").select("a", "b")).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return group
-    more = verify(pairs).join(other, "a", "left").join(own, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
-    joined = components(more).select(F.col("id").alias("root"), F.col("component").alias("final"))
-    every = group.unionByName(joined.select(F.col("root").alias("id"), F.col("root").alias("component")).join(group, "id", "left_anti").select("id", "component"))
-    return every.join(joined, F.col("component") == F.col("root"), "left").select("id", F.coalesce("final", "component").alias("component"))
+    free(open_)
+    return group if pairs.isEmpty() else merged(group, verify(pairs))

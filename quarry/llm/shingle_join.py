@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, cut, in_arrow, spread, table
+from quarry.llm.common import WIDE_BITMAP, chunks, cut, free, in_arrow, maybe_in, spread, table
 from quarry.llm.linking import bucket_groups
 
 SIZE, PERCENT = 5, 80
@@ -210,13 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys, who = block_keys(tokens[np.repeat(fresh, n)], np.where(fresh, n, 0), percent)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[who])], names=["key", "id"])
 
-    def whole(ids, tokens, n, _):
-        ends = np.cumsum(n)
-        sets = [tokens[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-        made = pa.RecordBatch.from_arrays([ids, pa.array(sets, type=pa.binary())], names=["id", "tokens"])
-        return made.filter(pa.array(ids.to_numpy(zero_copy_only=False) == set_names(tokens, n)))  # rows that share an id may differ
-
-    def again(_, tokens, n, __):
+    def whole(_, tokens, n, __):
         ends = np.cumsum(n)
         sets = [tokens[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(set_names(tokens, n)), pa.array(sets, type=pa.binary())], names=["id", "tokens"])
@@ -229,14 +223,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = sum((F.bit_count(F.col(f"{x}_{w}").bitwiseXOR(F.col(f"{y}_{w}"))) for w in words), F.lit(0))
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (100 - percent) * (n + m))
 
+    sets: list[DataFrame] = []
+
+    def describe_shared(ids):
+        """Size and sketch of sets that share a block; the sets are kept for ``verify``."""
+        wanted = cut(info.join(ids, "id"))
+        # One document of each set is read again; a set none of whose documents has an id is known by its name.
+        some = maybe_in(texts, wanted, "doc", size=WIDE_BITMAP).join(wanted.select(F.col("doc").alias("d")).distinct(), F.expr("doc <=> d"), "left_semi")
+        sets.append(cut(per_chunk(some, size, "id long, tokens binary", whole).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])))
+        return wanted.select("id", "n", *words)
+
     def verify(pairs):
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(info.select("id", "doc"), "id")
-        one = texts.join(wanted, "doc").select("id", "text")
-        # A set none of whose rows has an id is fetched by its name, computed again.
-        nameless = per_chunk(texts.filter("doc is null").select("doc", "text"), size, "id long, tokens binary", again)
-        nameless = nameless.join(wanted.filter("doc is null").select("id"), "id", "left_semi").dropDuplicates(["id"])
-        sets = cut(per_chunk(one, size, "id long, tokens binary", whole).unionByName(nameless))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+        x, y = (sets[0].select(F.col("id").alias(p), F.col("tokens").alias(q)) for p, q in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
         def compare(batches):
             for batch in batches:
@@ -248,10 +247,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept = batch.filter(pa.array(keep, type=pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-        return in_arrow(both, compare, "a long, b long").distinct()
+        return in_arrow(both, compare, "a long, b long")
 
     rows = per_chunk(texts, size, "key long, id long", give)
-    group = cut(bucket_groups(rows, verify, info.select("id", "n", *words), near))
+    group = cut(bucket_groups(rows, verify, describe_shared, near))
+    free(*sets)
     placed = every.select("doc", "n", "id").join(group, "id", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("c"))
     smallest = placed.filter("c is not null").groupBy("c").agg(F.min("doc").alias("component_id"))
     return placed.join(smallest, "c", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
