@@ -7,9 +7,10 @@ each. Vectors are inserted in batches: a batch is searched at once in what is
 there already and compared with itself, then linked in with the usual
 diversity rule.
 
-A search sends each block of queries to every shard (a stated query set against
-all rows), keeps each shard's best and merges them; cosines of the answers are
-taken in double precision from the original vectors.
+A search deals the shards over the cluster and sends every query to each shard
+of its dimension (a stated query set against all rows); a task holds one shard
+and searches it for a block of queries at a time. Each shard's best are merged;
+cosines of the answers are taken in double precision from the original vectors.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, in_arrow, table
 
-SHARD_ROWS = 4096
-QUERY_BLOCK = 512
+SHARD_ROWS = 16384
+QUERY_BLOCK = 128
 LINKS = 24
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 160
+SEARCH_WIDTH = 64
+#: Shards of a dimension are numbered from so many times it.
+DIMENSION = 1_000_000_000
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -50,8 +53,8 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def beam(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``width`` best rows found for each query by best-first search, best first (-1 and -inf: none).
+def beam(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``width`` best rows found for each query by best-first search, best first (-1 and -inf: none), and how many rows it was compared with.
 
     ``graph[i]`` has the neighbours of row i, -1 for none; ``entry`` has the
     starting rows of each query. All queries take a step at a time.
@@ -89,7 +92,7 @@ def beam(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.nda
         row = np.arange(len(live))[:, None]
         ids[live], near[live], done[live] = all_ids[row, top], all_near[row, top], all_done[row, top]
     order = np.argsort(-near, axis=1, kind="stable")
-    return np.where(near[every[:, None], order] > -np.inf, ids[every[:, None], order], -1), near[every[:, None], order]
+    return np.where(near[every[:, None], order] > -np.inf, ids[every[:, None], order], -1), near[every[:, None], order], seen[:, :n].sum(axis=1)
 
 
 def diverse(unit: np.ndarray, near: np.ndarray, ids: np.ndarray, links: int) -> np.ndarray:
@@ -130,7 +133,7 @@ def build(vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, bat
             entry = np.random.default_rng(a).integers(0, a, size=(len(own), 4))
             entry = np.sort(entry, axis=1)
             entry[:, 1:][entry[:, 1:] == entry[:, :-1]] = -1
-            ids, near = beam(u[:a], graph[:a].astype(np.int64), u[own], entry, width)
+            ids, near, _ = beam(u[:a], graph[:a].astype(np.int64), u[own], entry, width)
             inner = u[own] @ u[own].T
             np.fill_diagonal(inner, -np.inf)
             ids = np.concatenate([ids, np.broadcast_to(own, (len(own), len(own)))], axis=1)
@@ -161,8 +164,8 @@ def build(vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, bat
         members = members[up]
 
 
-def search(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, width: int = SEARCH_WIDTH) -> np.ndarray:
-    """Rows found for each query, best first, -1 for none."""
+def search(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, width: int = SEARCH_WIDTH, looked: list | None = None) -> np.ndarray:
+    """Rows found for each query, best first, -1 for none; ``looked`` gets the share of all rows that each query was compared with."""
     unit, q = unit_rows(vectors), unit_rows(queries)
     top = levels[0][0]
     entry = np.broadcast_to(top[: min(8, len(top))].astype(np.int64), (len(q), min(8, len(top))))
@@ -172,9 +175,11 @@ def search(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], que
         start = np.where(entry >= 0, place[entry], -1)
         w = width if k == len(levels) - 1 else 16
         w = max(w, start.shape[1])
-        ids, _ = beam(unit[members], graph.astype(np.int64), q, start, w)
+        ids, _, seen = beam(unit[members], graph.astype(np.int64), q, start, w)
         found = np.where(ids >= 0, members[ids], -1).astype(np.int64)
         entry = found[:, :8]
+    if looked is not None:
+        looked += (seen / len(unit)).tolist()
     return found
 
 
@@ -191,7 +196,7 @@ def build_index(vectors: DataFrame, key: str = "class", vector: str = "vector",
     sized = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.size(vector).alias("dim"))
     counts = sized.groupBy("dim").count().collect()  # a row for each dimension
     shards = F.create_map(*[F.lit(x) for r in counts for x in (r["dim"], -(-r["count"] // shard_rows))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = sized.withColumn("shard", F.col("dim").cast("long") * 1_000_000_000 + F.pmod(F.xxhash64("key"), F.element_at(shards, F.col("dim"))))
+    dealt = sized.withColumn("shard", F.col("dim").cast("long") * DIMENSION + F.pmod(F.xxhash64("key"), F.element_at(shards, F.col("dim"))))
 
     def make(group):
         group = group.sort_values("key")
@@ -204,44 +209,58 @@ def build_index(vectors: DataFrame, key: str = "class", vector: str = "vector",
     return dealt.groupBy("shard").applyInPandas(make, INDEX)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH, block: int = QUERY_BLOCK) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH) -> DataFrame:
     """(query_id, key, score): the best ``k`` keys that each shard finds for each query (query_id, vector).
 
     ``k`` is raised by ties: all equal to the k-th score stay. Queries of
     another dimension than a shard's don't reach it.
     """
-    packed = queries.select("query_id", F.col("vector").alias("v"), F.size("vector").alias("dim")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)).cast("long"))))
-    packed = packed.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-    both = index.join(packed, "dim")
-
-    def run(group):
-        import pandas as pd
-
-        out = []
-        for r in group.itertuples():
-            vectors = np.frombuffer(r.vectors, dtype=np.float64).reshape(r.n, r.dim)
-            keys = np.frombuffer(r.rows, dtype=np.int64)
-            levels = []
-            for x in r.levels:
-                m = np.frombuffer(x["members"], dtype=np.int32)
-                levels.append((m, np.frombuffer(x["neighbours"], dtype=np.int32).reshape(len(m), -1)))
-            qv = np.stack([np.asarray(x["v"], dtype=np.float64) for x in r.q])
-            ids = np.array([x["query_id"] for x in r.q], dtype=np.int64)
-            for a in range(0, len(ids), 128):
-                found = search(vectors, levels, qv[a : a + 128], width)[:, : max(4 * k, 32)]
-                who, at = np.nonzero(found >= 0)
-                rows = found[who, at]
-                score = exact_cosine(qv[a + who], vectors[rows])
-                order = np.lexsort((keys[rows], -score, who))
-                who, rows, score = who[order], rows[order], score[order]
-                first = np.searchsorted(who, np.arange(len(found)))
-                place = np.arange(len(who)) - first[who]
-                kth = score[np.minimum(first + k - 1, np.searchsorted(who, np.arange(len(found)), side="right") - 1)]
-                keep = (place < k) | (score == kth[who])
-                out.append(pd.DataFrame({"query_id": ids[a + who[keep]], "key": keys[rows[keep]], "score": score[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key": [], "score": []})
-
-    return both.groupBy("shard", "block").applyInPandas(run, "query_id long, key long, score double")
+    counts = index.groupBy("dim").agg(F.max("shard").alias("last")).collect()  # a row for each dimension
+    last = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["dim"], r["last"])]), F.col("dim")) if counts else F.lit(None).cast("long")
+    asked = queries.select("query_id", F.col("vector").alias("v"), F.size("vector").alias("dim")).withColumn("last", last).filter("last is not null")
+    asked = asked.select(F.explode(F.sequence(F.col("dim").cast("long") * DIMENSION, "last")).alias("shard"), "query_id", "v")
+    parts = [c for c in index.columns if c != "shard"]
+    both = index.withColumn("query_id", F.lit(None).cast("long")).withColumn("v", F.lit(None).cast("array<double>")).unionByName(asked, allowMissingColumns=True)
+    both = both.select("shard", "query_id", "v", *parts).repartition("shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+
+    def run(batches):
+        shard, held = None, None
+        waiting: list = []
+
+        def answers():
+            ids, qv = np.array([i for i, _ in waiting], dtype=np.int64), np.array([v for _, v in waiting], dtype=np.float64)
+            waiting.clear()
+            vectors, keys, levels = held
+            found = search(vectors, levels, qv, width)[:, : max(4 * k, 32)]
+            who, at = np.nonzero(found >= 0)
+            rows = found[who, at]
+            score = exact_cosine(qv[who], vectors[rows])
+            order = np.lexsort((keys[rows], -score, who))
+            who, rows, score = who[order], rows[order], score[order]
+            first = np.searchsorted(who, np.arange(len(found)))
+            place = np.arange(len(who)) - first[who]
+            kth = score[np.minimum(first + k - 1, np.searchsorted(who, np.arange(len(found)), side="right") - 1)]
+            keep = (place < k) | (score == kth[who])
+            return pa.RecordBatch.from_arrays([pa.array(ids[who[keep]]), pa.array(keys[rows[keep]]), pa.array(score[keep])], names=["query_id", "key", "score"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["query_id"] is None:  # a shard, before its queries
+                    if waiting:
+                        yield answers()
+                    levels = []
+                    for x in r["levels"]:
+                        m = np.frombuffer(x["members"], dtype=np.int32)
+                        levels.append((m, np.frombuffer(x["neighbours"], dtype=np.int32).reshape(len(m), -1)))
+                    shard, held = r["shard"], (np.frombuffer(r["vectors"], dtype=np.float64).reshape(r["n"], r["dim"]), np.frombuffer(r["rows"], dtype=np.int64), levels)
+                elif r["shard"] == shard:  # a number without a vector may have no shard
+                    waiting.append((r["query_id"], r["v"]))
+                    if len(waiting) == QUERY_BLOCK:
+                        yield answers()
+        if waiting:
+            yield answers()
+
+    return in_arrow(both, run, "query_id long, key long, score double")
 
 
 def nearest(table_: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
