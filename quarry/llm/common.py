@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at a time.
@@ -103,6 +104,20 @@ def training_row(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0
 
 
+def bounded_sample(rows: DataFrame, by: str, sizes: dict, bound: int) -> DataFrame:
+    """The ``bound`` rows (id, ``by``) with the smallest hash of their id of each value of ``by``; ``sizes`` has their numbers of rows.
+
+    Hashes past what so many rows can be expected to need go in the scan: so
+    what meets in a task is about a fifth more than the bound, however many
+    rows a value has.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("id"), 33)
+    share = {k: min(1.0, (1.2 * bound + 200) / n) for k, n in sizes.items()}
+    most = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 31)))]), F.col(by))
+    few = rows.filter(place <= most)
+    return few.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(place, "id"))).filter(F.col("_r") <= bound).drop("_r")
+
+
 def chunks(sizes, limit: int = CHUNK_CHARS):
     """Slices of consecutive items whose sizes add up to about ``limit``; each has one item at least."""
     start, total = 0, 0

@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words and their first 4 and 5 characters (with a mark in front). A
-bounded sample of labelled documents gives the examples and the lexicon: the
-terms whose shares among toxic and other examples differ most. Inverse document
-frequencies of the lexicon count every document of the table. A document is the
-TF-IDF vector of its lexicon terms, and its neighbours are the examples of
-largest cosine.
+bounded sample of labelled documents gives the examples. A document is the
+TF-IDF vector of its terms, and its neighbours are the examples of largest
+cosine. Inverse document frequencies count every document of the table; they
+are multiplied by how clearly a term's shares among toxic and other examples
+differ, squared: standard errors over ``FULL_Z``, at most 1. (With bare
+frequencies the words that all texts of a language share decide who is near,
+and every sixth clean document has toxic neighbours; see the README.) A term
+that doesn't differ by ``LEAST_Z`` standard errors weighs nothing.
 
 Examples lie in an inverted index cut into blocks of consecutive examples, with
 each term's largest weight in each block. A query first bounds every block by
@@ -13,36 +16,44 @@ those, takes the most promising blocks whole, and then only blocks whose bound
 reaches the k-th best so far, so the k nearest are exact; equal cosines go to
 the earlier example. Neighbours vote with their cosines; class weights undo the
 balanced sample, and an isotonic fit of left-out votes calibrates the score.
-Documents without a lexicon term get the toxic share of such examples.
+Documents none of whose terms weighs anything get the toxic share of such
+examples.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import in_arrow, spread, table, training_row
+from quarry.llm.common import bounded_sample, chunks, in_arrow, spread, table, training_row
 
-#: Bounds of the sample (documents of each class) and of the lexicon.
-PER_CLASS, TERMS = 3000, 1024
-#: Terms that differ by less than this many standard errors are left out.
-LEAST_Z = 4.0
+#: Bound of the sample: documents of each class.
+PER_CLASS = 3000
+#: Standard errors from which a term weighs something, and its full weight.
+LEAST_Z, FULL_Z = 3.0, 8.0
 NEIGHBOURS, BLOCK = 15, 64
-WORD = re.compile(r"[^\W_]+")
+#: Blocks that a query takes before it bounds the rest.
+FIRST_BLOCKS = 12
 MARK = "^"
+WORDS_KEPT = 500_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
     return (word, *(MARK + word[:n] for n in (4, 5) if len(word) > n))
 
 
+def words_of(texts: list[str]):
+    """Lower-cased runs of letters and digits of each text, as an Arrow list array; some may be empty."""
+    return pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, type=pa.string())), r"[^\p{L}\p{N}]+")
+
+
 @dataclass
 class Index:
     """Examples as unit vectors in blocks; ``start[t, b]`` to ``start[t, b + 1]`` are term t's postings in block b."""
@@ -73,41 +84,33 @@ class Index:
         a, b = self.start[terms][:, blocks], self.start[terms][:, blocks + 1]
         lengths = (b - a).reshape(-1)
         at = spread(a.reshape(-1), lengths)
-        np.add.at(into, self.example[at], np.repeat(np.repeat(weights, len(blocks)), lengths) * self.weight[at])
+        into += np.bincount(self.example[at], np.repeat(np.repeat(weights, len(blocks)), lengths) * self.weight[at], minlength=self.n)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The exact ``k`` examples of largest positive cosine, best first, and the cosines."""
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        got, done, step = np.zeros(self.n), 0, 4
-        while done < len(order):
-            if done:
-                kth = np.partition(got, -k)[-k] if self.n >= k else 0.0
-                reach = int(np.searchsorted(-bound[order], -(kth - 1e-9), side="right"))
-                take = order[done : max(done, min(reach, done + step))]
-                if not len(take):
-                    break
-            else:
-                take = order[:step]
-            self.scores(terms, weights, take, got)
-            done, step = done + len(take), step * 4
-        best = np.lexsort((np.arange(self.n), -np.round(got, 12)))[:k] if self.n <= 4 * k else self._top(got, k)
-        best = best[got[best] > 0]
-        return best, got[best]
-
-    @staticmethod
-    def _top(got: np.ndarray, k: int) -> np.ndarray:
+        got = np.zeros(self.n)
+        if len(order):
+            first = order[:FIRST_BLOCKS]
+            self.scores(terms, weights, first, got)
+            kth = np.partition(got, -k)[-k] if self.n >= k else 0.0
+            reach = int(np.searchsorted(-bound[order], -(kth - 1e-9), side="right"))
+            if reach > len(first):
+                self.scores(terms, weights, order[len(first) : reach], got)
         value = np.round(got, 12)
-        kth = np.partition(value, -k)[-k]
-        some = np.flatnonzero(value >= kth)
-        return some[np.lexsort((some, -value[some]))][:k]
+        some = np.flatnonzero(value > 0)
+        if len(some) > k:
+            some = some[value[some] >= np.partition(value[some], -k)[-k]]
+        best = some[np.lexsort((some, -value[some]))][:k]
+        return best, got[best]
 
 
 @dataclass
 class ToxicityModel:
     terms: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of terms: idf times how clearly they differ
     index: Index | None = None
     names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -115,39 +118,52 @@ class ToxicityModel:
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # vote and calibrated score
     plain: float = 0.0  # score of documents without a term
 
+    @cached_property
+    def reader(self) -> TermReader:
+        """A worker's own, which lasts as long as the broadcast model."""
+        return TermReader(self.terms)
+
 
 class TermReader:
-    """Counts a text's lexicon terms; remembers each word's."""
+    """Counts the terms of a model in texts; remembers each word's."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.words = terms, _Words(terms)
+        self.terms, self.words = terms, {}
 
-    def counts(self, text: str) -> dict[int, int]:
-        if len(self.words) > 500_000:
+    def counts(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's terms in ascending order, and how often each occurs."""
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        get, out = self.words.__getitem__, {}
-        for hit in filter(None, map(get, WORD.findall(text.lower()))):
-            for t in hit:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-
-class _Words(dict):
-    def __init__(self, terms):
-        super().__init__()
-        self.of = terms
-
-    def __missing__(self, word):
-        out = self[word] = tuple(self.of[t] for t in terms_of(word) if t in self.of) or None
-        return out
-
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = words_of(texts)
+        coded = parts.flatten().dictionary_encode()
+        known = []
+        for w in coded.dictionary.to_pylist():
+            hit = self.words.get(w)
+            if hit is None:
+                hit = self.words[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
+            known.append(hit)
+        many = np.array([len(h) for h in known], dtype=np.int64)
+        flat = np.array([t for h in known for t in h], dtype=np.int64)
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+        hits = flat[spread((np.cumsum(many) - many)[at], many[at])] if len(many) else flat
+        size = max(len(self.terms), 1)
+        cell, n = np.unique(np.repeat(doc, many[at]) * size + hits if len(many) else flat, return_counts=True)
+        ends = np.searchsorted(cell // size, np.arange(1, len(texts)))
+        return list(zip(np.split(cell % size, ends), np.split(n, ends), strict=True))
+
+
+def all_counts(reader: TermReader, texts: list[str]):
+    """``reader.counts`` of chunks of texts."""
+    for s in chunks([len(t) for t in texts]):
+        yield from reader.counts(texts[s])
+
+
+def vector(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and unit TF-IDF weights."""
-    t = np.array(sorted(counts), dtype=np.int64)
-    w = (1 + np.log([counts[x] for x in t.tolist()])) * idf[t] if len(t) else np.zeros(0)
+    w = (1 + np.log(counts)) * weights[terms]
     norm = np.sqrt((w * w).sum())
-    return t, w / norm if norm else w
+    return terms, w / norm if norm else w
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +186,15 @@ def smoothed_vote(model: ToxicityModel, best: np.ndarray, cosine: np.ndarray) ->
     return float((w * model.toxic[best]).sum() / w.sum()) if len(best) and w.sum() > 0 else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, terms: int = TERMS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on ``labels`` (id, label 0 or 1) of ``docs``.
 
     Other labels, and labels of ids that ``docs`` lacks, are left out; of an id
-    with several labels the largest counts. The sample is the ``per_class``
-    labelled ids of each class with the smallest hash. Without labelled
-    examples of both classes every score is the class that there is, or 0.
+    with several labels the largest counts, of rows that share an id one text.
+    Null texts count as empty, long ones are read whole. The sample is the
+    ``per_class`` labelled ids of each class with the smallest hash. Without
+    labelled examples of both classes every score is the class that there is,
+    or 0. Columns beside those named are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -184,53 +202,55 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel(plain=float(next(iter(sizes), 0)))
-    place = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_class).select("id", "y")
+    chosen = bounded_sample(known, "y", sizes, per_class).select("id", "y")
     sample = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     share = {y: sizes[y] / min(sizes[y], per_class) for y in sizes}
 
     def spell(batches):
         for batch in batches:
-            found = [sorted({t for w in set(WORD.findall(x.lower())) for t in terms_of(w)}) for x in batch.column(1).to_pylist()]
+            found = [sorted({t for w in set(x) if w for t in terms_of(w)}) for x in words_of(batch.column(1).to_pylist()).to_pylist()]
             label = [y for y, f in zip(batch.column(0).to_pylist(), found, strict=True) for _ in f]
             yield pa.RecordBatch.from_arrays([pa.array(label, type=pa.int32()), pa.array([t for f in found for t in f], type=pa.string())], names=["y", "term"])
 
     n1, n0 = min(sizes[1], per_class), min(sizes[0], per_class)
     both = in_arrow(sample.select("y", "text"), spell, "y int, term string").groupBy("term").agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b"))
     p = (F.col("a") + F.col("b")) / (n1 + n0)
-    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-    rows = both.select("term", F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(terms).collect()
-    number = {r["term"]: k for k, r in enumerate(sorted(rows, key=lambda r: r["term"]))}
+    z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
+    clear = {r["term"]: r["z"] for r in both.select("term", z.alias("z")).filter(F.col("z") >= LEAST_Z).collect()}  # bounded by the sample
+    number = {t: k for k, t in enumerate(sorted(clear))}
     if not number:
         return ToxicityModel(plain=sizes[1] / (sizes[0] + sizes[1]))
 
+    terms = docs.sparkSession.sparkContext.broadcast(ToxicityModel(number))
+
     def occur(batches):
-        reader, df, n = TermReader(number), np.zeros(len(number), dtype=np.int64), 0
+        reader, df, n = terms.value.reader, np.zeros(len(number), dtype=np.int64), 0
         for batch in batches:
-            for x in batch.column(0).to_pylist():
+            for own, _ in all_counts(reader, batch.column(0).to_pylist()):
                 n += 1
-                if c := reader.counts(x):
-                    df[list(c)] += 1
+                df[own] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(df)), -1], type=pa.int64()), pa.array([*df.tolist(), n], type=pa.int64())], names=["t", "n"])
 
     counts = {r["t"]: r["n"] for r in in_arrow(texts.select("text"), occur, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + counts[-1]) / (1 + np.array([counts[t] for t in range(len(number))]))) + 1
+    weights = idf * np.minimum(np.array([clear[t] for t in number]) / FULL_Z, 1) ** 2
 
     def count(batches):
         reader = TermReader(number)
         for batch in batches:
-            found = [sorted(reader.counts(x).items()) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in f] for f in found], type=pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], type=pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
+            found = list(all_counts(reader, batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tolist() for t, _ in found], type=pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], type=pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
 
     rows = in_arrow(sample.select("id", "y", "text"), count, "id long, y int, t array<int>, c array<int>").collect()
-    data = sorted(((r["y"], dict(zip(r["t"], r["c"], strict=True)), r["id"]) for r in rows), key=lambda r: (r[0], min(r[1], default=-1), r[2]))
+    # Examples of a class that share their weightiest term stand together, so that few blocks have large bounds.
+    data = sorted(((r["y"], np.array(r["t"], dtype=np.int64), np.array(r["c"], dtype=np.int64), r["id"]) for r in rows), key=lambda r: (r[0], int(r[1][np.argmax(weights[r[1]])]) if len(r[1]) else -1, r[3]))
     weight = np.array([share[r[0]] for r in data])
     y = np.array([r[0] for r in data], dtype=np.float64)
-    vectors = [vector(r[1], idf) for r in data]
+    vectors = [vector(r[1], r[2], weights) for r in data]
     filled = np.array([k for k, v in enumerate(vectors) if len(v[0])], dtype=np.int64)
     empty = np.setdiff1d(np.arange(len(data)), filled)
     plain = float((weight[empty] * y[empty]).sum() + 0.5) / float(weight[empty].sum() + 1) if len(empty) else 0.0
-    model = ToxicityModel(number, idf, Index.build([vectors[k] for k in filled], len(number)), np.array([data[k][2] for k in filled], dtype=np.int64), y[filled], weight[filled], plain=plain)
+    model = ToxicityModel(number, weights, Index.build([vectors[k] for k in filled], len(number)), np.array([data[k][3] for k in filled], dtype=np.int64), y[filled], weight[filled], plain=plain)
     votes = np.zeros(len(filled))
     for k, at in enumerate(filled.tolist()):
         best, cosine = model.index.nearest(*vectors[at], NEIGHBOURS + 1)
@@ -246,7 +266,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 
     The evidence is in the last two: ids and cosines of the examples that voted.
 
-    Null texts count as empty; texts without a lexicon term have no neighbours
+    Null texts count as empty; texts none of whose terms weighs anything have no neighbours
     and the score of such examples. Repeated rows get equal scores, all other
     columns stay as they are.
     """
@@ -258,22 +278,22 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 
     def run(batches):
         model = handle.value
-        reader, known = TermReader(model.terms), {}
+        reader, known = model.reader, {}
 
-        def judge(counts):
-            if not counts or model.index is None:
+        def judge(terms, counts):
+            if not len(terms) or model.index is None:
                 return model.plain, [], []
-            key = tuple(sorted(counts.items()))
+            key = (terms.tobytes(), counts.tobytes())
             if key not in known:
-                if len(known) > 50_000:
+                if len(known) > 10_000:
                     known.clear()
-                best, cosine = model.index.nearest(*vector(counts, model.idf), NEIGHBOURS)
+                best, cosine = model.index.nearest(*vector(terms, counts, model.weights), NEIGHBOURS)
                 vote = smoothed_vote(model, best, cosine)
                 known[key] = float(np.interp(vote, *model.steps)) if len(best) else model.plain, model.names[best].tolist(), cosine.tolist()
             return known[key]
 
         for batch in batches:
-            out = [judge(reader.counts(t or "")) for t in batch.column(at).to_pylist()]
+            out = [judge(*x) for x in all_counts(reader, [t or "" for t in batch.column(at).to_pylist()])]
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], type=pa.float64()), pa.array(cols[1], type=pa.list_(pa.int64())), pa.array(cols[2], type=pa.list_(pa.float64()))], names=[*names, *added])
 
