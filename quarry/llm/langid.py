@@ -18,11 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Vocabulary, chunks, in_arrow, segment_sums, spread, table, training_row
+from quarry.llm.common import Vocabulary, bounded_sample, chunks, in_arrow, segment_sums, spread, table, training_row
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -201,15 +200,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Rows without either are left out; without any row the model knows no
     language and answers ``und``. ``per_language`` bounds the fitted sample:
-    the documents of each language with the smallest hash of their id.
+    the documents of each language with the smallest hash of their id; rows
+    that share an id and a language count as one there. Texts are read whole.
     """
     known = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null and id is not null")
     df, total = document_frequencies(known.select("text"), features)
-    place = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_language).select("id").distinct()
-    rows = sample_features(known.join(F.broadcast(chosen), "id", "left_semi").select("id", "lang", "text"), features)
+    ids = known.select("id", "lang").distinct()
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row for each language
+    if not sizes:
+        return LanguageModel([], np.zeros((features, 1), np.float32), np.zeros(1), 1.0)
+    chosen = bounded_sample(ids, "lang", sizes, per_language).select("id", "lang")
+    rows = sample_features(known.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "lang", "text").dropDuplicates(["id", "lang"]), features)
     languages = sorted({r[1] for r in rows})
-    if not languages:
+    if not languages:  # no sampled text has a word
         return LanguageModel([], np.zeros((features, 1), np.float32), np.zeros(1), 1.0)
     idf = np.log((1 + total) / (1 + df)) + 0.1
     number = {x: i for i, x in enumerate(languages)}
