@@ -1,37 +1,36 @@
 """Removing repeated lines, also fuzzy ones, with DataFrame operations only.
 
 Lines are normalised (lower case, runs of letters and digits) and named by a
-hash of that. A line's pairs of neighbouring words are sorted, rare words
-first, and lines meet in buckets by so many of the first of them that no two
-lines of the similarity can miss each other (``rare_keys``). Pairs are verified
-by the edit distance of their words: each word becomes one character, so that
-the built-in Levenshtein distance counts words. Of each connected group of
-lines the first occurrence, by document and line number, stays.
-
-``repeated_lines`` is the narrower search by SimHash: names whose SimHashes
-differ in at most ``BITS_APART`` of 63 bits share enough whole blocks of bits
-to meet in a bucket (pigeonhole). SimHash sums are built by plain aggregation:
-a word's hash is spread over 21 longs, each with three lanes of 21 bits, so
-that sums of these longs count all 63 bits of up to two million words a line.
+hash of their words. Each distinct line gets a SimHash of 8 blocks.
+Its features are the line's shingles of two or four words. A feature votes on
+all bits of one block, with a weight drawn from its hash so unevenly that the
+heaviest feature of a block outvotes the others together: so a block is the
+bits of that feature, and an edit changes blocks as a whole or not at all.
+Lines join on equal blocks. (With equal weights each word that differs turns
+some bits of every block; lines of the similarity differ in 13 of 63 bits, and
+no choice of whole blocks that they share is left to join on.)
+
+Pairs are filtered by length and by a parity sketch of their words, then
+verified by the edit distance of their words: each word becomes one character,
+so that the built-in Levenshtein distance counts words. Of each connected
+group of lines the first occurrence, by document and line number, stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import WIDE_BITMAP, cut, free, maybe_in, table
 from quarry.llm.linking import bucket_groups
 
-BITS_APART, SIMILARITY = 3, 0.8
-LANE = 21
-LANES = (1 << 0) | (1 << LANE) | (1 << 2 * LANE)
-#: Bits of the bitmap of wanted lines, a fixed size.
-BITMAP = 1 << 20
-#: Slots of the table of word counts, a fixed size.
-LEVELS = 1 << 17
+SIMILARITY = 0.8
+#: A block is named by the first BLOCK_BITS bits of its features' hashes; there are 8.
+BLOCK_BITS = 3
+#: Shorter lines have shingles of two words, longer ones of four; those between have both, so that all pairs have a kind in common.
+SHORT, LONG = 24, 19
+#: Words of the sketch that filters pairs, and characters that words become.
+SKETCH, CHARACTERS = 4, 55000
 
 
 def words_of(line: str) -> str:
@@ -39,164 +38,92 @@ def words_of(line: str) -> str:
     return rf"array_remove(split(lower({line}), '[^\\p{{L}}\\p{{N}}]+'), '')"
 
 
-def scheme(n_lines: int, bits_apart: int = BITS_APART, bits: int = 3 * LANE) -> tuple[list[tuple[int, int]], int]:
-    """Blocks (first bit, width) and how many must agree: as few keys as keep chance meetings rare among so many lines."""
-    for extra in range(1, 6):
-        blocks = bits_apart + extra
-        if extra * bits / blocks >= max(n_lines, 2).bit_length() + 3:
-            break
-    edges = [round(k * bits / blocks) for k in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], extra
-
-
 def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line, raw) of every line, numbered from 0."""
     return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, words, h) of every line that isn't blank."""
-    lines = raw_lines(docs, id_col, text_col).select("doc", "line", F.expr(words_of("raw")).alias("words"))
-    return lines.filter(F.size("words") > 0).withColumn("h", F.xxhash64("words"))
-
-
-def simhashes(lines: DataFrame) -> DataFrame:
-    """(doc, line, h, n_words, simhash) of each line."""
-    words = lines.select("doc", "line", "h", F.explode("words").alias("w")).select("doc", "line", "h", F.xxhash64("w").alias("x"))
-    sums = words.groupBy("doc", "line", "h").agg(F.count("*").alias("n_words"), *[F.sum(F.expr(f"shiftrightunsigned(x, {j}) & {LANES}L")).alias(f"s{j}") for j in range(LANE)])
-    bits = [f"if(2 * (shiftrightunsigned(s{j}, {k * LANE}) & {(1 << LANE) - 1}L) > n_words, {1 << (j + k * LANE)}L, 0L)" for j in range(LANE) for k in range(3)]
-    return sums.select("doc", "line", "h", "n_words", F.expr(" | ".join(bits)).alias("simhash"))
-
-
-def masks(n_lines: int) -> list[int]:
-    """The bits of each choice of agreeing blocks."""
-    blocks, agree = scheme(n_lines)
-    return [sum(((1 << w) - 1) << a for a, w in chosen) for chosen in combinations(blocks, agree)]
-
-
-def keys(simhash: str, n_lines: int) -> Column:
-    """An array of bucket keys, one for each choice of agreeing blocks; the choice is in the upper 8 bits."""
-    return F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(simhash).bitwiseAND(F.lit(m))), 8).bitwiseOR(F.lit(k << 56)) for k, m in enumerate(masks(n_lines))])
+def hashed(lines: DataFrame) -> DataFrame:
+    """(doc, line, hs, id, n) of every line that isn't blank: hashes of its words, their hash and their number."""
+    words = lines.select("doc", "line", F.expr(words_of("raw")).alias("words")).filter(F.size("words") > 0)
+    return words.select("doc", "line", F.expr("transform(words, w -> xxhash64(w))").alias("hs")).select("doc", "line", "hs", F.xxhash64("hs").alias("id"), F.size("hs").alias("n"))
 
 
-def as_characters(words: str) -> str:
-    """SQL: a string with one character for each word."""
-    return f"decode(unhex(array_join(transform({words}, w -> lpad(hex(1 + pmod(xxhash64(w), 55000)), 4, '0')), '')), 'UTF-16BE')"
+def features(similarity: float = SIMILARITY) -> str:
+    """SQL for the features of a line of ``n`` words with the hashes ``hs``: a block's are in a row when sorted, the heaviest first.
 
-
-def bitmap(slots: DataFrame, size: int = BITMAP) -> Column:
-    """An array of ``size`` / 64 longs with the bits of a column ``slot`` set, as a value for each row."""
-    words = slots.groupBy(F.expr("shiftright(slot, 6)").cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-    every = slots.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    full = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("w"))).scalar()
-
-
-def same_group(docs: DataFrame, every: DataFrame, info: DataFrame, rows: DataFrame, near, first, name: Column, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(doc, line) of every line but the first of each group that verified pairs of ``rows`` make; ``name`` names a line by its ``words``."""
-
-    def verify(pairs):
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = cut(wanted.join(info.select("id", F.col("first.doc").alias("d"), F.col("first.line").alias("l")), "id"))
-        slot = lambda d, l: F.pmod(F.xxhash64(d, l), F.lit(BITMAP)).cast("int")  # noqa: E731, E741
-        # Lines that may be wanted: the bitmap saves the rest from being parsed and dealt.
-        some = raw_lines(docs, id_col, text_col).withColumn("_bits", bitmap(wanted.select(slot("d", "l").alias("slot")))).withColumn("_slot", slot("doc", "line"))
-        some = some.filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").select("doc", "line", F.expr(words_of("raw")).alias("words"))
-        found = some.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).filter(name == F.col("id"))
-        coded = cut(found.groupBy("id").agg(F.min(F.expr(as_characters("words"))).alias("c"))).withColumnRenamed("id", "h")
-        both = pairs.join(coded.select(F.col("h").alias("a"), F.col("c").alias("x")), "a").join(coded.select(F.col("h").alias("b"), F.col("c").alias("y")), "b")
-        most = f"cast(floor({1 - similarity + 1e-9} * greatest(length(x), length(y))) as int)"
-        return both.filter(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
-
-    group = cut(bucket_groups(rows, verify, info.select("id", "words", "s"), near, first))
-    named = info.join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
-    heads = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")
-    kept = named.join(heads, "group").select(F.col("id").alias("h"), "head")
-    return every.select("doc", "line", "h").join(kept, "h").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line")
+    A line so short that none can differ from it and be similar has none.
+    """
+    pairs = "slice(transform(hs, (h, i) -> xxhash64(h, get(hs, i + 1))), 1, n - 1)"
+    fours = "slice(transform(hs, (h, i) -> xxhash64(h, get(hs, i + 1), get(hs, i + 2), get(hs, i + 3))), 1, n - 3)"
+    least = next(n for n in range(1, 1 << 20) if int(n / similarity * (1 - similarity + 1e-9)) >= 1) if similarity < 1 else 1 << 30
+    return f"if(n < {max(least, 2)}, cast(array() as array<bigint>), if(n < {LONG}, {pairs}, if(n < {SHORT}, concat({pairs}, {fours}), {fours})))"
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, line): every line (from 0) that repeats an earlier line or is connected to one by SimHashes at most ``BITS_APART`` apart.
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, line): every line (from 0) that repeats an earlier line or is connected to one by edit similarities.
 
-    Misses most lines that differ in a word; ``similar_lines`` finds them all.
+    Lines that are equal after normalising are always found; of similar ones
+    those that share a block (see the README for the measured recall). Null
+    texts have no lines, blank lines none that count; a null id sorts first.
     """
-    lines = lines_of(docs, id_col, text_col)
-    every = cut(simhashes(lines))
-    info = cut(every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n_words").alias("words"), F.max("simhash").alias("s"), F.count("*").alias("copies")).withColumnRenamed("h", "id"))
-    n_lines = info.count()
-    rows = info.select("id", "words", "s", F.explode(keys("s", n_lines)).alias("key"))
+    apart = 1 - similarity + 1e-9
+    sorted_ = hashed(raw_lines(docs, id_col, text_col)).select("doc", "line", "id", F.sort_array(F.expr(features(similarity))).alias("fs"))
+    heaviest = f"filter(fs, (f, i) -> i = 0 or shiftrightunsigned(f ^ get(fs, i - 1), {64 - BLOCK_BITS}) <> 0)"
+    each = cut(sorted_.select("doc", "line", "id", F.expr(heaviest).alias("keys")))
+    info = cut(each.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("copies")))
+    rows = each.select(F.explode("keys").alias("key"), "id")
+    coded: list[DataFrame] = []
+
+    def describe(ids):
+        """Length and sketch of lines that share a block; their characters are kept for ``verify``."""
+        wanted = cut(info.join(ids, "id").select("id", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")))
+        found = hashed(maybe_in(raw_lines(docs, id_col, text_col), wanted, "doc", "line", size=WIDE_BITMAP)).alias("l").join(wanted.alias("w"), F.expr("l.doc <=> w.doc and l.line = w.line and l.id = w.id"))
+        bits = lambda k: f"aggregate(hs, 0L, (a, h) -> if(shiftright(h, 6) & {SKETCH - 1} = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))"
+        coded.append(cut(found.select("l.id", "n", "hs", F.expr(characters(codes("hs"))).alias("c"), *[F.expr(bits(k)).alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["id"])))
+        return coded[0].select("id", "n", *[f"s{k}" for k in range(SKETCH)])
 
     def near(x, y):
-        n, m = F.col(f"{x}_words"), F.col(f"{y}_words")
-        return (F.bit_count(F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s"))) <= BITS_APART) & (F.abs(n - m) <= F.lit(1 - similarity + 1e-9) * F.greatest(n, m))
+        n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+        most = F.floor(F.lit(apart) * F.greatest(n, m))
+        differ = sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseXOR(F.col(f"{y}_s{k}"))) for k in range(SKETCH)), F.lit(0))
+        return (F.abs(n - m) <= most) & (differ <= 2 * most)
 
-    def first(x, y):
-        apart, which = F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s")), F.lit(None).cast("int")
-        for k, m in reversed(list(enumerate(masks(n_lines)))):
-            which = F.when(apart.bitwiseAND(F.lit(m)) == 0, k).otherwise(which)
-        return which == F.shiftrightunsigned("key", 56)
+    def verify(pairs):
+        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        return similar_pairs(pairs, cut(maybe_in(coded[0], ids, "id").join(ids, "id").select("id", "hs", "c")), similarity)
 
-    return same_group(docs, every, info, rows, near, first, F.xxhash64("words"), id_col, text_col, similarity)
+    group = cut(bucket_groups(rows, verify, describe, near))
+    free(*coded)
+    named = info.join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    heads = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")
+    kept = named.join(heads, "group").select("id", "head")
+    return each.select("doc", "line", "id").join(kept, "id").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line")
 
 
-def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, hs) of every line that isn't blank: the hashes of its words."""
-    of_line = f"transform(split({text_col}, '\\n'), l -> transform({words_of('l')}, w -> xxhash64(w)))"
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.expr(of_line)).alias("line", "hs")).filter(F.size("hs") > 0)
+def codes(hs: str) -> str:
+    """SQL: a number of one character for each word."""
+    return f"transform({hs}, h -> pmod(h, {CHARACTERS}))"
 
 
-def word_levels(lines: DataFrame) -> Column:
-    """An array with 16 times the binary logarithm of the count of each slot of words, as a value for each row."""
-    counts = lines.select(F.explode("hs").alias("x")).groupBy(F.expr(f"cast(x & {LEVELS - 1} as int)").alias("slot")).agg(F.count("*").alias("n"))
-    every = counts.unionByName(lines.sparkSession.range(LEVELS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("n")))
-    full = every.groupBy("slot").agg(F.expr("cast(least(16 * log2(1 + sum(n)), 511) as int)").alias("level"))
-    return cut(full.agg(F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("w")).select(F.expr("transform(w, x -> x.level)").alias("w"))).scalar()
+def characters(numbers: str) -> str:
+    """SQL: numbers as a string of as many characters."""
+    return f"decode(unhex(array_join(transform({numbers}, c -> lpad(hex(1 + c), 4, '0')), '')), 'UTF-16BE')"
 
 
-def rare_keys(n: str, apart: float) -> str:
-    """SQL for the bucket keys of a line of ``n`` words with the keys ``grams`` of its word pairs: the rarest of them.
+def similar_pairs(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines ``words`` (id, hs, c) have at most ``1 - similarity`` times the longer one's words between them.
 
-    An edit spoils at most two of a line's pairs, so that a similar line of m
-    >= n words has m - 1 - 2 * apart * m of them in common at least; two sorted
-    lists with so much in common have a pair in common within their first
-    entries. Where that bound is nothing, single words are the grams.
+    ``c`` has the words as one of ``CHARACTERS`` characters each. Where two
+    different words of an accepted pair have become one, the pair is tried
+    again with its words numbered: so the answer is exact as long as a pair
+    has no more different words than there are characters.
     """
-    q = grams(apart)
-    common = f"greatest(1, cast(ceil({n} * {1 - q * apart!r} - {q - 1}) as int))"
-    # No line can differ from one so short and yet be similar.
-    return f"if({n} / {1 - apart!r} * {apart!r} < 1, cast(array() as array<bigint>), array_distinct(slice(sort_array(grams), 1, greatest(0, {n} - {q - 1} - {common} + 1))))"
-
-
-def grams(apart: float) -> int:
-    return 2 if apart < 1 / 3 else 1
-
-
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, line): every line (from 0) that repeats an earlier line or is connected to one by edit similarities alone; no pair is missed."""
-    apart = 1 - similarity + 1e-9
-    lines = hashed_lines(docs, id_col, text_col)
-    # The levels are used once, in the projection after their own: so the optimizer puts them in place and no row carries them.
-    known = lines.withColumn("_levels", word_levels(lines)).select("doc", "line", "hs", F.expr(f"transform(hs, x -> _levels[cast(x & {LEVELS - 1} as int)])").alias("ls"))
-    known = known.withColumn("n", F.size("hs"))
-    if grams(apart) == 2:
-        rest = lambda c: f"slice({c}, 1, n - 1), slice({c}, 2, n - 1)"
-        made = f"zip_with(zip_with({rest('ls')}, (a, b) -> a + b), zip_with({rest('hs')}, (a, b) -> xxhash64(a, b)), (l, x) -> shiftleft(cast(l as bigint), 53) | shiftrightunsigned(x, 11))"
-    else:
-        made = "zip_with(ls, hs, (l, x) -> shiftleft(cast(l as bigint), 53) | shiftrightunsigned(xxhash64(x), 11))"
-    parity = "aggregate(hs, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))"
-    each = known.select("doc", "line", F.xxhash64("hs").alias("id"), "n", F.expr(parity).alias("s"), F.expr(made).alias("grams")).withColumn("keys", F.expr(rare_keys("n", apart)))
-    best = each.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("n").cast("long").alias("words"), F.max("s").alias("s"), F.count("*").alias("copies"), F.max("keys").alias("keys"))
-    info = cut(best)
-    rows = info.select("id", "words", "s", F.explode("keys").alias("key"))
-
-    def near(x, y):
-        n, m = F.col(f"{x}_words"), F.col(f"{y}_words")
-        most = F.floor(F.lit(apart) * F.greatest(n, m))
-        return (F.abs(n - m) <= most) & (F.bit_count(F.col(f"{x}_s").bitwiseXOR(F.col(f"{y}_s"))) <= 2 * most)
-
-    name = F.expr("xxhash64(transform(words, w -> xxhash64(w)))")
-    every = lines.select("doc", "line", F.xxhash64("hs").alias("h"))
-    return same_group(docs, every, info.drop("keys"), rows, near, None, name, id_col, text_col, similarity)
+    both = pairs.join(words.select(F.col("id").alias("a"), F.col("hs").alias("hx"), F.col("c").alias("x")), "a").join(words.select(F.col("id").alias("b"), F.col("hs").alias("hy"), F.col("c").alias("y")), "b")
+    both = both.withColumn("most", F.expr(f"cast(floor({1 - similarity + 1e-9} * greatest(size(hx), size(hy))) as int)")).filter("levenshtein(x, y, most) >= 0")
+    both = both.withColumn("u", F.expr("array_distinct(concat(hx, hy))"))
+    numbered = lambda c: characters(f"transform({c}, h -> pmod(array_position(u, h), {CHARACTERS}))")
+    return both.filter(F.expr(f"size(u) = size(array_distinct({codes('u')})) or levenshtein({numbered('hx')}, {numbered('hy')}, most) >= 0")).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -205,16 +132,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Blank lines (nothing but marks and blanks) stay. A null text stays null and
     has no lines; an empty one has one, blank. Rows that share an id count as
     one document: an occurrence kept in one is kept in all. A null id sorts
-    first. A document may lose all its lines; it then has an empty text.
-    Columns named n_lines or n_removed are replaced, all others are kept.
+    first. A document may lose all its lines; it then has an empty text. Lines
+    of any length are compared whole; an empty table gives no rows. Columns
+    named n_lines or n_removed are replaced, all others are kept.
     """
-    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = cut(similar_lines(docs, id_col, text_col, similarity).groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc"))
     rest = docs.drop("n_lines", "n_removed")
     both = rest.join(gone, rest[id_col].eqNullSafe(F.col("_doc")), "left").drop("_doc")
     lines = f"split({text_col}, '\\n')"
-    both = both.withColumn("_gone", F.array_sort(F.coalesce("_gone", F.array().cast("array<int>"))))
-    both = both.withColumn("n_lines", F.expr(f"coalesce(size({lines}), 0)").cast("long")).withColumn("n_removed", F.size("_gone").cast("long"))
-    left = f"if(size(_gone) = 0, {text_col}, array_join(filter({lines}, (x, i) -> not array_contains(_gone, i)), '\\n'))"
+    both = both.withColumn("n_lines", F.expr(f"coalesce(size({lines}), 0)").cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    stay = "array_sort(array_except(sequence(0, cast(n_lines - 1 as int)), _gone))"
+    left = f"if(_gone is null, {text_col}, array_join(transform(array({lines}), ls -> transform({stay}, i -> get(ls, i)))[0], '\\n'))"
     return both.withColumn(text_col, F.expr(left)).drop("_gone")
 
 
