@@ -4,12 +4,16 @@ Hosts link to the hosts that their pages name in ``href`` attributes, and to
 and from the domain one label up (``blog.site.org`` and ``site.org``). Trust
 starts at hosts with pages that a rule allows and follows the edges;
 distrust starts at hosts with blocked pages and follows them backwards. Both
-are personalised PageRank, in units of pages; a host is blocked whose distrust
-is more than ``THRESHOLD`` of the sum. A host that neither reaches is allowed.
+are personalised PageRank, in units of pages, propagated until less than
+``TOLERANCE`` of the seeds' weight is still on its way; a host is blocked whose
+distrust is more than ``THRESHOLD`` of the sum. A host that neither reaches is
+allowed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from quarry.llm.common import cut, table
 
 #: (verdict, host and path); fixed values.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 15, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-3, 0.5
 #: Rounds whose plan runs as one job.
 AT_ONCE = 5
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,18 +54,18 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     links = links.select("src", host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))).alias("dst"))
     links = links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     names = pages.select(F.col(host).alias("h")).union(links.select("dst")).distinct()
-    domain = names.select("h", F.explode(F.expr("transform(sequence(1, greatest(size(split(h, '[.]')) - 1, 1)), i -> struct(array_join(slice(split(h, '[.]'), i, 1000000), '.') as lower, array_join(slice(split(h, '[.]'), i + 1, 1000000), '.') as upper))")).alias("s"))
-    domain = domain.select("s.lower", "s.upper").filter("lower <> '' and upper like '%.%'").distinct()
-    up = domain.select(F.col("lower").alias("src"), F.col("upper").alias("dst"), F.lit(1.0).alias("weight"))
+    upper = F.regexp_extract("h", r"\A[^.]+\.([^.]+\..*)\z", 1)
+    up = names.select(F.col("h").alias("src"), upper.alias("dst"), F.lit(1.0).alias("weight")).filter("dst <> ''")
     return links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches.
 
     ``seeds`` is (host, allowed, blocked). Flows are kept apart by ``kind``: 0
     is trust along edges, shared out by weight among a host's targets; 1 is
-    distrust against them, shared out among those that link to a host.
+    distrust against them, shared out among those that link to a host. What
+    each round moves on is added up; it shrinks by ``damping`` at least.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
@@ -70,13 +74,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         .unionByName(edges.join(into, "dst").select(F.col("dst").alias("host"), F.lit(1).alias("kind"), F.col("src").alias("to"), (F.lit(damping) * F.col("weight") / F.col("total")).alias("share")))
     )
     start = seeds.select("host", F.explode(F.expr("array(struct(0 as kind, allowed * 1D as n), struct(1 as kind, blocked * 1D as n))")).alias("s")).select("host", "s.kind", "s.n").filter("n > 0")
-    base = cut(start.select("host", "kind", (F.lit(1 - damping) * F.col("n")).alias("score")))
-    scores = base
-    for k in range(rounds):
-        moved = flow.join(scores, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("share") * F.col("score")).alias("score"))
-        scores = base.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % AT_ONCE == AT_ONCE - 1 or k == rounds - 1:
-            scores = cut(scores)
+    moving = cut(start.select("host", "kind", (F.lit(1 - damping) * F.col("n")).alias("score")))
+    weight = lambda t: t.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+    scores, least = moving, tolerance * weight(moving)
+    while True:
+        parts = [scores]
+        for _ in range(AT_ONCE):
+            moving = flow.join(moving, ["host", "kind"]).groupBy("to", "kind").agg(F.sum(F.col("share") * F.col("score")).alias("score")).withColumnRenamed("to", "host")
+            parts.append(moving)
+        moving = cut(moving)
+        scores = cut(reduce(DataFrame.unionByName, [*parts[:-1], moving]).groupBy("host", "kind").agg(F.sum("score").alias("score")))
+        if weight(moving) <= least:
+            break
     part = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0))
     return scores.groupBy("host").agg(part(0).alias("trust"), part(1).alias("distrust"))
 
@@ -86,8 +95,9 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     A null url, or one without ``://``, has an empty host and path; no rule
     without a host fits it and it is allowed. Null html has no links. Repeated
-    rows each count as a page; a null id stays null; other columns are ignored;
-    an empty table gives no rows. Equal trust and distrust allow.
+    rows each count as a page; a null id stays null; pages of any length are
+    read whole; other columns are ignored; an empty table gives no rows. Equal
+    trust and distrust allow.
     """
     own = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
