@@ -21,7 +21,7 @@ CHUNK_CHARS = 2_000_000
 #: Bytes of a batch that goes to a Python worker. A batch is held several times over on its way.
 BATCH = "2m"
 #: Bits of the bitmaps of wanted rows, fixed sizes.
-BITMAP, WIDE_BITMAP = 1 << 20, 1 << 24
+BITMAP, WIDE_BITMAP = 1 << 20, 1 << 23
 #: Distinct words and stems that a worker remembers between chunks.
 WORDS_KEPT, STEMS_KEPT = 250_000, 1_000_000
 

@@ -80,8 +80,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = cut(info.join(ids, "id").select("id", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")))
         found = hashed(maybe_in(raw_lines(docs, id_col, text_col), wanted, "doc", "line", size=WIDE_BITMAP)).alias("l").join(wanted.alias("w"), F.expr("l.doc <=> w.doc and l.line = w.line and l.id = w.id"))
         bits = lambda k: f"aggregate(hs, 0L, (a, h) -> if(shiftright(h, 6) & {SKETCH - 1} = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))"
+        coded.append(wanted)
         coded.append(cut(found.select("l.id", "n", "hs", F.expr(characters(codes("hs"))).alias("c"), *[F.expr(bits(k)).alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["id"])))
-        return coded[0].select("id", "n", *[f"s{k}" for k in range(SKETCH)])
+        return coded[1].select("id", "n", *[f"s{k}" for k in range(SKETCH)])
 
     def near(x, y):
         n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
@@ -91,14 +92,18 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verify(pairs):
         ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        return similar_pairs(pairs, cut(maybe_in(coded[0], ids, "id").join(ids, "id").select("id", "hs", "c")), similarity)
+        some = cut(maybe_in(coded[1], ids, "id").join(ids, "id").select("id", "hs", "c"))
+        coded.extend((ids, some))
+        return similar_pairs(pairs, some, similarity)
 
-    group = cut(bucket_groups(rows, verify, describe, near))
+    group = bucket_groups(rows, verify, describe, near)
     free(*coded)
     named = info.join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
     heads = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")
     kept = named.join(heads, "group").select("id", "head")
-    return each.select("doc", "line", "id").join(kept, "id").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line")
+    gone = cut(each.select("doc", "line", "id").join(kept, "id").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line"))
+    free(each, info, group)
+    return gone
 
 
 def codes(hs: str) -> str:
@@ -136,7 +141,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of any length are compared whole; an empty table gives no rows. Columns
     named n_lines or n_removed are replaced, all others are kept.
     """
-    gone = cut(similar_lines(docs, id_col, text_col, similarity).groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc"))
+    gone = similar_lines(docs, id_col, text_col, similarity).groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc")
     rest = docs.drop("n_lines", "n_removed")
     both = rest.join(gone, rest[id_col].eqNullSafe(F.col("_doc")), "left").drop("_doc")
     lines = f"split({text_col}, '\\n')"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import WIDE_BITMAP, cut, free, maybe_in
 
-#: Rounds of pivots go on while this share of the pairs tried are links.
-YIELD = 0.1
+#: Pivots of a bucket in each round after the first, on average.
+PIVOTS = (8, 100)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,14 +60,13 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
     distinct pairs (a, b) that are links. Ids without a link may be missing
     from the result; repeated rows do no harm.
 
-    Not every pair of a bucket is tried. In each round every bucket names a
-    pivot, the smallest id first and then one by the round's hash, and the ids
-    that still lie in other groups than their pivot meet it, each the smallest
-    pivot that it may be linked to. So a bucket of n copies costs n pairs, and
-    a few rounds join a large group whose members are linked to some of the
-    others only. When a round finds few links, what pairs are left between
-    different groups of a bucket meet, so that no two groups that a link of
-    some bucket joins stay apart.
+    Not every pair of a bucket is tried. In the first round all ids of a bucket
+    meet the smallest one (each the smallest that it may be linked to), in the
+    next ones a few ids that a hash picks, and at last all others; only ids
+    that still lie in different groups meet. So a bucket of n copies costs n
+    pairs, a large group whose members are linked to a tenth of each other is
+    one before all its pairs have been tried, and yet no two groups that a link
+    of some bucket joins stay apart.
 
     Pivots are plain aggregates and rows meet them in joins, which a hot
     bucket's rows can be split for.
@@ -82,41 +81,53 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
     spread = lambda x: [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in described]
     open_ = cut(shared.join(info, "id"))
     free(shared)
-    group, tried = cut(empty.select(F.col("a").alias("id"), F.col("b").alias("component"))), empty
-    turn, waiting = 0, empty
-    while True:
-        marked = open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        pivots = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min_by(F.struct("id", "component", *described), order).alias("p")).filter("low < high")
-        met = marked.join(pivots, "key").filter("component != p.component").select("size", side("x"), "p")
-        near_ones = met.select(F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b"), F.col("x.id").alias("who"), "size", *spread("x"), *spread("p")).filter(near("x", "p"))
-        pairs = near_ones.groupBy("a", "b", "who").agg(F.min("size").alias("size"))
-        if turn == 0:
-            pairs = cut(pairs)
-            waiting = pairs.filter("size = 2").select("a", "b")  # these won't meet again
-        else:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        chosen = cut(pairs.groupBy("who").agg(F.min(F.struct("a", "b")).alias("s")).select("s.a", "s.b").distinct())
-        links = cut(verify(chosen))
-        n_tried, n_links = chosen.count(), links.count()
-        tried = tried.unionByName(chosen)
-        if n_links:
+    group, tried, done = cut(empty.select(F.col("a").alias("id"), F.col("b").alias("component"))), empty, []
+    grouped = lambda: open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = lambda rows: rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").drop("low", "high")
+
+    def meet(marked, pivots):
+        """Pairs of ids and the pivots (key, p) of their buckets in other groups that may be links."""
+        met = marked.join(pivots, "key").filter("component != p.component").select(side("x"), "p", "size")
+        return met.select(F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b"), F.col("x.id").alias("who"), "size", *spread("x"), *spread("p")).filter(near("x", "p"))
+
+    def add(pairs):
+        """Try pairs and join the groups of those that are links."""
+        nonlocal group, tried
+        links = cut(verify(pairs))
+        tried = tried.unionByName(pairs)
+        done.append(pairs)
+        if not links.isEmpty():
             old, group = group, merged(group, links)
             free(old)
-        if turn == 0:  # buckets of two and those that are one group by now are done
-            marked = open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            left = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high and size > 2").select("key")
-            old, open_ = open_, cut(open_.join(left, "key"))
-            free(old)
-        if n_links <= YIELD * n_tried:
-            break
-        turn += 1
-    marked = open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = marked.join(apart, "key", "left_semi")
+        free(links)
+
+    def close(most):
+        """Leave out buckets that are one group by now, or so small that all their pairs have been tried."""
+        nonlocal open_
+        old, open_ = open_, cut(open_.join(sizes(grouped()).filter(F.col("size") > most).select("key"), "key"))
+        free(old)
+
+    # The smallest id of each bucket; of what an id may be linked to, one is tried.
+    marked = grouped()
+    first = cut(meet(marked, sizes(marked).join(marked.groupBy("key").agg(F.min(side("p")).alias("p")).select("key", F.struct("p.*", F.col("p.id").alias("component")).alias("p")), "key")).groupBy("a", "b", "who").agg(F.min("size").alias("size")))
+    add(cut(first.groupBy("who").agg(F.min(F.struct("a", "b")).alias("s")).select("s.a", "s.b").distinct()))
+    close(2)
+    for turn, most in enumerate(PIVOTS):
+        marked = grouped()
+        sized = marked.join(sizes(marked), "key")
+        pivots = sized.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("size")) < most).select("key", F.struct("id", "component", *described).alias("p"))
+        add(cut(meet(sized, pivots).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
+        close(most)
+    rest = grouped()
     x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in ("x", "y"))
     pairs = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & near("x", "y"))
-    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).unionByName(between(group, waiting).filter("ga != gb").select("a", "b")).distinct()
+    waiting = between(group, first.filter("size = 2").select("a", "b")).filter("ga != gb").select("a", "b")
+    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).unionByName(waiting).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    free(open_)
-    return group if pairs.isEmpty() else merged(group, verify(pairs))
+    free(open_, first, *done)
+    if pairs.isEmpty():
+        return group
+    links, old = cut(verify(pairs)), group
+    group = merged(group, links)
+    free(links, old, pairs)
+    return group

@@ -229,12 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Size and sketch of sets that share a block; the sets are kept for ``verify``."""
         wanted = cut(info.join(ids, "id"))
         # One document of each set is read again; a set none of whose documents has an id is known by its name.
+        sets.append(wanted)
         some = maybe_in(texts, wanted, "doc", size=WIDE_BITMAP).join(wanted.select(F.col("doc").alias("d")).distinct(), F.expr("doc <=> d"), "left_semi")
         sets.append(cut(per_chunk(some, size, "id long, tokens binary", whole).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])))
         return wanted.select("id", "n", *words)
 
     def verify(pairs):
-        x, y = (sets[0].select(F.col("id").alias(p), F.col("tokens").alias(q)) for p, q in (("a", "x"), ("b", "y")))
+        x, y = (sets[-1].select(F.col("id").alias(p), F.col("tokens").alias(q)) for p, q in (("a", "x"), ("b", "y")))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
         def compare(batches):
@@ -250,8 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return in_arrow(both, compare, "a long, b long")
 
     rows = per_chunk(texts, size, "key long, id long", give)
-    group = cut(bucket_groups(rows, verify, describe_shared, near))
-    free(*sets)
+    group = bucket_groups(rows, verify, describe_shared, near)
+    free(info, *sets)
     placed = every.select("doc", "n", "id").join(group, "id", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("c"))
     smallest = placed.filter("c is not null").groupBy("c").agg(F.min("doc").alias("component_id"))
     return placed.join(smallest, "c", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
