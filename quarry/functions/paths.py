@@ -75,3 +75,11 @@ def byte_size(text: str) -> int:
     if not m:
         raise ValueError(f"not a size: {text}")
     return int(float(m[1]) * 1024 ** " kmgt".index(m[2] or " "))
+
+
+def round_down(value: Column, unit: int) -> Column:
+    return F.floor(value / F.lit(unit)) * unit
+
+
+def round_up(value: Column, unit: int) -> Column:
+    return F.ceil(value / F.lit(unit)) * unit

@@ -44,7 +44,43 @@ def virtual(properties: list[str]) -> Column:
     return F.concat_ws(" ", *properties)
 
 
-ANALYZERS = {"words": words, "unigrams": unigrams, "bigrams": bigrams}
+def ngrams(text: Column, least: int = 2, most: int = 3) -> Column:
+    """All runs of ``least`` to ``most`` signs of each word; shorter words as they are."""
+
+    def of_length(w: Column, n: int) -> Column:
+        starts = F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(w, i, F.lit(n)))
+
+    def of(w: Column) -> Column:
+        return F.when(F.length(w) < least, F.array(w)).otherwise(F.concat(*[of_length(w, n) for n in range(least, most + 1)]))
+
+    return F.flatten(F.transform(words(text), of))
+
+
+def matrix(text: Column, most: int = 8) -> Column:
+    """All runs of up to ``most`` signs of each word."""
+    return ngrams(text, 1, most)
+
+
+def without(tokens: Column, stop_words: list[str]) -> Column:
+    """Words that aren't stop words, in order."""
+    return F.filter(tokens, lambda w: ~w.isin([s.lower() for s in stop_words])) if stop_words else tokens
+
+
+def md5_id(text: Column) -> Column:
+    """A document's id from its own name: 32 hexadecimal digits."""
+    return F.md5(F.encode(text, "UTF-8"))
+
+
+#: Analyzers by the kind of text they are for.
+ANALYZERS = {"words": words, "unigrams": unigrams, "bigrams": bigrams, "token": words, "char": unigrams, "ngram": ngrams, "matrix": matrix, "english": words, "chinese": bigrams, "japanese": bigrams, "multilang": bigrams}
+
+
+def attribute_tokens(text: Column, dictionary: dict[str, int]) -> Column:
+    """array<struct<token, score>>: words of a small dictionary that a text has, longest first at each place, with their scores."""
+    found = segment(text, list(dictionary))
+    scores = F.create_map(*[F.lit(x) for k, v in dictionary.items() for x in (k.lower(), v)]) if dictionary else F.create_map().cast("map<string,int>")
+    return F.filter(F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("token"), F.element_at(scores, t).alias("score"))), lambda s: s["score"].isNotNull())
 
 
 def query_words(text: str) -> list[str]:

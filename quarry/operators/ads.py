@@ -7,7 +7,6 @@ import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _CLAUSE = re.compile(r"\s*([\w.]+)\s*(!?)~\s*\{([^}]*)\}\s*")
@@ -20,7 +19,7 @@ def auction(ads: DataFrame, top: int, mode: str = "mode", price: str = "price",
 
 
 def parse_targeting(rule: str) -> list[dict]:
-    """``attr~{v1,v2}^attr!~{v}`` as clauses {"attr", "negated", "values"}; ``|`` parts conjunctions are not joined here."""
+    """A conjunction ``attr~{v1,v2}^attr!~{v}`` as clauses {"attr", "negated", "values"}."""
     out = []
     for part in rule.split("^"):
         m = _CLAUSE.fullmatch(part)
@@ -30,13 +29,17 @@ def parse_targeting(rule: str) -> list[dict]:
     return out
 
 
+def parse_disjunction(rule: str) -> list[list[dict]]:
+    """Conjunctions parted by ``|``."""
+    return [parse_targeting(part) for part in rule.split("|")]
+
+
 def target(rules: DataFrame, profile: dict[str, list[str]], key: str = "ad_id", rule: str = "rule") -> DataFrame:
-    """Ads one of whose rules the profile meets: all of its clauses, where a missing attribute meets only negated ones.
+    """Ads one of whose rules the profile meets: all clauses of one of its conjunctions, where a missing attribute meets only negated ones.
 
-    ``rule`` holds one conjunction a row; clauses are taken apart by
+    ``rule`` holds conjunctions parted by ``|``; clauses are taken apart by
     expressions, so ads of any number are matched in the scan.
     """
-    clauses = F.split(rule, r"\^")
     known = F.create_map(*[x for a, v in profile.items() for x in (F.lit(a), F.array(*[F.lit(y) for y in v]).cast("array<string>"))]) if profile else F.create_map().cast("map<string,array<string>>")
 
     def met(c):
@@ -45,7 +48,8 @@ def target(rules: DataFrame, profile: dict[str, list[str]], key: str = "ad_id",
         has = F.coalesce(F.arrays_overlap(F.element_at(known, name), values), F.lit(False))
         return F.when(c.contains("!~"), ~has).otherwise(has)
 
-    return rules.filter(F.forall(clauses, met)).select(key).distinct()
+    conjunction = lambda c: F.forall(F.split(c, r"\^"), met)
+    return rules.filter(F.exists(F.split(rule, r"\|"), conjunction)).select(key).distinct()
 
 
 def segment_ctr(log: DataFrame, user: list[str], ad: list[str], clicked: str = "clicked") -> DataFrame:
@@ -66,10 +70,9 @@ def history_ctr(table: DataFrame, user_segments: DataFrame, ad_segments: DataFra
 def select_ads(candidates: DataFrame, count: int, seed: int, ctr: str = "ctr", key: str = "ad_id") -> DataFrame:
     """A third of ``count`` and one more by rate of clicks, the rest by chance (the same for a seed)."""
     best = count // 3 + 1
-    w = W.partitionBy(F.lit(0))
     top = candidates.orderBy(F.desc_nulls_last(ctr), key).limit(best)
     rest = candidates.join(top.select(key), key, "left_anti").orderBy(F.xxhash64(F.lit(seed), key), key).limit(max(0, count - best))
-    return top.withColumn("explored", F.lit(False)).unionByName(rest.withColumn("explored", F.lit(True))).withColumn("n", F.count("*").over(w)).drop("n")
+    return top.withColumn("explored", F.lit(False)).unionByName(rest.withColumn("explored", F.lit(True)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,15 +91,20 @@ def learn_factors(user: np.ndarray, item: np.ndarray, clicked: bool, rate: float
     return tuple(v * min(1.0, most / max(np.linalg.norm(v), 1e-12)) for v in out)
 
 
+#: Mean and deviation of a weight before any view, deviation of a view, and drift; fixed values.
+MEAN, DEVIATION, BETA, DRIFT = 0.0, 400.0, 450.0, 0.08
+
+
 class ClickModel:
     """Bayesian probit regression on sets of features, learnt one view at a time.
 
     Each feature has a normal weight; a view moves the means of its features by
-    how surprising the outcome was and shrinks their variances.
+    how surprising the outcome was and shrinks their variances. Before that a
+    weight is drawn back to the prior by ``drift``, so that old views count less.
     """
 
-    def __init__(self, mean: float = 0.0, variance: float = 1.0, beta: float = 1.0):
-        self.prior, self.beta, self.weights = (mean, variance), beta, {}
+    def __init__(self, mean: float = MEAN, deviation: float = DEVIATION, beta: float = BETA, drift: float = DRIFT):
+        self.prior, self.beta, self.drift, self.weights = (mean, deviation**2), beta, drift, {}
 
     def _sums(self, features: list[str]) -> tuple[float, float]:
         pairs = [self.weights.get(f, self.prior) for f in features]
@@ -106,7 +114,15 @@ class ClickModel:
         mean, variance = self._sums(features)
         return 0.5 * (1 + math.erf(mean / math.sqrt(2 * variance)))
 
+    def _drawn_back(self, weight: tuple[float, float]) -> tuple[float, float]:
+        (m, s), (pm, ps), e = weight, self.prior, self.drift
+        new = 1 / ((1 - e) / s + e / ps)
+        return new * ((1 - e) * m / s + e * pm / ps), new
+
     def update(self, features: list[str], clicked: bool) -> None:
+        for f in features:
+            if f in self.weights:
+                self.weights[f] = self._drawn_back(self.weights[f])
         mean, variance = self._sums(features)
         sign, spread = (1 if clicked else -1), math.sqrt(variance)
         t = sign * mean / spread
@@ -118,15 +134,18 @@ class ClickModel:
             self.weights[f] = (m + sign * s / spread * v, max(s * (1 - s / variance * w), 1e-6))
 
 
-def train_click_models(log: DataFrame, by: str, order: str, features: str = "features", clicked: str = "clicked") -> DataFrame:
-    """(by, feature, mean, variance): a model for each value of ``by`` from its views in order."""
+def train_click_models(log: DataFrame, by: str, order: str, features: str = "features", clicked: str = "clicked", models: DataFrame | None = None) -> DataFrame:
+    """(by, feature, mean, variance): a model for each value of ``by`` from its views in order, which go on from ``models`` if given."""
     import pandas as pd
 
-    def run(key, group):
+    def learn(key, known, group):
         model = ClickModel()
+        model.weights = {f: (m, s) for f, m, s in known[["feature", "mean", "variance"]].itertuples(index=False)}
         for f, c in group.sort_values(order)[[features, clicked]].itertuples(index=False):
             model.update(list(f), bool(c))
         return pd.DataFrame([(key[0], f, m, s) for f, (m, s) in sorted(model.weights.items())], columns=[by, "feature", "mean", "variance"])
 
     kind = dict(log.dtypes)[by]
-    return log.groupBy(by).applyInPandas(run, f"`{by}` {kind}, feature string, mean double, variance double")
+    schema = f"`{by}` {kind}, feature string, mean double, variance double"
+    before = models if models is not None else log.sparkSession.createDataFrame([], schema)
+    return before.groupBy(by).cogroup(log.groupBy(by)).applyInPandas(learn, schema)

@@ -43,6 +43,27 @@ def min_max(value: Column, low: float | None, high: float | None) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))), F.lit(0.0))
 
 
+def exponent(value: Column, low: float, high: float, zoom: float = 1.0) -> Column:
+    """(x - 1) / (x + 1) with x = e ** (v / zoom), of a value limited to low..high; 0 for nulls."""
+    x = F.exp(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)) / zoom)
+    return F.coalesce((x - 1) / (x + 1), F.lit(0.0))
+
+
+def popularity_table(df: DataFrame, key: str, scorers: list[tuple[Column, float]]) -> DataFrame:
+    """(key, popularity): the weighted sum of scorers for each row, to be stored once and joined when ranking."""
+    return df.select(key, weighted_sum(scorers).alias("popularity"))
+
+
+def with_popularity(hits: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``hits`` with ``popularity`` of a stored table; 0 for rows it lacks."""
+    return hits.join(table, key, "left").fillna(0.0, ["popularity"])
+
+
+def random_score(key: Column, seed: int) -> Column:
+    """0 to 1, the same for a seed and key."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / float(1 << 53)
+
+
 def normalized(value: Column, mean: float, deviation: float, log_base: float | None = None) -> Column:
     """z-score of the (logarithm of one more than the) value, within -2 and 2, moved up by 2; the mean and deviation are those of what is scored."""
     v = F.log(value + 1) / F.log(F.lit(float(log_base))) if log_base else value

@@ -37,19 +37,44 @@ def complete(queries: DataFrame, prefix: str, limit: int, query: str = "query",
 
 
 #: How much more likely than the query itself a correction must be; and the weights of its kinds. Fixed values.
-ACCEPT, BY_SOUND, BY_PREFIX = 2.4, 100.0, 1.0
+ACCEPT, BY_SOUND, BY_NEAR_SOUND, BY_PREFIX = 2.4, 100.0, 50.0, 1.0
 
 
-def correct(queries: DataFrame, text: str, by_hand: dict[str, str] | None = None, blocked: tuple[str, ...] = (), edits: int = 2, query: str = "query", freq: str = "freq") -> DataFrame:
+def allowed(queries: DataFrame, blocked: DataFrame, query: str = "query") -> DataFrame:
+    """Queries that are not in a table of blocked ones."""
+    return queries.join(blocked.select(query), query, "left_anti")
+
+
+def candidates(queries: DataFrame, text: str, sounds: DataFrame | None = None, query: str = "query", freq: str = "freq") -> DataFrame:
+    """(correction, score): known queries that ``text`` may stand for, by kind.
+
+    Those that sound the same weigh ``BY_SOUND`` times their frequency, those
+    whose sound is one edit away ``BY_NEAR_SOUND`` times, those that ``text``
+    begins ``BY_PREFIX`` times. ``sounds`` is (query, sound); how words sound is
+    the caller's table, and ``text`` itself is looked up in it.
+    """
+    out = queries.filter(F.col(query).startswith(text) & (F.col(query) != text)).select(F.col(query).alias("correction"), (F.col(freq) * BY_PREFIX).alias("score"))
+    if sounds is not None:
+        own = sounds.filter(F.col(query) == text).select(F.col("sound").alias("own"))
+        apart = F.levenshtein("sound", "own")
+        near = sounds.filter(F.col(query) != text).join(F.broadcast(own), F.abs(F.length("sound") - F.length("own")) <= 1).filter(apart <= 1)
+        heard = near.join(queries, query).select(F.col(query).alias("correction"), (F.col(freq) * F.when(apart == 0, BY_SOUND).otherwise(BY_NEAR_SOUND)).alias("score"))
+        out = out.unionByName(heard)
+    return out.groupBy("correction").agg(F.max("score").alias("score"))
+
+
+def correct(queries: DataFrame, text: str, by_hand: dict[str, str] | None = None, blocked: tuple[str, ...] = (), edits: int = 2, query: str = "query", freq: str = "freq", sounds: DataFrame | None = None) -> DataFrame:
     """(query, correction, score): at most one row.
 
     A correction set by hand wins; blocked queries get none. Else known
-    queries within ``edits`` edits compete by frequency, less for each edit; the best
-    must be worth more than ``ACCEPT`` times the query itself.
+    queries compete: those of ``candidates``, and those within ``edits`` edits
+    by frequency, halved for each edit; the best must be worth more than
+    ``ACCEPT`` times the query itself.
     """
     fixed = (by_hand or {}).get(text)
     scored = queries.filter(F.abs(F.length(query) - len(text)) <= edits).select(F.col(query).alias("correction"), F.levenshtein(F.col(query), F.lit(text)).alias("d"), F.col(freq).alias("f")).filter(F.col("d") <= edits)
     scored = scored.withColumn("score", F.col("f") / F.pow(F.lit(2.0), "d"))
+    scored = scored.unionByName(candidates(queries, text, sounds, query, freq).select("correction", F.lit(1).alias("d"), F.lit(0).cast("long").alias("f"), "score"))
     own = F.max(F.when(F.col("d") == 0, F.col("f").cast("double")))
     best = scored.agg(F.max(F.when(F.col("d") > 0, F.struct("score", "correction"))).alias("b"), own.alias("own"))
     out = best.select(F.lit(text).alias("query"), F.col("b.correction").alias("correction"), F.col("b.score").alias("score"), "own")

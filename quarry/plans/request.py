@@ -44,6 +44,12 @@ class SearchRequest:
     snippet: list[str] = field(default_factory=list)
     summary: list[str] = field(default_factory=list)
     split: list[str] = field(default_factory=list)
+    rank_keywords: list[str] = field(default_factory=list)
+    search_only: list[str] = field(default_factory=list)
+    personal: dict[str, float] = field(default_factory=dict)
+    prune: bool = False
+    random_seed: int | None = None
+    unique_by: list[str] = field(default_factory=list)
     pinned: list = field(default_factory=list)
     excluded: list = field(default_factory=list)
     offset: int = 0
@@ -54,7 +60,7 @@ class SearchRequest:
         """Raises ValueError for what can't be read; unknown keys are named."""
         d = json.loads(text) if isinstance(text, str) else text
         search = d.get("search", {})
-        known = {"search", "conditions", "group", "attr", "range", "count", "custom_rank", "geo", "sort", "select", "offset", "limit", "acl_tokens", "pinned", "excluded", "collection"}
+        known = {"search", "conditions", "group", "attr", "range", "count", "custom_rank", "geo", "sort", "select", "offset", "limit", "acl_tokens", "pinned", "excluded", "remove_duplicated_result", "collection"}
         if odd := set(d) - known:
             raise ValueError(f"unknown keys {sorted(odd)}")
         as_list = lambda x: x if isinstance(x, list) else [x] if x else []
@@ -67,6 +73,7 @@ class SearchRequest:
             facets=[Facet(g["property"], g.get("sub_property"), bool(g.get("range")), g.get("unit"), g.get("grouptop")) for g in d.get("group", [])],
             attributes=d.get("attr", {}).get("property"), attr_top=d.get("attr", {}).get("attr_top"), range=[r["property"] for r in as_list(d.get("range"))], sums=[c["property"] for c in as_list(d.get("count"))],
             custom_rank=d.get("custom_rank"), geo=d.get("geo"), sort=d.get("sort", []), select=names, highlight=marked("highlight"), snippet=marked("snippet"), summary=marked("summary"), split=marked("split_property_value"),
+            rank_keywords=list(search.get("rank_keywords", [])), search_only=list(search.get("search_only", [])), personal=dict(search.get("personal", {})), prune=bool(search.get("query_prune")), random_seed=search.get("random_seed"), unique_by=list(d.get("remove_duplicated_result", [])),
             pinned=list(d.get("pinned", [])), excluded=list(d.get("excluded", [])), offset=int(d.get("offset", 0)), limit=int(d.get("limit", 20)),
         )
 
@@ -99,7 +106,8 @@ class SearchRequest:
                 out.append(f"{p} isn't a number")
         out += [f"{f.property} isn't known" for f in self.facets if not schema.has(f.property)]
         out += [f"{f.property}: range and sub_property don't go together" for f in self.facets if f.range and f.sub_property]
-        out += [f"{p} isn't known" for p in self.select or [] if not schema.has(p)]
+        out += [f"{p} isn't known" for p in [*(self.select or []), *self.search_in, *self.unique_by] if not schema.has(p)]
+        out += [f"{x['property']}: a label needs a value" for x in self.labels if not x.get("value") and not x.get("auto_select")]
         if self.limit < 0 or self.offset < 0:
             out.append("offset and limit can't be negative")
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import geo, paths, text
 from quarry.functions.terms import as_words
-from quarry.operators import conditions, expression, facets, querylang, ranking, sorting, suffix
+from quarry.operators import conditions, expression, facets, logs, querylang, ranking, sorting, suffix
 from quarry.plans.request import SearchRequest
-from quarry.plans.schema import CollectionSchema
+from quarry.plans.schema import NUMERIC, CollectionSchema
+from quarry.sources import store
 
 
 @dataclass
@@ -46,19 +47,26 @@ def _match(df: DataFrame, schema: CollectionSchema, r: SearchRequest, analyzer)
         return keep, ranking.multi_property({p: F.when(hit, s).otherwise(0.0) for p, (hit, s) in retrieved.items()}, {p: schema.get(p).rank_weight for p in props})
     if r.mode == "or" and node.kind in ("and", "term"):
         node = querylang.disjunction(node.terms())
-    tokens = {p: analyzer(F.col(p)) for p in props}
-    words = node.terms()
+    typed = [p for p in props if schema.get(p).type in NUMERIC and not schema.get(p).parts]
+    tokens = {p: analyzer(text.virtual(list(schema.get(p).parts)) if schema.get(p).parts else F.col(p)) for p in props if p not in typed}
+    words = [w for w in node.terms() if w not in r.search_only] + [w.lower() for w in r.rank_keywords]
     stats = {p: ranking.collect_stats(df, c, words) for p, c in tokens.items()}
     if r.mode == "wand":
-        node = querylang.Node("wand", parts=tuple(querylang.Node("term", w) for w in dict.fromkeys(words)))
-    keep = None
+        node = querylang.Node("wand", parts=tuple(querylang.Node("term", w) for w in dict.fromkeys(node.terms())))
+    keep = reduce(lambda a, b: a | b, [_number(F.col(p), node.terms()) for p in typed]) if typed else None
     for p, c in tokens.items():
-        bounds = {w: ranking.bm25_bound(stats[p], w) for w in words}
+        bounds = {w: ranking.bm25_bound(stats[p], w) for w in dict.fromkeys(words)}
         m = querylang.matches(node, c, bounds, r.threshold)
         keep = m if keep is None else keep | m
     score = ranking.model(r.model)
     weights = {p: schema.get(p).rank_weight for p in props}
-    return keep, ranking.multi_property({p: score(c, words, stats[p]) for p, c in tokens.items()}, weights)
+    scores = {p: score(c, words, stats[p]) + ranking.personal_boost(c, r.personal) for p, c in tokens.items()}
+    return keep, ranking.multi_property(scores, weights) if scores else F.lit(0.0)
+
+
+def _number(c: Column, words: list[str]) -> Column:
+    """Whether a number is what one of the words says."""
+    return F.coalesce(reduce(lambda a, b: a | b, [c.cast("double") == F.lit(w).try_cast("double") for w in words], F.lit(False)), F.lit(False))
 
 
 def _retrieved(tokens: Column, words: list[str], algorithm: str) -> tuple[Column, Column]:
@@ -78,6 +86,16 @@ def _labels(schema: CollectionSchema, labels: list[dict]) -> dict[str, Column]:
     return out
 
 
+def _pruned(df: DataFrame, schema: CollectionSchema, r: SearchRequest, analyzer, clicks) -> SearchRequest:
+    """The request with the most of its words that have a hit; unchanged if none has or it isn't plain words."""
+    words = querylang.parse(r.keywords).terms()
+    if len(words) < 2 or str(querylang.parse(r.keywords)) != str(querylang.conjunction(words)):
+        return r
+    counts = ranking.collect_stats(df, analyzer(F.concat_ws(" ", *(r.search_in or schema.searchable()))), words)
+    kept, found = suffix.search_relaxed(lambda ts: search(df, schema, replace(r, keywords=" ".join(ts), prune=False), analyzer, clicks).hits, [(w, ranking.idf(counts, w) if counts.df[w] else 0.0) for w in words])
+    return r if found.isEmpty() else replace(r, keywords=" ".join(kept), prune=False)
+
+
 def _label(schema: CollectionSchema, label: dict) -> Column:
     name, values = label["property"], label["value"] if isinstance(label["value"], list) else [label["value"]]
     if label.get("attr"):
@@ -90,9 +108,14 @@ def _label(schema: CollectionSchema, label: dict) -> Column:
     return conditions.number_label(F.col(name), [str(v) for v in values])
 
 
-def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dict | str, analyzer=text.words) -> SearchResult:
+def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dict | str, analyzer=text.words, clicks: DataFrame | None = None) -> SearchResult:
     """Raises ValueError with all that is wrong with the request.
 
+    ``clicks`` (query, label) fills labels that ask for the query's most
+    clicked ones (``auto_select``: how many). With ``query_prune`` a query of
+    several words without a hit is asked again without its commonest word, and
+    so on: that runs a small job for each try.
+
     Labels of one property are alternatives, those of several properties all
     hold. Facets of strings are trees of their category paths, those with
     ``range`` a few ranges of about equal counts; of several facets of one
@@ -101,6 +124,10 @@ def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dic
     r = request if isinstance(request, SearchRequest) else SearchRequest.from_json(request)
     if wrong := r.problems(schema):
         raise ValueError("; ".join(wrong))
+    if r.prune:
+        r = _pruned(df, schema, r, analyzer, clicks)
+    labels = [x if x.get("value") else {**x, "value": logs.auto_labels(clicks, r.keywords, int(x["auto_select"])) if clicks is not None else []} for x in r.labels]
+    labels = [x for x in labels if x["value"]]
     rows = df.filter(conditions.condition(r.conditions, df.schema))
     if r.acl is not None:
         rows = rows.filter(conditions.access(r.acl, "ACL_ALLOW" if schema.has("ACL_ALLOW") else None, "ACL_DENY" if schema.has("ACL_DENY") else None))
@@ -117,10 +144,14 @@ def search(df: DataFrame, schema: CollectionSchema, request: SearchRequest | dic
             hits = hits.filter(geo.within(lon, lat, *r.geo["point"], r.geo["scope"]))
     sideways: dict[str, DataFrame] = {}
     everything = hits
-    if r.labels:
-        everything, sideways = facets.drill_sideways(hits, _labels(schema, r.labels))
+    if labels:
+        everything, sideways = facets.drill_sideways(hits, _labels(schema, labels))
+    if r.unique_by:
+        everything = store.without_duplicates(everything, r.unique_by, schema.key)
     known = [*df.columns, "_rank", *(["custom_rank"] if r.custom_rank else []), *(["geo_rank"] if r.geo else [])]
     order = sorting.sort_columns([k for k in r.sort if (k if isinstance(k, str) else k["property"]) in known], known, schema.key, "custom_rank" if r.custom_rank else "_rank")
+    if r.random_seed is not None:
+        order = sorting.random_order(everything, schema.key, r.random_seed)
     page = sorting.page(everything, order, r.offset, r.limit)
     terms = querylang.parse(r.keywords).terms()
     for p in r.summary:

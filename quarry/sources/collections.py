@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Collections:
@@ -39,3 +40,58 @@ class Collections:
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
+class Settings:
+    """Small tables that are set and read by key, each a collection: a later value for a key replaces the earlier."""
+
+    def __init__(self, collections: Collections, name: str, keys: list[str]):
+        self.collections, self.name, self.keys = collections, name, keys
+
+    def set(self, rows: DataFrame) -> int:
+        """Add rows, which replace those with their keys (nulls are keys too); returns the version."""
+        new = rows
+        if self.collections.versions(self.name):
+            old = self.collections.read(self.name)
+            known = rows.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
+            same = F.lit(True)
+            for k in self.keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            new = old.join(known, same, "left_anti").unionByName(rows)
+        return self.collections.write(self.name, new)
+
+    def get(self, **keys) -> DataFrame:
+        out = self.collections.read(self.name)
+        for k, v in keys.items():
+            out = out.filter(F.col(k).eqNullSafe(F.lit(v)))
+        return out
+
+
+def merchant_scores(collections: Collections) -> Settings:
+    """(merchant, category, score); a null category is the general score."""
+    return Settings(collections, "merchant_scores", ["merchant", "category"])
+
+
+def custom_ranks(collections: Collections) -> Settings:
+    """(query, pinned, excluded): what a query shows first, and never."""
+    return Settings(collections, "custom_ranks", ["query"])
+
+
+def label_knowledge(collections: Collections) -> Settings:
+    """(source, labels): labels that queries from a source are known for."""
+    return Settings(collections, "label_knowledge", ["source"])
+
+
+class Watched:
+    """A dictionary file that is read again when it has changed."""
+
+    def __init__(self, spark: SparkSession, path: str, load):
+        self.spark, self.path, self.load, self.stamp, self.value = spark, path, load, None, None
+
+    def get(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        status = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        stamp = (status.getModificationTime(), status.getLen())
+        if stamp != self.stamp:
+            self.value, self.stamp = self.load(self.spark, self.path), stamp
+        return self.value

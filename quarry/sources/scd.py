@@ -54,6 +54,38 @@ def write(df: DataFrame, path: str, key: str = "DOCID") -> None:
     to_records(df, key).write.text(path)
 
 
+def file_name(kind: str, collector: int, when: datetime, sequence: int) -> str:
+    letter = {v: k for k, v in KINDS.items()}[kind]
+    return f"B-{collector:02d}-{when:%Y%m%d%H%M}-{sequence:05d}-{letter}-C.SCD"
+
+
+def write_kind(df: DataFrame, path: str, kind: str, collector: int = 0, when: datetime | None = None, key: str = "DOCID") -> list[str]:
+    """Write rows as ingest files named by their kind, one for each partition; returns the names."""
+    spark, when = df.sparkSession, when or datetime.now()
+    write(df, f"{path}/_{kind}", key)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source = hadoop(f"{path}/_{kind}")
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-") and s.getLen())
+    names = [file_name(kind, collector, when, k) for k in range(len(parts))]
+    for part, name in zip(parts, names, strict=True):
+        fs.rename(hadoop(source, part), hadoop(path, name))
+    fs.delete(source, True)
+    return names
+
+
+def write_index(records: DataFrame, path: str, key: str = "DOCID", slots: int = 64) -> None:
+    """Store records in folders by a hash of their key, for access by key."""
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    records.withColumn("_slot", slot).repartition("_slot").sortWithinPartitions("_slot", key).write.partitionBy("_slot").parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, keys: list[str], key: str = "DOCID", slots: int = 64) -> DataFrame:
+    """Stored records of some keys; only their folders are read."""
+    found = spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(slots)).cast("int") for k in keys]))).collect()
+    return spark.read.parquet(path).filter(F.col("_slot").isin([r[0] for r in found]) & F.col(key).isin(keys)).drop("_slot")
+
+
 def merge(records: DataFrame, key: str = "DOCID") -> DataFrame:
     """Each key's state after all records in order: (DOCID, fields, kind).
 

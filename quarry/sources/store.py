@@ -41,6 +41,31 @@ def delete(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return stored.join(keys.select(key), key, "left_anti")
 
 
+def get(df: DataFrame, condition: dict) -> DataFrame:
+    """Rows by id or another property: exactly one condition, with ``=`` or ``in``."""
+    from quarry.operators import conditions
+
+    if conditions.ALIASES.get(str(condition.get("operator", "=")).lower()) not in ("=", "in"):
+        raise ValueError("documents are got by = or in")
+    return df.filter(conditions.condition([{"operator": "=", **condition}], df.schema))
+
+
+def get_by_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is in a table of ids."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def without_duplicates(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """One row, that with the smallest key, of those that agree in some columns."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.groupBy(*columns).agg(F.min_by(F.struct(*rest), F.col(key)).alias("_r")).select(*columns, "_r.*").select(*df.columns)
+
+
+def write_log(df: DataFrame, url: str, name: str, **options) -> None:
+    """Append rows to a log table of a relational store."""
+    df.write.jdbc(url, name, mode="append", properties={k: str(v) for k, v in options.items()})
+
+
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     """Documents as lines of JSON; what doesn't fit the schema is null."""
     return spark.read.schema(schema).json(path)

@@ -68,3 +68,17 @@ def sessions(events: DataFrame, user: str, when: str, gap_seconds: int = 1800) -
     new = F.coalesce((F.unix_micros(when) - F.unix_micros(F.lag(when).over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(0))
     each = events.withColumn("_n", new).withColumn("session", F.sum("_n").over(w))
     return each.groupBy(user, "session").agg(F.min(when).alias("start"), F.max(when).alias("end"), F.count("*").alias("events"))
+
+
+def start_click_models(stream: DataFrame, collections: Collections, name: str, by: str, order: str, checkpoint: str, features: str = "features", clicked: str = "clicked"):
+    """Feedback (by, features, clicked, order) learnt batch by batch into the stored models of ``name``; a batch that is run again does nothing new."""
+    from quarry.operators import ads
+
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        known = collections.versions(name)
+        if known and known[-1] > batch_id:
+            return
+        learnt = ads.train_click_models(batch, by, order, features, clicked, collections.read(name) if known else None)
+        collections.write(name, learnt)
+
+    return stream.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

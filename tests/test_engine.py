@@ -13,7 +13,7 @@ from quarry.plans.request import SearchRequest
 from quarry.plans.schema import CollectionSchema, Property
 from quarry.plans.search import search
 from quarry.sources import postings, scd, store
-from quarry.sources.collections import Collections
+from quarry.sources.collections import Collections, Watched, custom_ranks, merchant_scores
 from quarry.streaming import pipelines
 
 
@@ -314,3 +314,103 @@ def test_whole_table_queries_against_plain_code(spark, tmp_path):
 
     assert {r.doc_id: r.text for r in queries.QUERIES["highlighted"](spark, str(tmp_path)).collect()} == {k: tagged(t) for k, t in enumerate(texts)}
     assert {r.item_id: r.norm for r in queries.QUERIES["normalized"](spark, str(tmp_path)).collect()} == {k: bag(t) for k, t in enumerate(texts)}
+
+
+def test_search_options(spark):
+    df = spark.createDataFrame([(1, "red shoe", "leather", 5), (2, "blue shoe", "red cloth", 7), (3, "green hat", "wool", 9), (4, "green hat", "straw", 5)], "id int, title string, body string, size int")
+    base = CollectionSchema.of("c", "id", df)
+    schema = CollectionSchema("c", "id", (*base.properties, Property("all", parts=("title", "body"))))
+    ids = lambda request, **more: {r.id for r in search(df, schema, request, **more).hits.collect()}
+    assert ids({"search": {"keywords": "red cloth", "in": ["all"]}}) == {2}
+    assert ids({"search": {"keywords": "9", "in": ["title", "size"]}}) == {3}
+    assert ids({"search": {"keywords": "red hat", "in": ["title"], "query_prune": True}}) == {1} and ids({"search": {"keywords": "red hat", "in": ["title"]}}) == set()
+    assert ids({"search": {"keywords": "nothing here", "in": ["title"], "query_prune": True}}) == set()
+    assert ids({"search": {"keywords": "shoe | hat", "in": ["title"]}, "remove_duplicated_result": ["title"]}) == {1, 2, 3}
+    ranks = lambda **s: {r.id: r._rank for r in search(df, schema, {"search": {"keywords": "shoe", "in": ["title"], **s}}).hits.collect()}
+    assert ranks(rank_keywords=["blue"])[2] > ranks()[2] and ranks(rank_keywords=["blue"])[1] == pytest.approx(ranks()[1])
+    assert set(ranks(search_only=["shoe"]).values()) == {0.0}
+    assert ranks(personal={"red": 2.0})[1] == pytest.approx(ranks()[1] + 0.2)
+    clicks = spark.createDataFrame([("*", "5"), ("*", "5"), ("*", "9")], "query string, label string")
+    assert ids({"search": {"keywords": "*", "group_label": [{"property": "size", "auto_select": 1}]}}, clicks=clicks) == {1, 4}
+    order = [r.id for r in search(df, schema, {"search": {"random_seed": 3}}).page.collect()]
+    assert sorted(order) == [1, 2, 3, 4] and order == [r.id for r in search(df, schema, {"search": {"random_seed": 3}}).page.collect()]
+    with pytest.raises(ValueError):
+        search(df, schema, {"search": {"group_label": [{"property": "size"}]}})
+
+
+def test_scores(spark):
+    assert one(spark, scoring.exponent(F.col("v"), 0, 10, 2.0), v=50.0) == pytest.approx((np.exp(5) - 1) / (np.exp(5) + 1))
+    assert one(spark, scoring.exponent(F.col("v"), 0, 10, 2.0), v=0.0) == 0
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0)], "id int, v double")
+    table = scoring.popularity_table(df, "id", [(F.col("v"), 0.5), (scoring.min_max(F.col("v"), 2, 4), 1.0)])
+    assert {r.id: r.popularity for r in scoring.with_popularity(spark.createDataFrame([(1,), (2,), (3,)], "id int"), table, "id").collect()} == {1: 1.0, 2: 3.0, 3: 0.0}
+    assert 0 <= one(spark, scoring.random_score(F.col("k"), 1), k=7) < 1
+    assert one(spark, scoring.average([F.col("a"), F.col("b")]), a=1.0, b=3.0) == 2.0
+    assert (one(spark, paths.round_down(F.col("v"), 10), v=19), one(spark, paths.round_up(F.col("v"), 10), v=11)) == (10, 20)
+
+
+def test_tokenizers(spark):
+    assert one(spark, text.ngrams(F.col("t")), t="abcd x") == ["ab", "bc", "cd", "abc", "bcd", "x"]
+    assert one(spark, text.matrix(F.col("t"), 2), t="abc") == ["a", "b", "c", "ab", "bc"]
+    assert one(spark, text.without(text.words(F.col("t")), ["The"]), t="The cat the hat") == ["cat", "hat"]
+    assert one(spark, text.md5_id(F.col("t")), t="a") == "0cc175b9c0f1b6a831c399e269772661"
+    assert [tuple(x) for x in one(spark, text.attribute_tokens(F.col("t"), {"red shoe": 5, "red": 2}), t="Red shoe, red hat")] == [("red shoe", 5), ("red", 2)]
+
+
+def test_documents_by_key(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "a", 2)], "id int, t string, n int")
+    assert {r.id for r in store.get(df, {"property": "t", "value": ["a"]}).collect()} == {1, 3}
+    assert {r.id for r in store.get(df, {"property": "id", "operator": "in", "value": [2, 3, 9]}).collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        store.get(df, {"property": "id", "operator": ">", "value": [1]})
+    assert {r.id for r in store.get_by_ids(df, "id", spark.createDataFrame([(3,), (3,)], "id int")).collect()} == {3}
+    assert {tuple(r) for r in store.without_duplicates(df, ["t"], "id").collect()} == {(1, "a", 1), (2, "b", 1)}
+    names = scd.write_kind(df.select(F.col("id").alias("DOCID"), F.col("t").alias("Title")).coalesce(1), str(tmp_path / "in"), "update")
+    assert [scd.parse_name(n)["kind"] for n in names] == ["update"]
+    records = scd.read(spark, str(tmp_path / "in"))
+    scd.write_index(records, str(tmp_path / "index"), slots=4)
+    assert {(r.DOCID, r.kind, r.fields["Title"]) for r in scd.look_up(spark, str(tmp_path / "index"), ["1", "3", "7"], slots=4).collect()} == {("1", "update", "a"), ("3", "update", "a")}
+
+
+def test_settings(spark, tmp_path):
+    c = Collections(spark, str(tmp_path / "c"))
+    scores = merchant_scores(c)
+    schema = "merchant string, category string, score double"
+    scores.set(spark.createDataFrame([("m", None, 1.0), ("m", "A", 2.0)], schema))
+    scores.set(spark.createDataFrame([("m", None, 5.0)], schema))
+    assert {tuple(r) for r in scores.get(merchant="m").collect()} == {("m", None, 5.0), ("m", "A", 2.0)}
+    ranks = custom_ranks(c)
+    ranks.set(spark.createDataFrame([("q", [1, 2], [3])], "query string, pinned array<int>, excluded array<int>"))
+    assert ranks.get(query="q").first().pinned == [1, 2] and ranks.get(query="x").count() == 0
+    path = tmp_path / "words.txt"
+    path.write_text("a")
+    watched = Watched(spark, str(path), lambda s, p: [r.value for r in s.read.text(p).collect()])
+    assert watched.get() == ["a"]
+    path.write_text("b\nc")
+    assert watched.get() == ["b", "c"]
+
+
+def test_correction_ladder(spark):
+    q = spark.createDataFrame([("shoes red", 5), ("shoe rack", 8), ("nite", 4), ("night", 3), ("shoes", 1)], "query string, freq long")
+    assert suggest.correct(q, "shoes ").first().correction == "shoes red"
+    sounds = spark.createDataFrame([("nite", "nait"), ("night", "nait"), ("shoes", "shuz")], "query string, sound string")
+    assert suggest.correct(q, "nite", sounds=sounds).first().correction == "night"
+    assert {r.query for r in suggest.allowed(q, q.filter("freq < 4")).collect()} == {"shoes red", "shoe rack", "nite"}
+
+
+def test_click_models_go_on(spark, tmp_path):
+    assert ads.parse_disjunction("a~{x}|b!~{y}^c~{z}") == [[{"attr": "a", "negated": False, "values": ["x"]}], [{"attr": "b", "negated": True, "values": ["y"]}, {"attr": "c", "negated": False, "values": ["z"]}]]
+    rules = spark.createDataFrame([(1, "a~{q}|b~{n}"), (2, "a~{q}|c~{z}")], "ad_id int, rule string")
+    assert {r.ad_id for r in ads.target(rules, {"a": ["x"], "b": ["n"]}).collect()} == {1}
+    log = spark.createDataFrame([("k", k, ["f", "g"] if k % 2 else ["f"], k % 2 == 1) for k in range(12)], "by string, at int, features array<string>, clicked boolean")
+    values = lambda t: {(r.feature, k): r[k] for r in t.collect() for k in ("mean", "variance")}
+    whole = values(ads.train_click_models(log, "by", "at"))
+    first = ads.train_click_models(log.filter("at < 5"), "by", "at")
+    assert values(ads.train_click_models(log.filter("at >= 5"), "by", "at", models=first)) == pytest.approx(whole)
+    c = Collections(spark, str(tmp_path / "c"))
+    log.filter("at < 5").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for part in ("at < 5", "at >= 5"):
+        if part == "at >= 5":
+            log.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        pipelines.start_click_models(pipelines.file_stream(spark, str(tmp_path / "in"), log.schema), c, "models", "by", "at", str(tmp_path / "ck")).awaitTermination(60)
+    assert values(c.read("models")) == pytest.approx(whole)
