@@ -12,6 +12,7 @@ from itertools import chain, count, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ BATCH = "2m"
 #: Bits of the bitmaps of wanted rows, fixed sizes.
 BITMAP, WIDE_BITMAP = 1 << 20, 1 << 23
 #: Distinct words and stems that a worker remembers between chunks.
-WORDS_KEPT, STEMS_KEPT = 250_000, 1_000_000
+WORDS_KEPT, STEMS_KEPT = 250_000, 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +97,30 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")) in ("67108864b", "67108864", "64m", "64MB"):
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        remembered(None, lambda: None)  # forgets what other stages left
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
+#: What a worker process remembers between the tasks of a stage, and that stage.
+_REMEMBERED: dict = {}
+_STAGE: list = [None]
+
+
+def remembered(key, make):
+    """``make()``, made once for the tasks of a stage that a worker process runs; what other stages left goes."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _STAGE[0]:
+        _REMEMBERED.clear()
+        _STAGE[0] = stage
+    if key is not None and key not in _REMEMBERED:
+        _REMEMBERED[key] = make()
+    return _REMEMBERED.get(key)
 
 
 def training_row(id_col: str = "doc_id") -> Column:

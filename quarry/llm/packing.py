@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import StemCoder, chunks, in_arrow, spread, table
+from quarry.llm.common import StemCoder, chunks, in_arrow, remembered, spread, table
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -104,10 +104,9 @@ class WordTokenizer:
         return np.insert(body, ends, np.uint32(end_id)), np.diff(ends, prepend=0) + 1
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that tasks after the first find most stems known."""
-    return WordTokenizer(path)
+    """One for the tasks of a stage in a worker process, so that tasks after the first find most stems known."""
+    return remembered(("words", path), lambda: WordTokenizer(path))
 
 
 def pack(pieces: list[tuple], tiers=TIERS) -> tuple[list[tuple[int, list[tuple]]], list[tuple]]:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import StemCoder, chunks, in_arrow, spread, table
+from quarry.llm.common import StemCoder, chunks, in_arrow, remembered, spread, table
 
 BLANK = "▁"
 BORDER = 0x110000  # no code point
@@ -332,10 +332,9 @@ class Encoder:
         return ids[spread((np.cumsum(sizes) - sizes)[which], lengths)].astype(np.int32), np.diff(totals, prepend=0)
 
 
-@lru_cache(maxsize=2)
 def encoder(model: str) -> Encoder:
-    """One for each worker process, so that tasks after the first find most stems known."""
-    return Encoder(model)
+    """One for the tasks of a stage in a worker process, so that tasks after the first find most stems known."""
+    return remembered(("segments", model), lambda: Encoder(model))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

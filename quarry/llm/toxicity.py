@@ -23,7 +23,6 @@ examples.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bounded_sample, chunks, in_arrow, spread, table, training_row
+from quarry.llm.common import bounded_sample, chunks, in_arrow, remembered, spread, table, training_row
 
 #: Bound of the sample: documents of each class.
 PER_CLASS = 3000
@@ -42,7 +41,7 @@ NEIGHBOURS, BLOCK = 15, 64
 #: Blocks that a query takes before it bounds the rest.
 FIRST_BLOCKS = 12
 MARK = "^"
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -118,10 +117,9 @@ class ToxicityModel:
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # vote and calibrated score
     plain: float = 0.0  # score of documents without a term
 
-    @cached_property
     def reader(self) -> TermReader:
-        """A worker's own, which lasts as long as the broadcast model."""
-        return TermReader(self.terms)
+        """One for the tasks of a stage in a worker process."""
+        return remembered("terms", lambda: TermReader(self.terms))
 
 
 class TermReader:
@@ -224,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms = docs.sparkSession.sparkContext.broadcast(ToxicityModel(number))
 
     def occur(batches):
-        reader, df, n = terms.value.reader, np.zeros(len(number), dtype=np.int64), 0
+        reader, df, n = terms.value.reader(), np.zeros(len(number), dtype=np.int64), 0
         for batch in batches:
             for own, _ in all_counts(reader, batch.column(0).to_pylist()):
                 n += 1
@@ -278,7 +276,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 
     def run(batches):
         model = handle.value
-        reader, known = model.reader, {}
+        reader, known = model.reader(), {}
 
         def judge(terms, counts):
             if not len(terms) or model.index is None:
