@@ -63,6 +63,43 @@ def search_sub_facet(spark, d):
     return _lineitem_request(spark, d).facets["l_returnflag"]
 
 
+@query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') AND (p_size BETWEEN 1 AND 10 OR p_size = 40)")
+def search_labels(spark, d):
+    df = read(spark, d, "part")
+    labels = [{"property": "p_brand", "value": ["Brand#11"]}, {"property": "p_brand", "value": ["Brand#12"]}, {"property": "p_size", "value": ["-10"]}, {"property": "p_size", "value": [40]}]
+    return search(df, CollectionSchema.of("part", "p_partkey", df), {"search": {"group_label": labels}}).hits.select("p_partkey")
+
+
+@query("WITH c AS (SELECT [r_name, n_name, c_mktsegment] AS p FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), n AS (SELECT unnest([1, 2, 3]) AS k) SELECT array_to_string(p[1:k], '>') AS value, CAST(k AS INTEGER) AS level, count(*) AS count FROM c, n GROUP BY 1, 2")
+def search_tree(spark, d):
+    joined = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    df = joined.select("c_custkey", F.concat_ws(">", "r_name", "n_name", "c_mktsegment").alias("place"))
+    return search(df, CollectionSchema.of("customer", "c_custkey", df), {"group": [{"property": "place"}, {"property": "place", "unit": "ignored"}]}).facets["place"]
+
+
+@query("SELECT low || '-' || (low + 9) AS value, CAST(low AS BIGINT) AS low, CAST(low + 9 AS BIGINT) AS high, count(*) AS count FROM (SELECT n_nationkey % 7 * 10 AS low FROM nation) GROUP BY low")
+def search_ranges(spark, d):
+    df = read(spark, d, "nation").withColumn("n", F.col("n_nationkey") % 7 * 10 + 5)
+    return search(df, CollectionSchema.of("nation", "n_nationkey", df), {"group": [{"property": "n", "range": True}]}).facets["n"]
+
+
+@query("SELECT doc_id, CAST(f0 + f1 AS DOUBLE) AS score FROM (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS f0, len(list_filter(w, lambda x: x = 'hain')) AS f1 FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents)) WHERE f0 > 0 AND f1 > 0")
+def search_retrieved(spark, d):
+    df = read(spark, d, "documents")
+    hits = search(df, CollectionSchema.of("documents", "doc_id", df), {"search": {"keywords": "the hain", "mode": "zambezi", "in": ["text"]}}).hits
+    return hits.select("doc_id", F.col("_rank").alias("score"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (1, 2, 3, 7, 32)")
+def documents_got(spark, d):
+    return store.get(read(spark, d, "orders"), {"property": "o_orderkey", "operator": "in", "value": [1, 2, 3, 7, 32]}).select("o_orderkey")
+
+
+@query("SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand")
+def unique_by_brand(spark, d):
+    return store.without_duplicates(read(spark, d, "part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey")
+
+
 # Conditions, one query for each operator
 
 _CONDITIONS = {
@@ -335,6 +372,12 @@ def highlighted(spark, d):
     return read(spark, d, "documents").select("doc_id", text.highlight(F.col("text"), ["the", "of"]).alias("text"))
 
 
+@query(r"SELECT item_id, list_filter(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: w NOT IN ('the', 'of')) AS words, md5(text) AS name FROM benchmark")
+def analyzed(spark, d):
+    t = F.col("text")
+    return read(spark, d, "benchmark").select("item_id", text.without(text.words(t), ["the", "Of"]).alias("words"), text.md5_id(t).alias("name"))
+
+
 @query()
 def snippets(spark, d):
     return read(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), ["hain", "thion"]).alias("snippet"))
@@ -373,6 +416,18 @@ def rerank_products(spark, d):
     return scoring.product_rerank(df, "p_retailprice", 100.0, "p_size", "merchants", merchants, key="p_partkey").select("p_partkey", "place")
 
 
+@query("SELECT p_partkey, round((exp(least(50, greatest(1, p_size)) / 20.0) - 1) / (exp(least(50, greatest(1, p_size)) / 20.0) + 1), 6) AS score FROM part")
+def exponent_score(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.round(scoring.exponent(F.col("p_size"), 1, 50, 20.0), 6).alias("score"))
+
+
+@query("SELECT p_partkey, round(0.5 * p_size + (p_retailprice - 900) / 1100.0, 6) AS popularity FROM part WHERE p_retailprice BETWEEN 900 AND 2000")
+def popularity(spark, d):
+    p = read(spark, d, "part")
+    table = scoring.popularity_table(p, "p_partkey", [(F.col("p_size"), 0.5), (scoring.min_max(F.col("p_retailprice"), 900, 2000), 1.0)])
+    return scoring.with_popularity(p.filter("p_retailprice between 900 and 2000").select("p_partkey"), table, "p_partkey").select("p_partkey", F.round("popularity", 6).alias("popularity"))
+
+
 # Ingest
 
 
@@ -473,6 +528,18 @@ def ad_targeting(spark, d):
     return ads.target(rules, {"brand": ["Brand#11", "Brand#12"], "size": ["1", "2", "3"]})
 
 
+@query("SELECT p_partkey AS ad_id FROM part WHERE p_brand = 'Brand#11' OR p_size NOT IN (1, 2, 3)")
+def ad_disjunction(spark, d):
+    rules = read(spark, d, "part").select(F.col("p_partkey").alias("ad_id"), F.concat(F.lit("brand~{"), "p_brand", F.lit("}|size!~{"), F.col("p_size").cast("string"), F.lit("}")).alias("rule"))
+    return ads.target(rules, {"brand": ["Brand#11"], "size": ["1", "2", "3"]})
+
+
+@query("SELECT name AS correction, freq * 1.0 AS score FROM (SELECT p_type AS name, count(*) AS freq FROM part GROUP BY 1) WHERE starts_with(name, 'S') AND name <> 'S'")
+def suggest_candidates(spark, d):
+    q = read(spark, d, "part").groupBy(F.col("p_type").alias("query")).agg(F.count("*").alias("freq"))
+    return suggest.candidates(q, "S")
+
+
 @query("SELECT o_orderpriority AS u, o_orderstatus AS a, count(*) AS views, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
 def ad_segments(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("u"), F.col("o_orderstatus").alias("a"), (F.col("o_totalprice") > 100000).alias("clicked"))
