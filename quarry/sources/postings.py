@@ -41,20 +41,23 @@ def build(df: DataFrame, key: str, tokens: Column, path: str, slots: int = SLOTS
 
 class PostingsIndex:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._tables = spark, path, {}
         totals = spark.read.parquet(f"{path}/totals").first()
         self.n, self.total, self.slots = totals["n"], totals["total"], totals["slots"]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of the index; its files are listed once, as the index doesn't change."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._tables[name]
 
     def postings(self, words: list[str]) -> DataFrame:
         """Postings of some words; only their folders are read."""
         words = list(dict.fromkeys(words))
         if not words:
             return self.table("postings").filter("false")
-        slots = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[slot_of(F.lit(w), self.slots) for w in words]))).collect()]  # one for each word of the query
-        return self.table("postings").filter(F.col("slot").isin(slots) & F.col("term").isin(words))
+        slots = [slot_of(F.lit(w), self.slots) for w in words]  # constants by the time folders are chosen
+        return self.table("postings").filter(F.col("slot").isin(*slots) & F.col("term").isin(words))
 
     def stats(self, words: list[str]) -> ranking.Stats:
         """Collection statistics of a query's words: a row for each reaches the driver."""
