@@ -78,17 +78,20 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def describe(ids):
         """Length and sketch of lines that share a block; their characters are kept for ``verify``."""
         wanted = cut(info.join(ids, "id").select("id", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")))
-        found = hashed(maybe_in(raw_lines(docs, id_col, text_col), wanted, "doc", "line", size=WIDE_BITMAP)).alias("l").join(wanted.alias("w"), F.expr("l.doc <=> w.doc and l.line = w.line and l.id = w.id"))
+        # Any line with the name has the words; the bitmap of places only keeps most others from being read.
+        some = hashed(maybe_in(raw_lines(docs, id_col, text_col), wanted, "doc", "line", size=WIDE_BITMAP)).select("id", "n", "hs")
+        found = some.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
         bits = lambda k: f"aggregate(hs, 0L, (a, h) -> if(shiftright(h, 6) & {SKETCH - 1} = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))"
         coded.append(wanted)
-        coded.append(cut(found.select("l.id", "n", "hs", F.expr(characters(codes("hs"))).alias("c"), *[F.expr(bits(k)).alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["id"])))
+        coded.append(cut(found.select("id", "n", "hs", F.expr(characters(codes("hs"))).alias("c"), *[F.expr(bits(k)).alias(f"s{k}") for k in range(SKETCH)])))
         return coded[1].select("id", "n", *[f"s{k}" for k in range(SKETCH)])
 
     def near(x, y):
         n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
         most = F.floor(F.lit(apart) * F.greatest(n, m))
         differ = sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseXOR(F.col(f"{y}_s{k}"))) for k in range(SKETCH)), F.lit(0))
-        return (F.abs(n - m) <= most) & (differ <= 2 * most)
+        # What either line has more than the other, at least (differ + |n - m|) / 2 for one of them, takes as many edits.
+        return (F.abs(n - m) <= most) & (differ <= 2 * most - F.abs(n - m))
 
     def verify(pairs):
         ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
