@@ -77,6 +77,12 @@ def byte_size(text: str) -> int:
     return int(float(m[1]) * 1024 ** " kmgt".index(m[2] or " "))
 
 
+def merchant_names(text: Column) -> Column:
+    """Names in a list parted by commas or semicolons, without blanks around and without repeats."""
+    names = F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), lambda n: F.trim(n))
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
+
+
 def round_down(value: Column, unit: int) -> Column:
     return F.floor(value / F.lit(unit)) * unit
 

@@ -192,6 +192,12 @@ def like(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\Q" + c + "\\E" for c in pattern) + "$"
 
 
+def signs_like(text: Column, pattern: str) -> Column:
+    """Whether a text has, at any place, signs that fit a pattern: ``?`` is one sign, ``*`` any number; case and blanks don't count."""
+    plain = F.regexp_replace(F.lower(text), r"\s+", "")
+    return F.coalesce(plain.rlike(like(pattern.lower())[1:-1]), F.lit(False))
+
+
 def _after(here: Column, reach: Column, least: int, far: int | None) -> Column:
     """Of positions ``here``, those ``least`` to ``far`` (any number, if none) after one of ``reach``."""
     if far is None:

@@ -98,9 +98,12 @@ def diversity_round(group: list[str], merchant: str, rank: str = "rank") -> Colu
     return 1 - F.row_number().over(W.partitionBy(*group, merchant).orderBy(rank))
 
 
-def product_rerank(hits: DataFrame, score: str, category_weight: float, offers: str, merchants: str, merchant_scores: DataFrame | None = None, key: str = "doc_id", top: int = RERANK_TOP, by_page: bool = False) -> DataFrame:
+def product_rerank(hits: DataFrame, score: str, category_weight: float, offers: str, merchants: str, merchant_scores: DataFrame | None = None, key: str = "doc_id", top: int = RERANK_TOP, by_page: bool = False, random_seed: int | None = None) -> DataFrame:
     """The best hits in a new order, ``place`` from 1.
 
+    With ``random_seed`` chance takes the place of all that follows the
+    category, the same for the same seed.
+
     Compared in turn, larger first: the whole part of score over category
     weight (by page: of pages of ``PAGE`` hits in it), two offers or more, the
     turn among hits of the same single merchant, the merchant's score, and the
@@ -118,7 +121,8 @@ def product_rerank(hits: DataFrame, score: str, category_weight: float, offers:
         few = few.join(merchant_scores.select(F.col("merchant").alias("_one"), F.col("score").alias("_m")), "_one", "left")
     else:
         few = few.withColumn("_m", F.lit(0.0))
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("cat"), F.desc("offer"), F.desc("turn"), F.desc(F.coalesce("_m", F.lit(0.0))), "rank")
+    then = [F.desc("offer"), F.desc("turn"), F.desc(F.coalesce("_m", F.lit(0.0)))] if random_seed is None else [F.desc(random_score(F.col(key), random_seed))]
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("cat"), *then, "rank")
     return few.withColumn("place", F.row_number().over(order)).drop("_one", "_m")
 
 

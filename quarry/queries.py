@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import geo, paths, text
-from quarry.operators import ads, conditions, expression, facets, logs, querylang, ranking, scoring, sorting, suffix, suggest
+from quarry.operators import ads, conditions, expression, facets, logs, querylang, ranking, scoring, similar, sorting, suffix, suggest
 from quarry.plans.schema import CollectionSchema
 from quarry.plans.search import search
 from quarry.sources import postings, scd, store
@@ -416,6 +416,11 @@ def rerank_products(spark, d):
     return scoring.product_rerank(df, "p_retailprice", 100.0, "p_size", "merchants", merchants, key="p_partkey").select("p_partkey", "place")
 
 
+@query("SELECT p_partkey, CAST(bit_count(xor(p_partkey, 341)) AS INTEGER) AS apart FROM part ORDER BY 2, 1 LIMIT 15")
+def nearest_signatures(spark, d):
+    return similar.nearest(read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")), "p_partkey", 341, 15, "p_partkey")
+
+
 @query("SELECT p_partkey, round((exp(least(50, greatest(1, p_size)) / 20.0) - 1) / (exp(least(50, greatest(1, p_size)) / 20.0) + 1), 6) AS score FROM part")
 def exponent_score(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(scoring.exponent(F.col("p_size"), 1, 50, 20.0), 6).alias("score"))

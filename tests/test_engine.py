@@ -1,5 +1,6 @@
 """Operators on small fixtures."""
 
+import json
 import unicodedata
 
 import numpy as np
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry import queries
 from quarry.functions import geo, paths, text
-from quarry.operators import ads, conditions, expression, facets, querylang, ranking, scoring, sorting, suffix, suggest
+from quarry.operators import ads, conditions, expression, facets, querylang, ranking, scoring, similar, sorting, suffix, suggest
+from quarry.plans import render
 from quarry.plans.request import SearchRequest
 from quarry.plans.schema import CollectionSchema, Property
 from quarry.plans.search import search
@@ -414,3 +416,33 @@ def test_click_models_go_on(spark, tmp_path):
             log.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         pipelines.start_click_models(pipelines.file_stream(spark, str(tmp_path / "in"), log.schema), c, "models", "by", "at", str(tmp_path / "ck")).awaitTermination(60)
     assert values(c.read("models")) == pytest.approx(whole)
+
+
+def test_similar(spark):
+    rows = [(k, t.split()) for k, t in enumerate(["a b c d e f g h", "a b c d e f g x", "q w e r t y u i", ""])]
+    df = spark.createDataFrame(rows, "id int, w array<string>").withColumn("s", similar.simhash(F.col("w")))
+    marks = {r.id: r.s for r in df.collect()}
+    votes = {k: [xxhash64_bits(spark, w) for w in ws] for k, ws in rows}
+    for k, hashes in votes.items():
+        assert marks[k] == sum(1 << b for b in range(similar.BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert [r.id for r in similar.nearest(df, "s", marks[0], 2, "id").collect()] == [0, 1]
+    assert [r.id for r in similar.nearest(df, "s", marks[0], 9, "id", most=0).collect()] == [0]
+
+
+def xxhash64_bits(spark, word):
+    return spark.range(1).select(F.xxhash64(F.lit(word)).alias("x")).first().x % (1 << 64)
+
+
+def test_render(spark):
+    df = spark.createDataFrame([(1, "A>B", None), (2, "A", 2.0)], "id int, cat string, price double")
+    out = json.loads(render.response(search(df, CollectionSchema.of("c", "id", df), {"group": [{"property": "cat"}, {"property": "price"}], "sort": ["id"], "select": ["cat", "price"]})))
+    assert out["total_count"] == 2 and [(r["_id"], r.get("price")) for r in out["resources"]] == [(1, None), (2, 2.0)]
+    assert out["group"] == {"cat": [{"label": "A", "count": 2, "sub_labels": [{"label": "B", "count": 1, "sub_labels": []}]}], "price": [{"value": "2.0", "count": 1}]}
+
+
+def test_small_parsers(spark):
+    assert one(spark, paths.merchant_names(F.col("t")), t=" a, b;a ,;c d") == ["a", "b", "c d"]
+    assert one(spark, querylang.signs_like(F.col("t"), "b?d*g"), t="A BC d ef G") is True and one(spark, querylang.signs_like(F.col("t"), "b?g"), t="abcd g") is False
+    df = spark.createDataFrame([(i, float(i), 1, [1]) for i in range(30)], "doc_id int, s double, offers int, m array<int>")
+    places = lambda seed: [r.doc_id for r in scoring.product_rerank(df, "s", 100.0, "offers", "m", random_seed=seed).orderBy("place").collect()]
+    assert places(1) == places(1) != places(2) and sorted(places(1)) == list(range(30))
