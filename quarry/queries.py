@@ -328,7 +328,20 @@ def rank_kl(spark, d):
     return _scored(spark, d, "kl")
 
 
-@query()
+_FAR = "list_min(flatten(list_transform({0}, lambda x: list_transform({1}, lambda y: abs(x - y)))))"
+_CLOSE = "CASE WHEN {0} IS NULL THEN 0 WHEN {0} = 1 THEN 2.0 / 3 ELSE pow(3.0, -{0}) END"
+_PLM_PLACES = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i] = '{t}') AS p{k}" for k, t in enumerate(_TERMS))
+_PLM = " + ".join(f"CASE WHEN len(p{k}) > 0 THEN (1.0 / 3) * ln((len(p{k}) + 1000.0 * near{k} + 2000.0 * c{k} / total) / (2000.0 * c{k} / total)) ELSE 0 END" for k in range(3))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), p AS (SELECT doc_id, len(w) AS len, {_PLM_PLACES} FROM t),
+s AS (SELECT sum(len) AS total, sum(len(p0)) AS c0, sum(len(p1)) AS c1, sum(len(p2)) AS c2 FROM p),
+d AS (SELECT *, {_FAR.format('p0', 'p1')} AS d01, {_FAR.format('p0', 'p2')} AS d02, {_FAR.format('p1', 'p2')} AS d12 FROM p WHERE len(p0) + len(p1) + len(p2) > 0),
+m AS (SELECT *, {_CLOSE.format('d01')} AS s01, {_CLOSE.format('d02')} AS s02, {_CLOSE.format('d12')} AS s12 FROM d),
+n AS (SELECT *, (s01 + s02) / 2 AS near0, (s01 + s12) / 2 AS near1, (s02 + s12) / 2 AS near2 FROM m),
+r AS (SELECT doc_id, len, near0 + near1 + near2 AS close, {_PLM} AS v FROM n, s)
+SELECT doc_id, round(CASE WHEN v > 0 THEN v + ln(2000.0 / (2000.0 + len + 1000.0 * close)) ELSE v END, 6) AS score FROM r""")
 def rank_plm(spark, d):
     return _scored(spark, d, "plm")
 
