@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections import defaultdict
@@ -101,11 +103,19 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     def task(batches):
         remembered(None, lambda: None)  # forgets what other stages left
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(task, schema)
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the machine: the C library keeps much of it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: What a worker process remembers between the tasks of a stage, and that stage.
 _REMEMBERED: dict = {}
 _STAGE: list = [None]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Vocabulary, bounded_sample, chunks, in_arrow, segment_sums, spread, table, training_row
+from quarry.llm.common import Vocabulary, bounded_sample, chunks, in_arrow, release, segment_sums, spread, table, training_row
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -221,6 +221,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     w = ftrl([x for i, x in enumerate(data) if i % 5 != 4] or data, len(languages), features)
     logits = np.array([x @ w[slots] + w[-1] for _, slots, x in held]).reshape(len(held), len(languages))
     temperature = fitted_temperature(logits, np.array([x[0] for x in held], dtype=np.int64))
+    del rows, data, held
+    release()
     return LanguageModel(languages, (SCALE * idf[:, None] * w[:-1]).astype(np.float32), w[-1], temperature)
 
 

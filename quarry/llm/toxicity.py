@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bounded_sample, chunks, in_arrow, remembered, spread, table, training_row
+from quarry.llm.common import bounded_sample, chunks, in_arrow, release, remembered, spread, table, training_row
 
 #: Bound of the sample: documents of each class.
 PER_CLASS = 3000
@@ -256,6 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         votes[k] = smoothed_vote(model, best[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS])
     if len(filled):
         model.steps = isotonic(votes, y[filled], weight[filled])
+    del rows, data, vectors
+    release()
     return model
 
 
