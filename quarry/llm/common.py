@@ -25,6 +25,8 @@ CHUNK_CHARS = 2_000_000
 BATCH = "2m"
 #: Bits of the bitmaps of wanted rows, fixed sizes.
 BITMAP, WIDE_BITMAP = 1 << 20, 1 << 23
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Distinct words and stems that a worker remembers between chunks.
 WORDS_KEPT, STEMS_KEPT = 250_000, 600_000
 
@@ -47,11 +49,17 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there, which ends its lineage.
 
-    The table goes when ``free`` is told or the program ends.
+    The table goes when ``free`` is told or the program ends, what was dealt
+    out to make it as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # else shuffle files stay until the driver collects its garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
@@ -80,14 +88,27 @@ def bitmap(slots: DataFrame, size: int = BITMAP) -> Column:
     return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("w"))).scalar()
 
 
+def _marked(df: DataFrame, wanted: DataFrame, by: tuple[str, ...], size: int) -> tuple[DataFrame, str]:
+    """``df`` with two columns more, and a condition over these that all rows of ``wanted`` meet."""
+    slot = F.pmod(F.xxhash64(*by), F.lit(size)).cast("int")
+    marked = df.withColumn("_bits", bitmap(wanted.select(slot.alias("slot")), size)).withColumn("_slot", slot)
+    return marked, "shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L"
+
+
 def maybe_in(df: DataFrame, wanted: DataFrame, *by: str, size: int = BITMAP) -> DataFrame:
     """Rows of ``df`` whose columns ``by`` may be those of a row of ``wanted``: all that are, and few others as long as these are few for the bitmap.
 
     A bitmap of fixed size decides in the scan, so that only such rows are dealt.
     """
-    slot = F.pmod(F.xxhash64(*by), F.lit(size)).cast("int")
-    marked = df.withColumn("_bits", bitmap(wanted.select(slot.alias("slot")), size)).withColumn("_slot", slot)
-    return marked.filter("shiftright(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L").drop("_bits", "_slot")
+    marked, maybe = _marked(df, wanted, by, size)
+    return marked.filter(maybe).drop("_bits", "_slot")
+
+
+def without(df: DataFrame, gone: DataFrame, by: str, size: int = WIDE_BITMAP) -> DataFrame:
+    """Rows of ``df`` whose ``by`` isn't in ``gone``: exactly; rows that the bitmap can tell aren't dealt. ``by`` isn't null."""
+    marked, maybe = _marked(df, gone, (by,), size)
+    safe, rest = (marked.filter(x).drop("_bits", "_slot") for x in (f"not ({maybe})", maybe))
+    return safe.unionByName(rest.join(gone.select(by), by, "left_anti"))
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:

@@ -72,9 +72,12 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
     bucket's rows can be split for.
     """
     empty = rows.sparkSession.createDataFrame([], "a long, b long")
-    several = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key"))
-    shared = cut(maybe_in(rows, several, "key", size=WIDE_BITMAP).join(several, "key").distinct())
-    free(several)
+    # Most keys have one row, so the first pass deals out keys alone; of keys with several rows, those of one id go in the second.
+    repeated = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    found = cut(maybe_in(rows, repeated, "key", size=WIDE_BITMAP).join(repeated, "key").distinct())
+    several = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    shared = cut(found.join(several, "key"))
+    free(repeated, found)
     info = describe(shared.select("id").distinct())
     described = [c for c in info.columns if c != "id"]
     side = lambda x: F.struct("id", *described).alias(x)

@@ -6,13 +6,14 @@ import random
 import re
 import string
 import tempfile
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import hnsw, imatch, langid, licenses, line_dedup, linking, packing, pieces, shingle_join, toxicity, url_graph
+from quarry.llm import common, hnsw, imatch, langid, licenses, line_dedup, linking, packing, pieces, shingle_join, toxicity, url_graph
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
@@ -440,6 +441,28 @@ def test_a_large_group_is_joined_without_all_pairs(spark):
     assert sum(tries) < 600 * 599 / 2 / 3
 
 
+def test_a_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before = files()
+    out = common.cut(spark.range(1000).selectExpr("id % 7 as k", "id").repartition(3).groupBy("k").agg(F.max("id").alias("m")))
+    for _ in range(50):  # they go a little later
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and sorted(r.m for r in out.collect()) == list(range(993, 1000))
+    assert spark.conf.get(common.CLEAN, "false") == "false"
+
+
+def test_without(spark):
+    rows = spark.range(500).withColumn("t", F.col("id") * 2)
+    gone = spark.createDataFrame([(k,) for k in (3, 3, 77, 499, 1000)], "id long")
+    want = [(k, 2 * k) for k in range(500) if k not in (3, 77, 499)]
+    for size in (64, 1 << 20):  # 64 bits can't tell all rows apart
+        assert sorted(map(tuple, common.without(rows, gone, "id", size).collect())) == want
+    assert common.without(rows, gone.limit(0), "id").count() == 500
+
+
 # 8 languages
 
 
