@@ -45,7 +45,8 @@ def raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def hashed(lines: DataFrame) -> DataFrame:
     """(doc, line, hs, id, n) of every line that isn't blank: hashes of its words, their hash and their number."""
-    words = lines.select("doc", "line", F.expr(words_of("raw")).alias("words")).filter(F.size("words") > 0)
+    # A condition over the words would have the text split twice.
+    words = lines.filter(r"lower(raw) rlike '[\\p{L}\\p{N}]'").select("doc", "line", F.expr(words_of("raw")).alias("words"))
     return words.select("doc", "line", F.expr("transform(words, w -> xxhash64(w))").alias("hs")).select("doc", "line", "hs", F.xxhash64("hs").alias("id"), F.size("hs").alias("n"))
 
 
@@ -54,7 +55,7 @@ def features(similarity: float = SIMILARITY) -> str:
 
     A line so short that none can differ from it and be similar has none.
     """
-    pairs = "slice(transform(hs, (h, i) -> xxhash64(h, get(hs, i + 1))), 1, n - 1)"
+    pairs = "slice(zip_with(hs, slice(hs, 2, n), (h, k) -> xxhash64(h, k)), 1, n - 1)"
     fours = "slice(transform(hs, (h, i) -> xxhash64(h, get(hs, i + 1), get(hs, i + 2), get(hs, i + 3))), 1, n - 3)"
     least = next(n for n in range(1, 1 << 20) if int(n / similarity * (1 - similarity + 1e-9)) >= 1) if similarity < 1 else 1 << 30
     return f"if(n < {max(least, 2)}, cast(array() as array<bigint>), if(n < {LONG}, {pairs}, if(n < {SHORT}, concat({pairs}, {fours}), {fours})))"
@@ -76,14 +77,14 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     coded: list[DataFrame] = []
 
     def describe(ids):
-        """Length and sketch of lines that share a block; their characters are kept for ``verify``."""
+        """Length and sketch of lines that share a block; their words are kept for ``verify``."""
         wanted = cut(info.join(ids, "id").select("id", F.col("first.doc").alias("doc"), F.col("first.line").alias("line")))
         # Any line with the name has the words; the bitmap of places only keeps most others from being read.
         some = hashed(maybe_in(raw_lines(docs, id_col, text_col), wanted, "doc", "line", size=WIDE_BITMAP)).select("id", "n", "hs")
         found = some.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
         bits = lambda k: f"aggregate(hs, 0L, (a, h) -> if(shiftright(h, 6) & {SKETCH - 1} = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))"
         coded.append(wanted)
-        coded.append(cut(found.select("id", "n", "hs", F.expr(characters(codes("hs"))).alias("c"), *[F.expr(bits(k)).alias(f"s{k}") for k in range(SKETCH)])))
+        coded.append(cut(found.select("id", "n", "hs", *[F.expr(bits(k)).alias(f"s{k}") for k in range(SKETCH)])))
         return coded[1].select("id", "n", *[f"s{k}" for k in range(SKETCH)])
 
     def near(x, y):
@@ -95,17 +96,17 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verify(pairs):
         ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        some = cut(maybe_in(coded[1], ids, "id").join(ids, "id").select("id", "hs", "c"))
+        some = cut(maybe_in(coded[1], ids, "id").join(ids, "id").select("id", "hs", F.expr(characters(codes("hs"))).alias("c")))
         coded.extend((ids, some))
         return similar_pairs(pairs, some, similarity)
 
     group = bucket_groups(rows, verify, describe, near)
     free(*coded)
-    named = info.join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    named = info.join(group, "id", "left").filter("copies > 1 or component is not null").withColumn("group", F.coalesce("component", "id"))
     heads = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")
-    kept = named.join(heads, "group").select("id", "head")
-    gone = cut(each.select("doc", "line", "id").join(kept, "id").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line"))
-    free(each, info, group)
+    kept = cut(named.join(heads, "group").select("id", "head"))
+    gone = cut(maybe_in(each.select("doc", "line", "id"), kept, "id", size=WIDE_BITMAP).join(kept, "id").filter("not (doc <=> head.doc and line = head.line)").select("doc", "line"))
+    free(each, info, group, kept)
     return gone
 
 

@@ -597,6 +597,13 @@ def test_lines_against_edit_similarity_alone(spark):
     assert sum(removed.values()) == len(gone)
 
 
+def test_lines_are_split_once(spark):
+    lines = line_dedup.raw_lines(spark.createDataFrame([(1, "One, two\n--- \u00b2\n\u24b6 -\nDR\u0130NK"), (2, None)], DOCS), "doc_id", "text")
+    out = line_dedup.hashed(lines)
+    assert sorted((r.doc, r.line, r.n) for r in out.collect()) == [(1, 0, 2), (1, 1, 1), (1, 3, 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+
+
 def test_pairs_of_lines_are_verified_exactly(spark):
     # words 1 and 1 + CHARACTERS become one character
     c = line_dedup.CHARACTERS
