@@ -11,6 +11,8 @@ from quarry.llm.common import WIDE_BITMAP, cut, free, maybe_in
 
 #: Pivots of a bucket in each round after the first, on average.
 PIVOTS = (8, 100)
+#: Keys of an id that stand beside each of its rows when all pairs meet.
+BESIDE = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,6 +53,20 @@ def merged(group: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(joined, F.col("component") == F.col("root"), "left").select("id", F.coalesce("final", "component").alias("component")))
 
 
+def meetings(rows: DataFrame, near: Callable[[str, str], F.Column]) -> DataFrame:
+    """Pairs (a, b) of ids in different groups that share a bucket of ``rows`` (key, id, component, ...) and pass ``near``.
+
+    A pair that shares several keys is made at the smallest one only, as far as
+    the ``BESIDE`` smallest keys of both tell; no pair is lost, a few come again.
+    """
+    few = rows.groupBy("id").agg(F.expr(f"slice(array_sort(collect_list(key)), 1, {BESIDE})").alias("keys"))
+    rows = rows.join(few, "id")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "key"]) for p in ("x", "y"))
+    once = F.expr("coalesce(key <= array_min(array_intersect(x_keys, y_keys)), true)")
+    pairs = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & near("x", "y") & once)
+    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+
 def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[DataFrame], DataFrame], near: Callable[[str, str], F.Column]) -> DataFrame:
     """(id, component) of the connected groups that links within the buckets (key, id) of ``rows`` make.
 
@@ -111,8 +127,9 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
         free(old)
 
     # The smallest id of each bucket; of what an id may be linked to, one is tried.
-    marked = grouped()
-    first = cut(meet(marked, sizes(marked).join(marked.groupBy("key").agg(F.min(side("p")).alias("p")).select("key", F.struct("p.*", F.col("p.id").alias("component")).alias("p")), "key")).groupBy("a", "b", "who").agg(F.min("size").alias("size")))
+    marked = open_.withColumn("component", F.col("id"))
+    lowest = marked.groupBy("key").agg(F.min(side("p")).alias("p"), F.count("*").alias("size"))
+    first = cut(meet(marked, lowest.select("key", F.struct("p.*", F.col("p.id").alias("component")).alias("p"), "size")).groupBy("a", "b", "who").agg(F.min("size").alias("size")))
     add(cut(first.groupBy("who").agg(F.min(F.struct("a", "b")).alias("s")).select("s.a", "s.b").distinct()))
     close(2)
     for turn, most in enumerate(PIVOTS):
@@ -121,11 +138,9 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
         pivots = sized.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("size")) < most).select("key", F.struct("id", "component", *described).alias("p"))
         add(cut(meet(sized, pivots).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
         close(most)
-    rest = grouped()
-    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in ("x", "y"))
-    pairs = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & near("x", "y"))
+    pairs = meetings(grouped(), near)
     waiting = between(group, first.filter("size = 2").select("a", "b")).filter("ga != gb").select("a", "b")
-    pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).unionByName(waiting).distinct()
+    pairs = pairs.unionByName(waiting).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     free(open_, first, *done)
     if pairs.isEmpty():

@@ -441,6 +441,18 @@ def test_a_large_group_is_joined_without_all_pairs(spark):
     assert sum(tries) < 600 * 599 / 2 / 3
 
 
+def test_pairs_that_share_several_keys_are_made_once(spark):
+    ids = range(50)
+    near = lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) < 20
+    want = [(a, b) for a in ids for b in ids if a < b < a + 20 and a // 2 != b // 2]
+    rows = spark.createDataFrame([(k, n, n // 2, n) for n in ids for k in range(-4, 4)], "key long, id long, component long, at long")
+    assert sorted(map(tuple, linking.meetings(rows, near).collect())) == want
+    # what two ids share lies beyond the keys beside their rows
+    own = [(1000 * n + k - 10**6, n, n // 2, n) for n in ids for k in range(linking.BESIDE)]
+    more = rows.unionByName(spark.createDataFrame(own, rows.schema))
+    assert sorted({tuple(r) for r in linking.meetings(more, near).collect()}) == want
+
+
 def test_a_table_leaves_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
