@@ -82,7 +82,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def bitmap(slots: DataFrame, size: int = BITMAP) -> Column:
     """An array of ``size`` / 64 longs with the bits of a column ``slot`` set, as a value for each row."""
-    words = slots.groupBy(F.expr("shiftright(slot, 6)").cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    words = slots.select(F.expr("shiftright(slot, 6)").cast("long").alias("word"), F.expr("shiftleft(1L, slot & 63)").alias("bits"))
     every = slots.sparkSession.range(size // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
     full = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return cut(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.expr("transform(w, x -> x.bits)").alias("w"))).scalar()

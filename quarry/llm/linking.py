@@ -13,6 +13,8 @@ from quarry.llm.common import WIDE_BITMAP, cut, free, maybe_in
 PIVOTS = (8, 100)
 #: Keys of an id that stand beside each of its rows when all pairs meet.
 BESIDE = 16
+#: So many edges or fewer are one partition, which no step then deals out; more are dealt like any table.
+ONE_PARTITION = 1 << 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,12 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before, old = now, edges
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = now["n"] <= ONE_PARTITION
+        gathered = lambda df: df.coalesce(1) if few else df
+        joining = lambda side: side.hint("merge") if few else side  # noqa: E731  # else it goes through the driver as a broadcast
+        both = gathered(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(joining(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = cut(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        small = large.join(joining(least), "u")
+        edges = cut(gathered(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))).filter("u > v").distinct())
         free(old)
 
 
@@ -58,12 +63,17 @@ def meetings(rows: DataFrame, near: Callable[[str, str], F.Column]) -> DataFrame
 
     A pair that shares several keys is made at the smallest one only, as far as
     the ``BESIDE`` smallest keys of both tell; no pair is lost, a few come again.
+    Of two ids that meet, one is never of its bucket's largest group: so a
+    bucket's rows meet its few others, not each other.
     """
+    groups = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
+    main = groups.filter("groups > 1").select("key", F.col("most.component").alias("main"))
     few = rows.groupBy("id").agg(F.expr(f"slice(array_sort(collect_list(key)), 1, {BESIDE})").alias("keys"))
-    rows = rows.join(few, "id")
+    rows = rows.join(few, "id").join(main, "key")
     x, y = (rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "key"]) for p in ("x", "y"))
+    y = y.filter("y_component != y_main").drop("y_main")
     once = F.expr("coalesce(key <= array_min(array_intersect(x_keys, y_keys)), true)")
-    pairs = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & near("x", "y") & once)
+    pairs = x.join(y, "key").filter(F.expr("x_component < y_component or x_component = x_main") & near("x", "y") & once)
     return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
 
@@ -98,10 +108,10 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
     described = [c for c in info.columns if c != "id"]
     side = lambda x: F.struct("id", *described).alias(x)
     spread = lambda x: [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in described]
-    open_ = cut(shared.join(info, "id"))
+    open_ = cut(shared.join(info, "id").withColumn("component", F.col("id")))
     free(shared)
     group, tried, done = cut(empty.select(F.col("a").alias("id"), F.col("b").alias("component"))), empty, []
-    grouped = lambda: open_.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = lambda: open_.select("key", "id", *described).join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = lambda rows: rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").drop("low", "high")
 
     def meet(marked, pivots):
@@ -121,24 +131,21 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
         free(links)
 
     def close(most):
-        """Leave out buckets that are one group by now, or so small that all their pairs have been tried."""
+        """Leave out buckets that are one group by now, or so small that all their pairs have been tried; the others get their groups and sizes."""
         nonlocal open_
-        old, open_ = open_, cut(open_.join(sizes(grouped()).filter(F.col("size") > most).select("key"), "key"))
+        old, open_ = open_, cut(grouped().join(sizes(grouped()).filter(F.col("size") > most), "key"))
         free(old)
 
     # The smallest id of each bucket; of what an id may be linked to, one is tried.
-    marked = open_.withColumn("component", F.col("id"))
-    lowest = marked.groupBy("key").agg(F.min(side("p")).alias("p"), F.count("*").alias("size"))
-    first = cut(meet(marked, lowest.select("key", F.struct("p.*", F.col("p.id").alias("component")).alias("p"), "size")).groupBy("a", "b", "who").agg(F.min("size").alias("size")))
+    lowest = open_.groupBy("key").agg(F.min(side("p")).alias("p"), F.count("*").alias("size"))
+    first = cut(meet(open_, lowest.select("key", F.struct("p.*", F.col("p.id").alias("component")).alias("p"), "size")).groupBy("a", "b", "who").agg(F.min("size").alias("size")))
     add(cut(first.groupBy("who").agg(F.min(F.struct("a", "b")).alias("s")).select("s.a", "s.b").distinct()))
     close(2)
     for turn, most in enumerate(PIVOTS):
-        marked = grouped()
-        sized = marked.join(sizes(marked), "key")
-        pivots = sized.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("size")) < most).select("key", F.struct("id", "component", *described).alias("p"))
-        add(cut(meet(sized, pivots).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
+        pivots = open_.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("size")) < most).select("key", F.struct("id", "component", *described).alias("p"))
+        add(cut(meet(open_, pivots).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
         close(most)
-    pairs = meetings(grouped(), near)
+    pairs = meetings(open_.drop("size"), near)
     waiting = between(group, first.filter("size = 2").select("a", "b")).filter("ga != gb").select("a", "b")
     pairs = pairs.unionByName(waiting).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))

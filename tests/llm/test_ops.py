@@ -410,6 +410,28 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 101, 102, 103)}}
 
 
+def test_few_edges_are_not_dealt_out(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(102, 103), (101, 102), (50, 50)], "a long, b long")
+    want = {**{i: 0 for i in range(31)}, **{i: 101 for i in (101, 102, 103)}}
+    context, tasks = spark.sparkContext, []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for most in (linking.ONE_PARTITION, 0):
+            monkeypatch.setattr(linking, "ONE_PARTITION", most)
+            context.setJobGroup(f"edges {most}", "")
+            assert {r.id: r.component for r in linking.components(edges).collect()} == want
+            jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(f"edges {most}")]
+            stages = {s for j in jobs for s in j.stageIds}
+            tasks.append(sum(i.numCompletedTasks for s in stages if (i := context.statusTracker().getStageInfo(s))))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks[0] < tasks[1] / 3
+
+
 def test_bucket_groups(spark):
     # numbers link at most 3 apart; buckets of 40, so that no pivot is linked to all; 500 is near 501 and linked to nothing
     numbers = [*range(0, 60), 100, 101, 500, 501]
@@ -453,6 +475,16 @@ def test_pairs_that_share_several_keys_are_made_once(spark):
     assert sorted({tuple(r) for r in linking.meetings(more, near).collect()}) == want
 
 
+def test_a_large_group_meets_the_others_of_its_buckets_only(spark):
+    # group 0 has most rows of each bucket but the last, where it's one of three equal ones; bucket 9 is one group
+    rows = [(k, n, 0, n) for k in (1, 2, 3) for n in range(40)] + [(k, n, n // 2, n) for k in (1, 2) for n in range(40, 50)]
+    rows += [(4, n, n, n) for n in (1, 60, 61)] + [(9, n, 7, n) for n in (70, 71)]
+    rows = [(k, n, 0 if n < 40 else c, at) for k, n, c, at in rows]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and b[3] - a[3] < 30}
+    got = linking.meetings(spark.createDataFrame(rows, "key long, id long, component long, at long"), lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) < 30)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_a_table_leaves_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
