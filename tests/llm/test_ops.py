@@ -8,6 +8,7 @@ import string
 import tempfile
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -383,6 +384,21 @@ def test_pipeline_drops_near_copies_only(spark):
     assert out.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
 
 
+def test_pipeline_copies_no_texts_to_find_near_copies(spark):
+    import corpus_pipeline
+
+    texts = [prose(20000) for _ in range(20)]
+    rows = [*enumerate(texts), (20, texts[3] + " end"), (5, texts[5]), (None, texts[7]), (21, None), (21, None)]
+    docs = common.cut(spark.createDataFrame(rows, DOCS).repartition(3))
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    there = set(folder.glob("quarry-*"))
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    written = sum(f.stat().st_size for d in set(folder.glob("quarry-*")) - there for f in d.glob("*.parquet"))
+    held = sum(f.stat().st_size for f in Path(docs._quarry_path.removeprefix("file:")).glob("*.parquet"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [*enumerate(texts), (21, None), (21, None)]))
+    assert written < held / 2  # sets of the few texts that share a block are written, all texts aren't
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert shingle_join.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (None, None)], DOCS)
