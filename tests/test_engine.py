@@ -65,6 +65,18 @@ def test_postings(spark, tmp_path):
     assert {tuple(r) for r in index.scored(["1", "8"]).collect()} == {("1", 0, 1), ("1", 1, 1), ("8", 1, 1), ("8", 2, 1), ("1", 5, 2), ("8", 5, 1)}
 
 
+def test_postings_are_grouped_in_their_rows(spark):
+    rows = [(0, ["b", "a", "b", None, "c", "a", "b"]), (1, []), (2, ["a"]), (3, [str(k % 7) for k in range(500)])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    want = {(k, t, tuple(i for i, x in enumerate(w) if x == t), len(w)) for k, w in rows for t in w}
+    for name in (F.xxhash64, lambda t: F.lit(7).cast("long"), lambda t: F.when(t == "a", -1).otherwise(5).cast("long")):  # also where words share a hash
+        got = [(r.id, r.term, tuple(r.places), r.length) for r in df.select("id", F.inline(postings.grouped(F.col("w"), name))).collect()]
+        assert len(got) == len(want) and set(got) == want
+    each = postings.posted(df, "id", F.col("w"))
+    assert {(r.key, r.length) for r in each.filter(F.col("slot") == postings.DOCUMENTS).collect()} == {(k, len(w)) for k, w in rows}
+    assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
+
+
 def test_group_paths(spark):
     f = paths.group_paths(F.col("t"))
     assert one(spark, f, t="") == []
