@@ -31,6 +31,8 @@ BLOCK_BITS = 3
 SHORT, LONG = 24, 19
 #: Words of the sketch that filters pairs, and characters that words become.
 SKETCH, CHARACTERS = 4, 55000
+#: Words of the longest lines that are divided by their sketches where very many share a block.
+DIVIDED = 32
 
 
 def words_of(line: str) -> str:
@@ -61,6 +63,24 @@ def features(similarity: float = SIMILARITY) -> str:
     return f"if(n < {max(least, 2)}, cast(array() as array<bigint>), if(n < {LONG}, {pairs}, if(n < {SHORT}, concat({pairs}, {fours}), {fours})))"
 
 
+def parts(similarity: float = SIMILARITY, longest: int = DIVIDED) -> str:
+    """SQL for an array for each line of ``n`` words with a sketch: lines that may be similar have an item in common.
+
+    For each length that a similar line can have, the sketch's bits are dealt to
+    one part more than the bits that may differ: so one part is equal at least
+    (pigeonhole). Longer lines, for which these would be many, have one item.
+    """
+    most = f"cast(floor({1 - similarity + 1e-9!r}D * {{}}) as int)"
+    lengths = f"filter(sequence(1, {longest}), m -> abs(n - m) <= {most.format('greatest(n, m)')})"
+    counts = f"transform({lengths}, m -> struct(least(n, m) as lo, greatest(n, m) as hi, 2 * {most.format('greatest(n, m)')} - abs(n - m) + 1 as k))"
+    bits = f"filter(sequence(0, {64 * SKETCH - 1}), i -> shiftright(element_at(array({', '.join(f's{k}' for k in range(SKETCH))}), 1 + shiftright(i, 6)), i & 63) & 1L = 1L)"
+    each = f"transform(array({bits}), on -> flatten(transform({counts}, c -> transform(sequence(0, c.k - 1), b -> xxhash64(c.lo, c.hi, b, filter(on, i -> i % c.k = b))))))[0]"
+    none = "cast(array() as array<bigint>)"
+    # What may be similar to a line beyond the longest one meets it here.
+    beyond = f"{longest + 1} - n <= {most.format(f'greatest(n, {longest + 1})')}"
+    return f"concat(if(n <= {longest}, {each}, {none}), if({beyond} or n > {longest}, array(0L), {none}))"
+
+
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc, line): every line (from 0) that repeats an earlier line or is connected to one by edit similarities.
 
@@ -100,7 +120,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         coded.extend((ids, some))
         return similar_pairs(pairs, some, similarity)
 
-    group = bucket_groups(rows, verify, describe, near)
+    group = bucket_groups(rows, verify, describe, near, F.expr(parts(similarity)))
     free(*coded)
     named = info.join(group, "id", "left").filter("copies > 1 or component is not null").withColumn("group", F.coalesce("component", "id"))
     heads = named.groupBy("group").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")

@@ -13,6 +13,8 @@ from quarry.llm.common import WIDE_BITMAP, cut, free, maybe_in
 PIVOTS = (8, 100)
 #: Keys of an id that stand beside each of its rows when all pairs meet.
 BESIDE = 16
+#: Rows of a bucket up to which all of it meets at its key.
+HOT = 512
 #: So many edges or fewer are one partition, which no step then deals out; more are dealt like any table.
 ONE_PARTITION = 1 << 16
 
@@ -58,31 +60,42 @@ def merged(group: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(joined, F.col("component") == F.col("root"), "left").select("id", F.coalesce("final", "component").alias("component")))
 
 
-def meetings(rows: DataFrame, near: Callable[[str, str], F.Column]) -> DataFrame:
+def meetings(rows: DataFrame, near: Callable[[str, str], F.Column], parts: F.Column | None = None, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of ids in different groups that share a bucket of ``rows`` (key, id, component, ...) and pass ``near``.
 
     A pair that shares several keys is made at the smallest one only, as far as
     the ``BESIDE`` smallest keys of both tell; no pair is lost, a few come again.
     Of two ids that meet, one is never of its bucket's largest group: so a
     bucket's rows meet its few others, not each other.
+    ``parts`` is an array for each row, of which rows that are ``near`` have an
+    item in common. In buckets of more than ``hot`` rows only rows that share
+    one meet; what the other buckets make is at most ``hot`` times their rows.
     """
-    groups = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"))
-    main = groups.filter("groups > 1").select("key", F.col("most.component").alias("main"))
+    groups = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups"), F.sum("n").alias("size"))
+    main = groups.filter("groups > 1").select("key", F.col("most.component").alias("main"), "size")
     few = rows.groupBy("id").agg(F.expr(f"slice(array_sort(collect_list(key)), 1, {BESIDE})").alias("keys"))
     rows = rows.join(few, "id").join(main, "key")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "key"]) for p in ("x", "y"))
-    y = y.filter("y_component != y_main").drop("y_main")
     once = F.expr("coalesce(key <= array_min(array_intersect(x_keys, y_keys)), true)")
-    pairs = x.join(y, "key").filter(F.expr("x_component < y_component or x_component = x_main") & near("x", "y") & once)
-    return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
+    def met(rows, by):
+        x, y = (rows.select(*by, *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c not in by]) for p in ("x", "y"))
+        y = y.filter("y_component != y_main").drop("y_main")
+        pairs = x.join(y, by).filter(F.expr("x_component < y_component or x_component = x_main") & near("x", "y") & once)
+        return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
-def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[DataFrame], DataFrame], near: Callable[[str, str], F.Column]) -> DataFrame:
+    if parts is None:
+        return met(rows.drop("size"), ["key"])
+    divided = rows.filter(F.col("size") > hot).drop("size").withColumn("part", F.explode(parts))
+    return met(rows.filter(F.col("size") <= hot).drop("size"), ["key"]).unionByName(met(divided, ["key", "part"]))
+
+
+def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[DataFrame], DataFrame], near: Callable[[str, str], F.Column], parts: F.Column | None = None) -> DataFrame:
     """(id, component) of the connected groups that links within the buckets (key, id) of ``rows`` make.
 
     ``describe`` gets the ids (id) that share a bucket and gives columns beside
     them; ``near(x, y)`` is a necessary condition over these under two
-    prefixes, cheap and free of false negatives. ``verify`` keeps those of
+    prefixes, cheap and free of false negatives; ``parts``, if there is any, is
+    what ``meetings`` divides hot buckets by. ``verify`` keeps those of
     distinct pairs (a, b) that are links. Ids without a link may be missing
     from the result; repeated rows do no harm.
 
@@ -145,7 +158,7 @@ def bucket_groups(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], des
         pivots = open_.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("size")) < most).select("key", F.struct("id", "component", *described).alias("p"))
         add(cut(meet(open_, pivots).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
         close(most)
-    pairs = meetings(open_.drop("size"), near)
+    pairs = meetings(open_.drop("size"), near, parts)
     waiting = between(group, first.filter("size = 2").select("a", "b")).filter("ga != gb").select("a", "b")
     pairs = pairs.unionByName(waiting).distinct()
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))

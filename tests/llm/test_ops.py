@@ -657,6 +657,35 @@ def test_lines_against_edit_similarity_alone(spark):
     assert sum(removed.values()) == len(gone)
 
 
+def test_hot_buckets_of_lines_are_divided(spark):
+    """No pair that may be similar is lost where lines of a bucket meet by parts of their sketches, and few others meet."""
+    rng, rows = random.Random(5), []
+    for n in [*range(4, 48)] * 3:
+        words = {rng.randrange(256) for _ in range(n)}
+        for _ in range(4):
+            changed = [rng.randrange(256) if rng.random() < 0.08 else w for w in words] + [rng.randrange(256) for _ in range(rng.randrange(2))]
+            odd = {w for w in changed if changed.count(w) % 2}
+            sketch = [sum(1 << (w & 63) for w in odd if w >> 6 == k) for k in range(4)]
+            rows.append((1, len(rows), len(rows), len(changed), *(s - (1 << 64) if s >> 63 else s for s in sketch)))
+
+    def near(x, y):
+        n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+        most = F.floor(F.lit(0.2 + 1e-9) * F.greatest(n, m))
+        differ = sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseXOR(F.col(f"{y}_s{k}"))) for k in range(4)), F.lit(0))
+        return (F.abs(n - m) <= most) & (differ <= 2 * most - F.abs(n - m))
+
+    df = spark.createDataFrame(rows, "key long, id long, component long, n int, s0 long, s1 long, s2 long, s3 long")
+    want = {tuple(r) for r in linking.meetings(df, near).collect()}
+    divided = F.expr(line_dedup.parts())
+    assert {tuple(r) for r in linking.meetings(df, near, divided, hot=10).collect()} == want and len(want) > 200
+    assert {tuple(r) for r in linking.meetings(df, near, divided, hot=1000).collect()} == want
+    held = df.filter("n <= 26").select("id", F.explode(divided).alias("part")).distinct()
+    met = held.join(held.withColumnRenamed("id", "other"), "part").filter("id < other").select("id", "other").distinct().count()
+    few = df.filter("n <= 26").count()
+    print(f"pairs that meet: {met} of {few * (few - 1) // 2}")
+    assert met < 0.1 * few * (few - 1) / 2
+
+
 def test_lines_are_split_once(spark):
     lines = line_dedup.raw_lines(spark.createDataFrame([(1, "One, two\n--- \u00b2\n\u24b6 -\nDR\u0130NK"), (2, None)], DOCS), "doc_id", "text")
     out = line_dedup.hashed(lines)
